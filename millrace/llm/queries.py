@@ -7,14 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.decontaminate import op1_decontaminate
+from millrace.llm.licenses import op3_licenses
+from millrace.llm.pages import op9_pages
+from millrace.llm.pieces import op10_sentencepiece
 from millrace.llm.quality import op2_quality
+from millrace.llm.secrets import op4_secrets
 from millrace.llm.simhash import op6_simhash
+from millrace.llm.topk import op8_topk
+from millrace.llm.urls import op7_urls
+from millrace.llm.warc import op5_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op6_simhash": op6_simhash}
+    return {
+        "op1_decontaminate": op1_decontaminate,
+        "op2_quality": op2_quality,
+        "op3_licenses": op3_licenses,
+        "op4_secrets": op4_secrets,
+        "op5_warc": op5_warc,
+        "op6_simhash": op6_simhash,
+        "op7_urls": op7_urls,
+        "op8_topk": op8_topk,
+        "op9_pages": op9_pages,
+        "op10_sentencepiece": op10_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
