@@ -1,6 +1,6 @@
 """SimHash near-duplicates through an inverted index on fingerprint bytes.
 
-A fingerprint is eight positional bytes. Two fingerprints that differ in at most four bits share at least four of
+A print is eight positional bytes. Two fingerprints that differ in at most four bits share at least four of
 the eight, so every linked pair meets in one of the twenty byte triples of ``TRIPLES``, a family that has a member
 inside every set of four positions. Postings are keyed by (triple, its three bytes); a pair that meets there has
 its shared positional bytes tallied, is kept on reaching the guaranteed minimum, and is then verified bit by bit.
@@ -70,9 +70,8 @@ def _mixed(h: np.ndarray, i: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, words: int = 4, prints: int = 1) -> list[int]:
-    """``prints`` signed 64-bit fingerprints. A bit is 1 if set in over half the hashes; no words: all zero."""
-    hashes = shingle_hashes(text, words)
+def fingerprint(hashes: np.ndarray, prints: int = 1) -> list[int]:
+    """``prints`` signed 64-bit fingerprints. A bit is 1 if set in over half the hashes; no hash: all zero."""
     out = []
     for i in range(prints):
         counts = np.zeros(64, np.int64)
@@ -84,21 +83,34 @@ def fingerprint(text: str | None, words: int = 4, prints: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4, prints: int = 1) -> DataFrame:
-    """``(doc_id, fp0, ...)`` of every row's whole text; a null text counts as empty."""
-    names = [f"fp{i}" for i in range(prints)]
+def fingerprints(docs: DataFrame, kinds: list[tuple[str, int, int, bool]], *carried: str) -> DataFrame:
+    """``(doc_id, ..., prints)`` of every row's whole text; a null text counts as empty.
+
+    ``kinds``: (name of the columns, words of a shingle, prints, whether equal shingles count once).
+    """
+    names = [f"{name}{i}" for name, _, prints, _ in kinds for i in range(prints)]
+
+    def found(text: str | None) -> list[int]:
+        out = []
+        for _, words, prints, once in kinds:
+            hashes = shingle_hashes(text, words)
+            out += fingerprint(np.unique(hashes) if once else hashes, prints)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), words, prints) for t in batch.column(1)]
-            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(prints)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+            rows = [found(t.as_py()) for t in batch.column(0)]
+            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], ["doc_id", *carried, *names])
 
-    schema = ", ".join(["doc_id long", *(f"{n} long" for n in names)])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    rows = docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long"), *carried)
+    schema = rows.drop("text")
+    for n in names:
+        schema = schema.withColumn(n, F.lit(None).cast("long"))
+    return rows.mapInArrow(run, schema.schema)
 
 
-def _postings(classes: DataFrame, names: list[str]) -> DataFrame:
+def _postings(classes: DataFrame, names: list[str], carried: list[str]) -> DataFrame:
     """A row for each class and posting: its key holds the print, the triple and the triple's bytes."""
 
     def byte(fp: str, p: int) -> Column:
@@ -109,7 +121,7 @@ def _postings(classes: DataFrame, names: list[str]) -> DataFrame:
         for t, (a, b, c) in enumerate(TRIPLES):
             tag = F.lit((i * len(TRIPLES) + t) << 24)
             keys.append(tag + F.shiftleft(byte(fp, a), 16) + F.shiftleft(byte(fp, b), 8) + byte(fp, c))
-    return classes.select(F.explode(F.array(*keys)).alias("key"), "node", *names)
+    return classes.select(F.explode(F.array(*keys)).alias("key"), "node", *carried)
 
 
 def _spread(postings: DataFrame, chunk: int) -> DataFrame:
@@ -134,7 +146,8 @@ def _near(fps: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int, shared: int)
     tally = np.zeros(len(i), np.int64)
     for f in fps:
         x = f[i] ^ f[j]
-        tally = np.maximum(tally, _shared_bytes(x))
+        if shared:
+            tally = np.maximum(tally, _shared_bytes(x))
         total += np.bitwise_count(x)
     return (tally >= shared) & (total <= bits)
 
@@ -175,9 +188,11 @@ def _links_of_sorted(key: np.ndarray, node: np.ndarray, fps: np.ndarray, bits: i
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
-def links(classes: DataFrame, names: list[str], bits: int = 4, shared: int = 4, chunk: int = 4096) -> DataFrame:
+def links(classes: DataFrame, indexed: list[str], decide: list[str], bits: int, shared: int, chunk: int = 4096) -> DataFrame:
     """Links ``(a, b)`` that connect the classes as all pairs within ``bits`` would: in each posting a spanning
-    forest. ``shared``: the least number of equal bytes in some print."""
+    forest. ``shared``: the least number of equal bytes in some print, where the index prints decide as well."""
+    if indexed != decide:
+        shared = 0  # the posting itself says that three bytes are equal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -189,7 +204,7 @@ def links(classes: DataFrame, names: list[str], bits: int = 4, shared: int = 4,
         for batch in batches:
             key = batch.column(0).to_numpy() ^ (batch.column(1).to_numpy() << np.int64(36))
             node = batch.column(2).to_numpy()
-            fps = np.stack([batch.column(3 + i).to_numpy().view(np.uint64) for i in range(len(names))])
+            fps = np.stack([batch.column(3 + i).to_numpy().view(np.uint64) for i in range(len(decide))])
             if held is not None:
                 key, node = np.concatenate((held[0], key)), np.concatenate((held[1], node))
                 fps = np.concatenate((held[2], fps), axis=1)
@@ -202,25 +217,54 @@ def links(classes: DataFrame, names: list[str], bits: int = 4, shared: int = 4,
         if held is not None and len(held[0]):
             yield emit(*held)
 
-    rows = _spread(_postings(classes, names), chunk).select("key", "block", "node", *names)
+    rows = _spread(_postings(classes, indexed, decide), chunk).select("key", "block", "node", *decide)
     rows = rows.repartition("key", "block").sortWithinPartitions("key", "block")
     return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, prints: int = 1, bits: int = 4, shared: int = 4) -> DataFrame:
-    """``(doc_id, fp0, ..., component_id)``, a row per row of ``docs(doc_id, text)``.
+def grouped(docs: DataFrame, kinds: list[tuple[str, int, int, bool]], bits: int, shared: int, *carried: str) -> DataFrame:
+    """``(doc_id, ..., prints, component_id)``, a row per row of ``docs(doc_id, text)``.
 
-    component_id is the smallest doc_id reachable over links of at most ``bits`` differing bits in all prints
-    together, itself included. Null and empty texts have fingerprint zero and link like any other. Rows with a null
-    doc_id take part; a group that has no other id gets a null component. With one print and four bits, every link
-    is found; with more bits, a pair needs ``shared`` equal bytes in one of the prints.
+    The first kind's prints are indexed, the last one's decide: a link is a pair that meets in the index and differs
+    in at most ``bits`` of those prints together. ``shared`` of 4 is the guaranteed minimum where one print is both.
+    component_id is the smallest doc_id reachable, itself included. Null and empty texts have print zero and link
+    like any other. Rows with a null doc_id take part; a group with no other id has a null component.
     """
-    names = [f"fp{i}" for i in range(prints)]
-    known = materialise(fingerprints(docs, words, prints), "prints")
+    of = lambda kind: [f"{kind[0]}{i}" for i in range(kind[2])]
+    names = [n for kind in kinds for n in of(kind)]
+    known = materialise(fingerprints(docs, kinds, *carried), "prints")
     classes = materialise(known.groupBy(*names).agg(F.min("doc_id").alias("node")).where("node is not null"), "classes")
-    found = connected_components(links(classes, names, bits, shared))
+    found = connected_components(links(classes, of(kinds[0]), of(kinds[-1]), bits, shared))
     named = classes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return known.join(materialise(named, "named"), names, "left").select("doc_id", *names, "component_id")
+    # written first: a print that a third of the rows have is then a skewed join that adaptive execution splits
+    return known.join(materialise(named, "named"), names, "left").select("doc_id", *carried, *names, "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
+    """``(doc_id, fp0, component_id)`` over links of at most four differing bits, every one of which is found."""
+    return grouped(docs, [("fp", words, 1, False)], 4, 4)
+
+
+#: For whole documents that share 0.8 or more of their five-word shingles: 192 bits of the distinct shingles, of which
+#: such pairs differ in 29 on average, and in at most this number.
+SHINGLE_BITS = 38
+DOCUMENT_KINDS = [("word", 1, 3, True), ("shingle", 5, 3, True)]
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that stand for their group of copies and near copies: of each group
+    the one with the smallest doc_id, of repeated rows one.
+
+    Near copies share 0.8 or more of their distinct five-word shingles. At that similarity the prints of the shingles
+    differ in too many bits for an index, but those of the distinct words, few of which an edit touches, do not; so
+    the words' prints are indexed and the shingles' prints decide. A row without an id stays unless a row with an id
+    is its copy.
+    """
+    marked = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    found = grouped(marked, DOCUMENT_KINDS, SHINGLE_BITS, 3, "__text")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("__text").alias("__of")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__of"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
 
 
 def fingerprint_hex(fp: str) -> Column:
@@ -228,6 +272,5 @@ def fingerprint_hex(fp: str) -> Column:
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = near_duplicates(docs, words=4, prints=1, bits=4, shared=4)
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
     return found.select("doc_id", fingerprint_hex("fp0").alias("fingerprint"), "component_id")
