@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm import oracle
 from millrace.llm.decontaminate import op1_decontaminate
 from millrace.llm.licenses import op3_licenses
 from millrace.llm.pages import op9_pages
@@ -36,4 +37,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_licenses": oracle.op3(),
+        "op4_secrets": oracle.op4(),
+        "op5_warc": oracle.op5(),
+        "op7_urls": oracle.op7(),
+        "op8_topk": oracle.op8(),
+    }
