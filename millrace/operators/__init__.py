@@ -1 +1,3 @@
+"""All operators; importing a module registers its queries."""
 
+from millrace.operators import activity, forge, scoring, text  # noqa: F401
