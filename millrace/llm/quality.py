@@ -156,9 +156,16 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, whose text scores ``least`` or more."""
-    weights = train(docs, labels)
-    return score(docs, weights).where(F.col("score") >= least).select(*docs.columns)
+    """The rows of ``docs``, all columns unchanged, whose text scores ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for batch in batches:
+            good = [score_text(w, t.as_py()) >= least for t in batch.column("text")]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
