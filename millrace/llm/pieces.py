@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 #: Entries of the tables of known words, stretches and (four times) pairs; rows of ids held at a time.
-_KEPT = 300_000
+_KEPT = 200_000
 _ROWS = 500
 #: Signs by which the arcs that start at a place are kept.
 _AHEAD = 8
@@ -66,8 +66,10 @@ class Transducer:
         self.prefixes = {p[:n] for p in self.id for n in range(1, len(p) + 1)}
         self.inside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.cost = {p: -self.score[i] for p, i in self.id.items()}
-        self._words: dict[str, list[int]] = {}
-        self._cuts: dict[str, list[int]] = {}
+        self._words: dict[str, tuple[int, ...]] = {}
+        self._older_words: dict[str, tuple[int, ...]] = {}
+        self._cuts: dict[str, tuple[int, ...]] = {}
+        self._older_cuts: dict[str, tuple[int, ...]] = {}
         self._starts: dict[str, tuple[str, ...]] = {}
         #: Weights of pairs already worked out, by the first piece; the empty one stands for the start.
         self._pairs: dict[str, dict[str, bool]] = {}
@@ -187,7 +189,11 @@ class Transducer:
             n -= len(piece)
         return out[::-1]
 
-    def _ids(self, path: list[str]) -> list[int]:
+    def _ids(self, path: list[str]) -> tuple[int, ...]:
+        try:
+            return tuple([self.id[piece] for piece in path])
+        except KeyError:
+            pass
         out: list[int] = []
         for piece in path:
             i = self.id.get(piece)
@@ -197,33 +203,35 @@ class Transducer:
                 out += [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
             else:
                 out.append(self.unknown)
-        return out
+        return tuple(out)
 
-    def _stretch(self, text: str) -> list[int]:
+    def _stretch(self, text: str) -> tuple[int, ...]:
         """Ids of a stretch that holds no cut."""
         known = self._cuts.get(text)
         if known is None:
-            known = self._ids(self._path(text))
+            known = self._older_cuts.get(text) or self._ids(self._path(text))
             if len(text) <= 64:
                 if len(self._cuts) > _KEPT:
-                    self._cuts.clear()
+                    self._older_cuts, self._cuts = self._cuts, {}
                 self._cuts[text] = known
         return known
 
-    def _word(self, text: str) -> list[int]:
-        """Ids of a word, cut wherever no piece can cross."""
-        out: list[int] = []
-        inside, a = self.inside, 0
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in inside:
-                out += self._stretch(text[a:i])
-                a = i
-        out += self._stretch(text[a:])
+    def _word(self, text: str) -> tuple[int, ...]:
+        """Ids of a word, cut wherever no piece can cross. Of two generations of known words the older one goes."""
+        found = self._older_words.get(text)
+        if found is None:
+            inside, a, parts = self.inside, 0, ()
+            for i in range(1, len(text)):
+                if text[i - 1 : i + 1] not in inside:
+                    parts += self._stretch(text[a:i])
+                    a = i
+            found = parts + self._stretch(text[a:])
         if len(text) <= 64:
             if len(self._words) > _KEPT:
-                self._words.clear()
-            self._words[text] = out
-        return out
+                self._older_words = dict(self._words)
+                self._words.clear()  # encode() holds on to this one
+            self._words[text] = found
+        return found
 
     def normal(self, text: str) -> str:
         return (self.prefix + text.replace(" ", META)) if text else ""
