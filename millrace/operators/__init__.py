@@ -1,3 +1,3 @@
-"""All operators; importing a module registers its queries."""
+"""All operators; importing this registers their queries."""
 
-from millrace.operators import activity, forge, scoring, text  # noqa: F401
+from millrace.operators import activity, forge, more, scoring, text  # noqa: F401

@@ -1 +1,345 @@
+"""Source text: the rule engine, import graph, manifests, and string functions."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from millrace.functions.numbers import half_up, r4
+from millrace.functions.rules import pack
+from millrace.plans.registry import query
+from millrace.sources.fixtures import cte, literal, table
+from millrace.sources.lake import Lake
+
+_FILES = f"WITH {cte('code')}, src AS (SELECT repo, path, content FROM code UNION ALL SELECT repo, path, content FROM files)"
+_PACK = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in pack())
+_HITS = f"""{_FILES}, rules(family, rule, severity, confidence, pattern) AS (VALUES {_PACK}),
+hits AS (SELECT repo, path, family, rule, CASE WHEN confidence < .55 THEN 'low' WHEN confidence < .7 AND severity = 'critical' THEN 'high' ELSE severity END AS severity,
+  CAST(len(regexp_extract_all(content, pattern)) AS INT) AS n FROM src, rules WHERE regexp_matches(content, pattern) AND NOT (path LIKE '%.test.%'))"""
+
+
+def sources(lake: Lake) -> DataFrame:
+    return table(lake.spark, "code").unionByName(lake.files.select("repo", "path", "content"))
+
+
+def rule_scan(files: DataFrame, rules: list[tuple[str, str, str, float, str]]) -> DataFrame:
+    """``(repo, path, family, rule, severity, n)`` of every rule that a file matches. The rules are fixed columns of
+    one pass over the files, not rows that the files are crossed with; a count is only made where there is a match."""
+    text = F.col("content")
+
+    def hit(family: str, rule: str, severity: str, confidence: float, pattern: str) -> Column:
+        level = "low" if confidence < 0.55 else "high" if confidence < 0.7 and severity == "critical" else severity
+        row = F.struct(F.lit(family).alias("family"), F.lit(rule).alias("rule"), F.lit(level).alias("severity"), F.regexp_count(text, F.lit(pattern)).alias("n"))
+        return F.when(text.rlike(pattern), row)
+
+    found = F.array_compact(F.array(*[hit(*r) for r in rules]))
+    return files.where(~F.col("path").like("%.test.%")).select("repo", "path", F.explode(found).alias("h")).select("repo", "path", "h.*")
+
+
+@query(f"{_HITS} SELECT * FROM hits", "files")
+def rules_x_files(lake: Lake) -> DataFrame:
+    return rule_scan(sources(lake), pack())
+
+
+@query(f"""{_HITS} SELECT family, rule, repo, path FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY repo, path) AS nth FROM hits) WHERE nth <= CASE family WHEN 'performance' THEN 2 ELSE 3 END""", "files")
+def rule_hit_cap(lake: Lake) -> DataFrame:
+    """The first files of each rule, as the report shows them."""
+    by = Window.partitionBy("rule").orderBy("repo", "path")
+    h = rules_x_files(lake).withColumn("nth", F.row_number().over(by))
+    return h.where(F.col("nth") <= F.when(F.col("family") == "performance", 2).otherwise(3)).select("family", "rule", "repo", "path")
+
+
+@query(f"{_HITS} SELECT repo, family, severity, count(*) AS files, CAST(sum(n) AS BIGINT) AS n FROM hits GROUP BY ALL", "files")
+def finding_counts(lake: Lake) -> DataFrame:
+    return rules_x_files(lake).groupBy("repo", "family", "severity").agg(F.count("*").alias("files"), F.sum("n").alias("n"))
+
+
+@query(f"""{_HITS}, c AS (SELECT repo, count(*) FILTER (family = 'security' AND severity = 'critical') AS c, count(*) FILTER (family = 'security' AND severity = 'high') AS h, count(*) FILTER (family = 'security' AND severity = 'medium') AS m,
+count(*) FILTER (family = 'security' AND severity = 'low') AS l FROM hits GROUP BY repo) SELECT repo, c, h, m, l, least(98, greatest(5, 84 - 22 * c - 14 * h - 6 * m - 2 * l)) AS score FROM c""", "files")
+def security_score(lake: Lake) -> DataFrame:
+    s = rules_x_files(lake)
+    n = lambda level: F.count_if((F.col("family") == "security") & (F.col("severity") == level))
+    c = s.groupBy("repo").agg(n("critical").alias("c"), n("high").alias("h"), n("medium").alias("m"), n("low").alias("l"))
+    score = F.least(F.lit(98), F.greatest(F.lit(5), 84 - 22 * F.col("c") - 14 * F.col("h") - 6 * F.col("m") - 2 * F.col("l")))
+    return c.withColumn("score", score)
+
+
+# import graph
+
+_EDGES = f"""WITH {cte('code')}, spec AS (SELECT repo, path, unnest(regexp_extract_all(content, 'from ''([.][^'']*)''', 1)) AS spec FROM code),
+base AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM spec),
+up AS (SELECT repo, path, spec, CASE WHEN spec LIKE '../../%' THEN regexp_replace(regexp_replace(dir, '/[^/]*$', ''), '/[^/]*$', '') || substr(spec, 6) WHEN spec LIKE '../%' THEN regexp_replace(dir, '/[^/]*$', '') || substr(spec, 3) ELSE dir || substr(spec, 2) END AS stem FROM base),
+edges AS (SELECT DISTINCT u.repo, u.path AS importer, c.path AS target FROM up u JOIN code c ON c.repo = u.repo AND regexp_replace(c.path, '[.](ts|tsx|js|jsx)$', '') = u.stem)"""
+
+
+def imports(lake: Lake) -> DataFrame:
+    """``(repo, importer, target)``: relative imports, normalised to the path of a file of the repository. Both sides
+    drop their extension, so that resolving is one equi-join."""
+    code = table(lake.spark, "code")
+    spec = code.select("repo", "path", F.explode(F.regexp_extract_all("content", F.lit(r"from '([.][^']*)'"), F.lit(1))).alias("spec"))
+    up = lambda c: F.regexp_replace(c, "/[^/]*$", "")
+    folder = up(F.col("path"))
+    tail = lambda n: F.expr(f"substr(spec, {n})")
+    stem = F.when(F.col("spec").like("../../%"), F.concat(up(up(folder)), tail(6))).when(F.col("spec").like("../%"), F.concat(up(folder), tail(3))).otherwise(F.concat(folder, tail(2)))
+    files = code.select("repo", F.col("path").alias("target"), F.regexp_replace("path", "[.](ts|tsx|js|jsx)$", "").alias("stem"))
+    return spec.select("repo", F.col("path").alias("importer"), stem.alias("stem")).join(files, ["repo", "stem"]).select("repo", "importer", "target").distinct()
+
+
+@query(f"{_EDGES} SELECT * FROM edges")
+def import_resolve(lake: Lake) -> DataFrame:
+    return imports(lake)
+
+
+@query(f"{_EDGES} SELECT repo, importer, count(*) AS imports FROM edges GROUP BY ALL")
+def coupling(lake: Lake) -> DataFrame:
+    return imports(lake).groupBy("repo", "importer").agg(F.count("*").alias("imports"))
+
+
+def _content(lake: Lake, column: str) -> DataFrame:
+    return table(lake.spark, "code").select("repo", F.col("path").alias(column), F.col("content").alias(f"{column}_text"))
+
+
+@query(rf"{_EDGES} SELECT e.repo, importer, min(target) AS target FROM edges e JOIN code a ON a.path = importer AND a.repo = e.repo JOIN code b ON b.path = target AND b.repo = e.repo WHERE regexp_matches(a.content, 'req\.(json|body)') AND NOT regexp_matches(a.content, '(?i)valid|parse|schema') AND regexp_matches(b.content, '(?i)prisma|query') GROUP BY ALL")
+def xfile_unvalidated_input(lake: Lake) -> DataFrame:
+    """Raw request input that reaches a database file unchecked; the first target of each file."""
+    met = imports(lake).join(_content(lake, "importer"), ["repo", "importer"]).join(_content(lake, "target"), ["repo", "target"])
+    raw = F.col("importer_text").rlike(r"req\.(json|body)") & ~F.col("importer_text").rlike("(?i)valid|parse|schema")
+    return met.where(raw & F.col("target_text").rlike("(?i)prisma|query")).groupBy("repo", "importer").agg(F.min("target").alias("target"))
+
+
+@query(rf"{_EDGES} SELECT e.repo, importer, target FROM edges e JOIN code a ON a.path = importer AND a.repo = e.repo JOIN code b ON b.path = target AND b.repo = e.repo WHERE regexp_matches(a.content, 'function (POST|PUT|DELETE)') AND NOT regexp_matches(a.content, '(?i)auth|session') AND regexp_matches(b.content, '(?i)prisma')")
+def xfile_auth_bypass(lake: Lake) -> DataFrame:
+    met = imports(lake).join(_content(lake, "importer"), ["repo", "importer"]).join(_content(lake, "target"), ["repo", "target"])
+    open_route = F.col("importer_text").rlike("function (POST|PUT|DELETE)") & ~F.col("importer_text").rlike("(?i)auth|session")
+    return met.where(open_route & F.col("target_text").rlike("(?i)prisma")).select("repo", "importer", "target")
+
+
+@query(f"{_EDGES} SELECT c.repo, c.path FROM code c WHERE contains(content, 'process.env.') AND EXISTS (SELECT 1 FROM edges e JOIN code i ON i.path = importer AND i.repo = e.repo WHERE e.target = c.path AND e.repo = c.repo AND contains(i.content, 'use client'))")
+def xfile_server_env_client(lake: Lake) -> DataFrame:
+    """Files that read the environment and are imported by a client component."""
+    clients = _content(lake, "importer").where(F.contains("importer_text", F.lit("use client"))).select("repo", "importer")
+    used = imports(lake).join(clients, ["repo", "importer"], "left_semi").select("repo", F.col("target").alias("path"))
+    return table(lake.spark, "code").where(F.contains("content", F.lit("process.env."))).join(used, ["repo", "path"], "left_semi").select("repo", "path")
+
+
+@query(f"{_EDGES}, k AS (SELECT repo, target, importer, row_number() OVER (PARTITION BY repo, target ORDER BY importer) AS nth FROM edges) SELECT c.repo, path, string_agg(importer, ',' ORDER BY importer) AS callers FROM code c JOIN k ON k.repo = c.repo AND target = path WHERE nth <= 3 AND regexp_matches(content, 'catch *([(][^)]*[)])? *[{{] *[}}]') GROUP BY ALL")
+def xfile_silent_failure(lake: Lake) -> DataFrame:
+    """Files that swallow errors, with up to three of their callers."""
+    quiet = table(lake.spark, "code").where(F.col("content").rlike("catch *([(][^)]*[)])? *[{] *[}]")).select("repo", F.col("path").alias("target"))
+    by = Window.partitionBy("repo", "target").orderBy("importer")
+    met = imports(lake).withColumn("nth", F.row_number().over(by)).where("nth <= 3").join(quiet, ["repo", "target"])
+    return met.groupBy("repo", F.col("target").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("importer")), ",").alias("callers"))
+
+
+@query(rf"{_EDGES} SELECT c.repo, c.path, count(DISTINCT importer) AS n FROM code c JOIN edges e ON e.repo = c.repo AND target = path JOIN code i ON i.path = importer AND i.repo = e.repo WHERE regexp_matches(c.content, 'export let') AND regexp_matches(i.content, 'state[.]\w+ *[+-]?=') GROUP BY ALL HAVING count(DISTINCT importer) >= 2")
+def xfile_shared_mutable(lake: Lake) -> DataFrame:
+    shared = table(lake.spark, "code").where(F.col("content").rlike("export let")).select("repo", F.col("path").alias("target"))
+    writers = _content(lake, "importer").where(F.col("importer_text").rlike(r"state[.]\w+ *[+-]?=")).select("repo", "importer")
+    met = imports(lake).join(shared, ["repo", "target"]).join(writers, ["repo", "importer"])
+    return met.groupBy("repo", F.col("target").alias("path")).agg(F.count_distinct("importer").alias("n")).where("n >= 2")
+
+
+# audits of source files
+
+_WORDS = r"\b(if|for|while|case|catch)\b|&&|\|\|"
+
+
+@query(rf"WITH {cte('code')}, c AS (SELECT repo, path, CAST(1 + len(regexp_extract_all(content, '{_WORDS}')) AS INT) AS cyclomatic FROM code) SELECT repo, path, cyclomatic, CASE WHEN cyclomatic > 20 THEN 'critical' WHEN cyclomatic > 10 THEN 'high' WHEN cyclomatic > 5 THEN 'medium' ELSE 'low' END AS risk FROM c")
+def complexity(lake: Lake) -> DataFrame:
+    n = 1 + F.regexp_count("content", F.lit(_WORDS))
+    return table(lake.spark, "code").select("repo", "path", n.alias("cyclomatic"), F.when(n > 20, "critical").when(n > 10, "high").when(n > 5, "medium").otherwise("low").alias("risk"))
+
+
+@query(None)
+def cognitive_complexity(lake: Lake) -> DataFrame:
+    """A fold over the lines: each branch counts one more than the braces it stands in."""
+    lines = F.split("content", "\n")
+
+    def step(acc: Column, line: Column) -> Column:
+        branches = F.regexp_count(line, F.lit(r"\b(if|for|while|switch|catch)\b"))
+        depth = acc["depth"] + F.regexp_count(line, F.lit(r"\{")) - F.regexp_count(line, F.lit(r"\}"))
+        return F.struct((acc["score"] + branches * (1 + acc["depth"])).alias("score"), F.greatest(F.lit(0), depth).alias("depth"))
+
+    start = F.struct(F.lit(0).alias("score"), F.lit(0).alias("depth"))
+    score = F.aggregate(lines, start, step, lambda acc: acc["score"])
+    return table(lake.spark, "code").select("repo", "path", score.alias("cognitive"))
+
+
+@query(None)
+def strip_non_executable(lake: Lake) -> DataFrame:
+    """Lines of code without comment lines, block comments and imports: a fold that remembers an open comment."""
+    lines = F.split("content", "\n")
+
+    def step(acc: Column, line: Column) -> Column:
+        bare = F.trim(line)
+        opens, closes = F.contains(bare, F.lit("/*")), F.contains(bare, F.lit("*/"))
+        skip = acc["inside"] | opens | bare.rlike(r"^(//|#|import\b|from\b)") | (bare == "")
+        return F.struct(F.when(skip, acc["kept"]).otherwise(acc["kept"] + 1).alias("kept"), ((acc["inside"] | opens) & ~closes).alias("inside"))
+
+    start = F.struct(F.lit(0).alias("kept"), F.lit(False).alias("inside"))
+    return table(lake.spark, "code").select("repo", "path", F.aggregate(lines, start, step, lambda a: a["kept"]).alias("lines"))
+
+
+@query(rf"WITH {cte('code')} SELECT repo, path, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '(?:async )?function (GET|POST|PUT|PATCH|DELETE)', 1))), ',') AS methods, regexp_matches(content, '(?i)auth|session') AS auth, regexp_matches(content, '(?i)schema|valid') AS validated FROM code WHERE path LIKE '%/api/%'")
+def route_audit(lake: Lake) -> DataFrame:
+    c = F.col("content")
+    found = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit("(?:async )?function (GET|POST|PUT|PATCH|DELETE)"), F.lit(1)))), ",")
+    return table(lake.spark, "code").where(F.col("path").like("%/api/%")).select("repo", "path", found.alias("methods"), c.rlike("(?i)auth|session").alias("auth"), c.rlike("(?i)schema|valid").alias("validated"))
+
+
+@query(rf"WITH {cte('code')} SELECT repo, path, regexp_matches(content, '<img[^>]*>') AND NOT regexp_matches(content, '<img[^>]*\balt=') AS img_alt, regexp_matches(content, '<li>') AS key FROM code WHERE path LIKE '%.tsx'")
+def a11y_audit(lake: Lake) -> DataFrame:
+    c = F.col("content")
+    return table(lake.spark, "code").where(F.col("path").like("%.tsx")).select("repo", "path", (c.rlike("<img[^>]*>") & ~c.rlike(r"<img[^>]*\balt=")).alias("img_alt"), c.rlike("<li>").alias("key"))
+
+
+@query(rf"""WITH {cte('code')}, used AS (SELECT DISTINCT repo, unnest(regexp_extract_all(content, 'process\.env\.([A-Z_]+)', 1)) AS name FROM code),
+declared AS (SELECT DISTINCT repo, unnest(regexp_extract_all(content, '(?m)^([A-Z_]+)=', 1)) AS name FROM code WHERE path LIKE '.env%')
+SELECT u.repo, u.name, d.name IS NOT NULL AS declared FROM used u LEFT JOIN declared d USING (repo, name)""")
+def env_audit(lake: Lake) -> DataFrame:
+    code = table(lake.spark, "code")
+    names = lambda df, p: df.select("repo", F.explode(F.regexp_extract_all("content", F.lit(p), F.lit(1))).alias("name")).distinct()
+    declared = names(code.where(F.col("path").like(".env%")), "(?m)^([A-Z_]+)=").withColumn("declared", F.lit(True))
+    used = names(code, r"process\.env\.([A-Z_]+)")
+    return used.join(declared, ["repo", "name"], "left").select("repo", "name", F.coalesce("declared", F.lit(False)).alias("declared"))
+
+
+@query(rf"""WITH {cte('code')}, x AS (SELECT DISTINCT repo, unnest(regexp_extract_all(content, 'export (?:async )?(?:function|const|let) (\w+)', 1)) AS name FROM code WHERE path NOT LIKE '%.test.%'),
+t AS (SELECT repo, content FROM code WHERE path LIKE '%.test.%')
+SELECT repo, count(*) AS exported, count(*) FILTER (EXISTS (SELECT 1 FROM t WHERE t.repo = x.repo AND contains(t.content, x.name))) AS tested FROM x GROUP BY repo""")
+def export_test_coverage(lake: Lake) -> DataFrame:
+    """Exported names, and those that a test file mentions. Tests are split into words, so the join is on equal names."""
+    code, test = table(lake.spark, "code"), F.col("path").like("%.test.%")
+    names = code.where(~test).select("repo", F.explode(F.regexp_extract_all("content", F.lit(r"export (?:async )?(?:function|const|let) (\w+)"), F.lit(1))).alias("name")).distinct()
+    said = code.where(test).select("repo", F.explode(F.regexp_extract_all("content", F.lit(r"\w+"), F.lit(0))).alias("name")).distinct().withColumn("tested", F.lit(True))
+    return names.join(said, ["repo", "name"], "left").groupBy("repo").agg(F.count("*").alias("exported"), F.count("tested").alias("tested"))
+
+
+@query(rf"""WITH {cte('code')} SELECT repo, bool_or(path LIKE '%.tsx') AS react, bool_or(path = 'Dockerfile') AS docker, bool_or(path LIKE '%.test.%') AS tests, bool_or(contains(content, 'PrismaClient')) AS prisma, bool_or(path LIKE '%.py') AS python FROM code GROUP BY repo""")
+def framework_detect(lake: Lake) -> DataFrame:
+    p = F.col("path")
+    return table(lake.spark, "code").groupBy("repo").agg(
+        F.bool_or(p.like("%.tsx")).alias("react"), F.bool_or(p == "Dockerfile").alias("docker"), F.bool_or(p.like("%.test.%")).alias("tests"), F.bool_or(F.contains("content", F.lit("PrismaClient"))).alias("prisma"), F.bool_or(p.like("%.py")).alias("python")
+    )
+
+
+# manifests
+
+
+def dependencies(lake: Lake, cap: int = 40) -> DataFrame:
+    """``(repo, lib, version)`` of each manifest by its own grammar. Broken manifests give no rows."""
+    m, c = table(lake.spark, "manifests"), F.col("content")
+    parsed = F.from_json(c, "dependencies map<string,string>, devDependencies map<string,string>")
+    both = F.map_concat(F.coalesce(parsed["dependencies"], F.create_map().cast("map<string,string>")), F.map_filter(F.coalesce(parsed["devDependencies"], F.create_map().cast("map<string,string>")), lambda k, v: ~F.coalesce(F.map_contains_key(parsed["dependencies"], k), F.lit(False))))
+    pair = lambda name, version: F.struct(name.alias("lib"), version.alias("version"))
+
+    def by_regex(pattern: str) -> Column:
+        lib, version = (F.regexp_extract_all(c, F.lit(pattern), F.lit(i)) for i in (1, 2))
+        return F.zip_with(lib, version, lambda a, b: pair(a, F.nullif(b, F.lit(""))))
+
+    npm = F.transform(F.map_entries(both), lambda e: pair(e["key"], e["value"]))
+    found = (
+        F.when(F.col("file") == "package.json", npm)
+        .when(F.col("file") == "requirements.txt", by_regex(r"(?m)^([A-Za-z][A-Za-z0-9_.-]*)(?:[=<>~!]=([0-9.]+))?"))
+        .when(F.col("file") == "go.mod", by_regex(r"(?m)^\t([^ \n]+) v([0-9.]+)"))
+        .when(F.col("file") == "Cargo.toml", by_regex(r'(?m)^([a-z][a-z0-9_-]*) = (?:\{ version = )?"([0-9.]+)"'))
+        .when(F.col("file") == "Gemfile", by_regex(r"""(?m)^gem ['"]([a-z_-]+)['"](?:, ['"]([0-9.]+)['"])?"""))
+        .when(F.col("file") == "pom.xml", by_regex(r"<artifactId>([^<]+)</artifactId>(?:<version>([^<]*)</version>)?"))
+    )
+    return m.select("repo", F.explode(F.slice(found, 1, cap)).alias("d")).select("repo", "d.*")
+
+
+@query("SELECT * FROM (VALUES ('app', 'react', '^18.2.0'), ('app', 'lodash', '~4.17.20'), ('app', 'jest', '29.0.0'), ('job', 'numpy', '1.26.0'), ('job', 'pandas', '2.0'), ('job', 'requests', NULL), ('srv', 'github.com/a/b', '1.2.3'), ('srv', 'github.com/c/d', '0.9.0'), ('rs', 'serde', '1.0'), ('rs', 'tokio', '1.3'), ('rb', 'rails', '7.0'), ('rb', 'pg', NULL), ('mv', 'junit', NULL)) t(repo, lib, version)")
+def manifest_parse(lake: Lake) -> DataFrame:
+    return dependencies(lake)
+
+
+@query("SELECT * FROM (VALUES ('app', 'lodash'), ('rb', 'rails')) t(repo, lib)")
+def risky_deps(lake: Lake) -> DataFrame:
+    """Dependencies in the table of risky packages, a fixed list."""
+    return dependencies(lake).join(F.broadcast(table(lake.spark, "risky")), "lib", "left_semi").select("repo", "lib")
+
+
+@query(f"""WITH {cte('osv')} SELECT id, CASE WHEN lower(severity) IN ('critical', 'high', 'medium', 'low') THEN lower(severity) WHEN lower(severity) = 'moderate' THEN 'medium' WHEN cvss IS NULL THEN 'medium'
+WHEN try_cast(cvss AS DOUBLE) >= 9 THEN 'critical' WHEN try_cast(cvss AS DOUBLE) >= 7 THEN 'high' WHEN try_cast(cvss AS DOUBLE) >= 4 THEN 'medium' ELSE 'low' END AS level FROM osv""")
+def osv_severity(lake: Lake) -> DataFrame:
+    """The stated level, else the score's band; a vector string is no number and counts as low."""
+    s, x = F.lower("severity"), F.col("cvss").try_cast("double")
+    level = F.when(s.isin("critical", "high", "medium", "low"), s).when(s == "moderate", "medium").when(F.col("cvss").isNull(), "medium").when(x >= 9, "critical").when(x >= 7, "high").when(x >= 4, "medium").otherwise("low")
+    return table(lake.spark, "osv").select("id", level.alias("level"))
+
+
+@query(f"WITH {cte('osv')}, x AS (SELECT try_cast(cvss AS DOUBLE) AS x FROM osv) SELECT count(*) FILTER (x >= 9) AS critical, count(*) FILTER (x >= 7 AND x < 9) AS high, count(*) FILTER (x >= 4 AND x < 7) AS medium, count(*) FILTER (x < 4) AS low FROM x")
+def dep_risk_counts(lake: Lake) -> DataFrame:
+    x = F.col("cvss").try_cast("double")
+    return table(lake.spark, "osv").agg(F.count_if(x >= 9).alias("critical"), F.count_if((x >= 7) & (x < 9)).alias("high"), F.count_if((x >= 4) & (x < 7)).alias("medium"), F.count_if(x < 4).alias("low"))
+
+
+# strings and versions
+
+
+def fuzzy_score(q: Column, t: Column) -> Column:
+    """Sum of 1 / (place + 1) over the signs of ``q`` found in order in ``t``, places counted from 0; 0 if one is missing."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("score"), F.lit(True).alias("ok"))
+
+    def step(acc: Column, ch: Column) -> Column:
+        found = F.call_function("locate", ch, t, acc["at"] + 1)
+        ok = acc["ok"] & (found > 0)
+        return F.struct(F.when(ok, found).otherwise(acc["at"]).alias("at"), F.when(ok, acc["score"] + 1 / found).otherwise(acc["score"]).alias("score"), ok.alias("ok"))
+
+    signs = F.filter(F.split(q, ""), lambda c: c != "")
+    return F.aggregate(signs, start, step, lambda acc: F.when(acc["ok"], acc["score"]).otherwise(0.0))
+
+
+@query(None)
+def fuzzy_match(lake: Lake) -> DataFrame:
+    n = table(lake.spark, "names")
+    return n.select("q", "t", r4(fuzzy_score(F.lower("q"), F.lower("t"))).alias("score"))
+
+
+@query(f"""WITH {cte('numbers')} SELECT x, CASE WHEN x >= 1000000 THEN printf('%.1fM', floor(x / 100000.0 + .5) / 10) WHEN x >= 1000 THEN printf('%.1fk', floor(x / 100.0 + .5) / 10) ELSE CAST(x AS VARCHAR) END AS text FROM numbers""")
+def format_number(lake: Lake) -> DataFrame:
+    x = F.col("x")
+    short = lambda by, unit: F.format_string("%.1f" + unit, half_up(x / by, 1))
+    return table(lake.spark, "numbers").select("x", F.when(x >= 1_000_000, short(1e6, "M")).when(x >= 1000, short(1e3, "k")).otherwise(x.cast("string")).alias("text"))
+
+
+_PART = "coalesce(try_cast(list_extract(string_split(regexp_replace({v}, '^[^0-9]*', ''), '.'), {i}) AS INT), 0)"
+_KEY = lambda v: "[" + ", ".join(_PART.format(v=v, i=i) for i in (1, 2, 3)) + "]"
+
+
+@query(f"WITH {cte('versions')} SELECT a, b, CASE WHEN {_KEY('a')} > {_KEY('b')} THEN 1 WHEN {_KEY('a')} < {_KEY('b')} THEN -1 ELSE 0 END AS sign FROM versions")
+def compare_versions(lake: Lake) -> DataFrame:
+    """Dotted versions by number, part by part; missing parts are 0."""
+
+    def key(v: str) -> Column:
+        parts = F.split(F.regexp_replace(v, "^[^0-9]*", ""), r"\.")
+        return F.array(*[F.coalesce(F.try_element_at(parts, F.lit(i)).try_cast("int"), F.lit(0)) for i in (1, 2, 3)])
+
+    return table(lake.spark, "versions").select("a", "b", F.when(key("a") > key("b"), 1).when(key("a") < key("b"), -1).otherwise(0).alias("sign"))
+
+
+@query("SELECT conv_id, CAST(sum(ceil(length(text) / 4)) AS BIGINT) AS tokens, count(*) AS messages FROM conversations GROUP BY conv_id")
+def token_estimate(lake: Lake) -> DataFrame:
+    return lake.table("conversations").groupBy("conv_id").agg(F.sum(F.ceil(F.length("text") / 4)).alias("tokens"), F.count("*").alias("messages"))
+
+
+@query("""WITH p AS (SELECT *, turn // 2 AS pair FROM conversations), q AS (SELECT conv_id, pair, sum(length(text)) AS n FROM p GROUP BY ALL),
+s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pair DESC) AS after, row_number() OVER (PARTITION BY conv_id ORDER BY pair DESC) AS nth FROM q)
+SELECT p.conv_id, p.turn FROM p JOIN s USING (conv_id, pair) WHERE after <= 1500 OR nth <= 2""")
+def prune_messages(lake: Lake, budget: int = 1500, keep: int = 2) -> DataFrame:
+    """The newest pairs of turns that fit the budget, and the last ones in any case."""
+    p = lake.table("conversations").select("conv_id", "turn", F.expr("turn div 2").alias("pair"), F.length("text").alias("n"))
+    q = p.groupBy("conv_id", "pair").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy("conv_id").orderBy(F.desc("pair"))
+    s = q.select("conv_id", "pair", F.sum("n").over(by).alias("after"), F.row_number().over(by).alias("nth"))
+    return p.join(s.where((F.col("after") <= budget) | (F.col("nth") <= keep)), ["conv_id", "pair"], "left_semi").select("conv_id", "turn")
+
+
+@query("SELECT page_id, regexp_replace(url, '^https?://(www[.])?', '') AS web, sha256(url) AS key FROM pages")
+def web_url(lake: Lake) -> DataFrame:
+    return lake.table("pages").select("page_id", F.regexp_replace("url", "^https?://(www[.])?", "").alias("web"), F.sha2("url", 256).alias("key"))
+
+
+@query(rf"WITH n AS (SELECT DISTINCT repo FROM repos) SELECT repo, regexp_matches(repo, '^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$') AS valid FROM n", "repos")
+def repo_name_valid(lake: Lake) -> DataFrame:
+    return lake.nations.select("repo", F.col("repo").rlike("^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$").alias("valid"))
