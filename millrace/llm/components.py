@@ -11,17 +11,24 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.llm.storage import discard, materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, least) -> DataFrame:
+    """The smallest neighbour of each node, written once: a node with very many links then meets it in a join whose
+    sides are both plain exchanges, which adaptive execution can split."""
+    return materialise(edges.groupBy("a").agg(least.alias("m")), "least")
+
+
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    least = _least(both, F.least("a", F.min("b")))
+    moved = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return moved, least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(down, F.min("b"))
     moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.union(least.select("a", F.col("m").alias("b"))).distinct(), least
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,11 +42,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     The component is the smallest node reachable. Self loops and repeated edges are allowed; rows with a null end
     are ignored; no edges give an empty result.
     """
-    at = materialise(_small_star(edges.where("a <> b")), "links")
+    at = materialise(edges.where("a <> b").select("a", "b"), "links")
     state = _state(at)
     while state[0]:
-        moved = materialise(_small_star(_large_star(at)), "links")
-        discard(at)
+        large, first = _large_star(at)
+        large = materialise(large, "links")
+        small, second = _small_star(large)
+        moved = materialise(small, "links")
+        discard(at, first, second, large)
         at, before = moved, state
         state = _state(at)
         if state == before:
