@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 #: Entries of the tables of known words, stretches and (four times) pairs; rows of ids held at a time.
-_KEPT = 200_000
+_KEPT = 160_000
 _ROWS = 500
 #: Signs by which the arcs that start at a place are kept.
 _AHEAD = 8
@@ -66,6 +66,12 @@ class Transducer:
         self.prefixes = {p[:n] for p in self.id for n in range(1, len(p) + 1)}
         self.inside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.cost = {p: -self.score[i] for p, i in self.id.items()}
+        #: Whether a path may be cut before every meta sign that follows another sign.
+        self._spaces_cut = not any(pair[1] == META and pair[0] != META for pair in self.inside)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the tables of what has been worked out; they hold nothing that a later text would not fill again."""
         self._words: dict[str, tuple[int, ...]] = {}
         self._older_words: dict[str, tuple[int, ...]] = {}
         self._cuts: dict[str, tuple[int, ...]] = {}
@@ -74,8 +80,6 @@ class Transducer:
         #: Weights of pairs already worked out, by the first piece; the empty one stands for the start.
         self._pairs: dict[str, dict[str, bool]] = {}
         self._known_pairs = 0
-        #: Whether a path may be cut before every meta sign that follows another sign.
-        self._spaces_cut = not any(pair[1] == META and pair[0] != META for pair in self.inside)
 
     # the bigram acceptor
 
@@ -297,6 +301,7 @@ def encode(docs: DataFrame, model_file: str, decoded: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(shared.value)
+        machine.forget()  # a worker that goes on to other work should not keep the last task's words
         for whole in batches:
             for a in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(a, _ROWS)
@@ -307,6 +312,7 @@ def encode(docs: DataFrame, model_file: str, decoded: bool = True) -> DataFrame:
                     columns.append(pa.array(list(map(machine.decode, ids)), pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        machine.forget()
 
     schema = "doc_id long, n_tokens long, ids array<int>" + ", decoded string" * decoded
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -27,7 +27,7 @@ ALPHA, BETA, L1, L2, EPOCHS = 5.0, 1.0, 0.2, 0.0, 4
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 _CACHE: dict[bytes, int] = {}
-_CACHE_SIZE = 400_000
+_CACHE_SIZE = 150_000
 
 
 def _word_hashes(text: str | None) -> np.ndarray:
@@ -151,6 +151,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             scores = [score_text(w, t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*kept, "score"])
+        _CACHE.clear()
 
     return docs.mapInArrow(run, docs.selectExpr("*", "cast(0 as double) as score").schema)
 
@@ -164,6 +165,7 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFram
         for batch in batches:
             good = [score_text(w, t.as_py()) >= least for t in batch.column("text")]
             yield batch.filter(pa.array(good, pa.bool_()))
+        _CACHE.clear()
 
     return docs.mapInArrow(run, docs.schema)
 
