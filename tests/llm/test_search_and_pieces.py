@@ -24,7 +24,7 @@ def test_search_against_brute_force(spark, monkeypatch, block):
     vectors = [(i, [rng.uniform(-2, 2) for _ in range(6)]) for i in range(150)]
     vectors += [(150 + i, [0.5, 0.25, -0.5, 0.0, 1.0, -1.0]) for i in range(30)]  # ties
     vectors += [(200 + i, [1.0, -2.0]) for i in range(4)]
-    odd = [(300, None), (301, [1.0, None, 0, 0, 0, 0]), (305, [math.nan] * 6), (310, [math.inf] * 6), (None, [1.0] * 6), (311, [1e30] * 6), vectors[0]]
+    odd = [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (305, [math.nan] * 6), (310, [math.inf] * 6), (None, [1.0] * 6), (311, [1e30] * 6), vectors[0]]
     df = spark.createDataFrame([(i, v) for i, v in vectors + odd], "vec_id long, embedding array<double>").withColumn("rank", topk.F.lit("x")).withColumn("block", topk.F.lit("x"))
     got = {tuple(r) for r in topk.search(df, topk.F.col("vec_id") % 5 == 0, k=7).collect()}
     assert got == brute([(i, [math.floor(64 * x) for x in v]) for i, v in vectors], 7)
