@@ -276,13 +276,13 @@ def notification_groups(lake: Lake) -> DataFrame:
     return g.withColumn("pct", r4(F.col("n") / F.sum("n").over(Window.partitionBy("repo")) * 100))
 
 
-@query("SELECT user_id, id, type, nth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS nth FROM user_events) WHERE nth <= 6", "user_events")
+@query("SELECT user_id, id, type, CAST(nth AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS nth FROM user_events) WHERE nth <= 6", "user_events")
 def history_last_n(lake: Lake, n: int = 6) -> DataFrame:
     return newest_first(lake.user_events, "user_id", n).select("user_id", "id", "type", "nth")
 
 
 @query("""WITH m AS (SELECT user_id, repo, max(created_at) AS at_, max(id) AS id FROM user_events GROUP BY ALL)
-SELECT user_id, repo, nth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_ DESC, repo) AS nth FROM m) WHERE nth <= 8""", "user_events")
+SELECT user_id, repo, CAST(nth AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_ DESC, repo) AS nth FROM m) WHERE nth <= 8""", "user_events")
 def mru_recent(lake: Lake, cap: int = 8) -> DataFrame:
     """Move-to-front lists: the latest use of each entry, then the newest entries."""
     use = lake.user_events.groupBy("user_id", "repo").agg(F.max("created_at").alias("used"))

@@ -90,7 +90,7 @@ def severity_sort(lake: Lake) -> DataFrame:
     return lake.scans.select("id", "repo", rank.alias("rank")).orderBy("rank", "repo", "id").limit(200)
 
 
-@query("SELECT repo, round(.4 * stars + .4 * open_issues + .2 * (CASE WHEN has_wiki THEN 100 ELSE 0 END), 4) AS points FROM repos ORDER BY points DESC, repo", "repos")
+@query("SELECT repo, round((.4 * stars + .4 * open_issues + .2 * (CASE WHEN has_wiki THEN 100 ELSE 0 END))::DOUBLE, 4) AS points FROM repos ORDER BY points DESC, repo", "repos")
 def radar_rank(lake: Lake) -> DataFrame:
     points = 0.4 * F.col("stars") + 0.4 * F.col("open_issues") + 0.2 * F.when(F.col("has_wiki"), 100).otherwise(0)
     return lake.repos.select("repo", r4(points).alias("points")).orderBy(F.desc("points"), "repo")

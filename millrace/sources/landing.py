@@ -146,7 +146,7 @@ def src_orgs(lake: Lake) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT repo, week, CASE WHEN total = 0 THEN 0 ELSE least(100.0, total * 7 % 101) END AS pct FROM weeks WHERE week >= 42)
-SELECT repo, round(avg(pct), 4) AS mean, round(arg_max(pct, week) - arg_min(pct, week), 4) AS trend FROM w GROUP BY repo""", "weeks")
+SELECT repo, round(avg(pct), 4) AS mean, round((arg_max(pct, week) - arg_min(pct, week))::DOUBLE, 4) AS trend FROM w GROUP BY repo""", "weeks")
 def src_codecov(lake: Lake) -> DataFrame:
     """Coverage over the last ten points, its mean and trend."""
     w = lake.weeks.where("week >= 42").withColumn("pct", F.when(F.col("total") == 0, 0.0).otherwise(F.least(F.lit(100.0), (F.col("total") * 7 % 101).cast("double"))))
