@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.storage import materialise
+from millrace.llm.storage import discard, materialise
 
 SEED = 42
 _PART = 1 << 16
@@ -245,23 +245,191 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
     return grouped(docs, [("fp", words, 1, False)], 4, 4)
 
 
-#: For whole documents that share 0.8 or more of their five-word shingles: 192 bits of the distinct shingles, of which
-#: such pairs differ in 29 on average, and in at most this number.
-SHINGLE_BITS = 38
-DOCUMENT_KINDS = [("word", 1, 3, True), ("shingle", 5, 3, True)]
+#: Near copies of whole documents share 4/5 or more of their distinct shingles of this many words.
+SHINGLE_WORDS = 5
+#: Postings up to this length give all their pairs at once; longer ones first the pairs with this many members.
+SHORT, REPRESENTATIVES = 32, 4
+#: Shingles seen often in one class of ``SAMPLE`` come last in the order, at most so many.
+SAMPLE, COMMON = 16, 20_000
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct shingles of the whole text, as hashes in rising order."""
+    return np.unique(shingle_hashes(text, SHINGLE_WORDS))
+
+
+def _with_sets(docs: DataFrame, *carried: str) -> DataFrame:
+    """``(text, doc_id, ..., set, n)``: a hash of the whole set of shingles, and its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(xxhash.xxh3_64_intdigest(h.tobytes()), len(h)) for h in (shingle_set(t.as_py()) for t in batch.column(0))]
+            named = pa.array(np.array([x for x, _ in found], np.uint64).view(np.int64)), pa.array([n for _, n in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *named], ["text", "doc_id", *carried, "set", "n"])
+
+    rows = docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long"), *carried)
+    schema = rows.withColumn("set", F.lit(None).cast("long")).withColumn("n", F.lit(None).cast("long")).schema
+    return rows.mapInArrow(run, schema)
+
+
+def _common_shingles(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample holds more than once, in rising order, and how often. Any order of the shingles finds the
+    same pairs; rare ones first make short postings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()).view(np.int64))], ["key"])
+
+    sample = classes.where(F.pmod("set", F.lit(SAMPLE)) == 0).select("text")
+    counts = sample.mapInArrow(run, "key long").groupBy("key").count().where("count > 1")
+    rows = counts.orderBy(F.desc("count"), "key").limit(COMMON).collect()
+    keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r["count"] for r in rows], np.int64)[order]
+
+
+def _prefixes(classes: DataFrame) -> DataFrame:
+    """``(key, set, n, pos)``: the first n - ceil(4n/5) + 1 shingles of each class, in one order for all. Two sets with
+    4/5 in common share one of these, since neither can miss more of the other than its prefix holds."""
+    common, times = _common_shingles(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_numpy(), batch.column(1)):
+                h = shingle_set(text.as_py())
+                n = len(h)
+                often = np.zeros(n, np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    often = np.where(common[at] == h, times[at], 0)
+                head = h[np.lexsort((h, often))][: n - (4 * n + 4) // 5 + 1]
+                k = len(head)
+                columns = [head.view(np.int64), np.full(k, name), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "set", "n", "pos"])
+
+    return classes.select("set", "text").mapInArrow(run, "key long, set long, n int, pos int")
+
+
+def _meeting(of: dict[str, np.ndarray], every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of one posting that can reach 4/5: after their first common shingle no more can follow than either
+    has left. Of a long posting, unless ``every`` is set, only those with the members that have least before it."""
+    n, left, group = of["n"], of["n"] - of["pos"], of["group"]
+    order = np.argsort(of["pos"], kind="stable")
+    found = []
+    for k, i in enumerate(order if every or len(order) <= SHORT else order[:REPRESENTATIVES]):
+        j = order[k + 1 :]
+        j = j[(9 * np.minimum(left[i], left[j]) >= 4 * (n[i] + n[j])) & (group[i] != group[j])]
+        found.append(np.stack([np.full(len(j), i), j]))
+    i, j = np.concatenate(found, axis=1)
+    return i, j
+
+
+def _candidates(postings: DataFrame, every: bool, chunk: int) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of ``postings(key, set, n, pos, count, group)`` whose groups differ, by ``_meeting``."""
+    names = ["key", "block", "set", "n", "pos", "group"]
+
+    def pairs(of: dict[str, np.ndarray]) -> pa.RecordBatch:
+        moved = (of["key"][1:] != of["key"][:-1]) | (of["block"][1:] != of["block"][:-1])
+        edges = [0, *(np.flatnonzero(moved) + 1).tolist(), len(of["key"])]
+        out = [np.empty((2, 0), np.int64)]
+        for a, b in zip(edges, edges[1:]):
+            i, j = _meeting({k: v[a:b] for k, v in of.items()}, every)
+            x, y = of["set"][a + i], of["set"][a + j]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+        both = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            of = {k: batch.column(i).to_numpy().astype(np.int64) for i, k in enumerate(names)}
+            if held is not None:
+                of = {k: np.concatenate((held[k], of[k])) for k in names}
+            if not len(of["key"]):
+                continue
+            last = (of["key"] != of["key"][-1]) | (of["block"] != of["block"][-1])
+            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+            held = {k: v[cut:] for k, v in of.items()}
+            if cut:
+                yield pairs({k: v[:cut] for k, v in of.items()})
+        if held is not None:
+            yield pairs(held)
+
+    chunks = F.ceil(F.col("count") / chunk).cast("int")
+    dealt = postings.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("set"), "chunks"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    block = F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")
+    rows = dealt.withColumn("block", block.cast("long")).select(*names)
+    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block")
+    return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose whole sets of shingles have a Jaccard similarity of 4/5 or more, counted exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[tuple] = [(None, None), (None, None)]
+        for batch in batches:
+            keep = []
+            names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k in range(batch.num_rows):
+                for side in (0, 1):
+                    if last[side][0] != names[side][k]:
+                        last[side] = names[side][k], shingle_set(batch.column(2 + side)[k].as_py())
+                x, y = last[0][1], last[1][1]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(9 * both >= 4 * (len(x) + len(y)))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    text = lambda side: classes.select(F.col("set").alias(side), F.col("text").alias(f"text_{side}"))
+    rows = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def near_copies(classes: DataFrame, chunk: int = 4096) -> DataFrame:
+    """Links ``(a, b)`` between sets of ``classes(set, text)`` that connect them as all pairs with 4/5 or more of their
+    shingles in common would, and only such pairs.
+
+    Long postings first give the pairs with a few members; what these do not connect is then compared in all pairs.
+    """
+    postings = materialise(_prefixes(classes), "prefixes")
+    counts = postings.groupBy("key").count().where("count > 1")
+    met = materialise(postings.join(counts, "key"), "postings")
+    discard(postings)
+    pairs = materialise(_candidates(met.withColumn("group", F.col("set")), False, chunk), "pairs")
+    first = materialise(_verified(pairs, classes), "links")
+    discard(pairs)
+    long_ones = met.where(F.col("count") > SHORT)
+    if long_ones.isEmpty():
+        return first
+    known = materialise(connected_components(first), "components").withColumnRenamed("node", "set")
+    grouped_ones = long_ones.join(known, "set", "left").withColumn("group", F.coalesce("component", "set"))
+    pairs = materialise(_candidates(grouped_ones, True, chunk), "pairs")
+    second = materialise(_verified(pairs, classes), "links")
+    discard(pairs, met)
+    return known.select(F.col("set").alias("a"), F.col("component").alias("b")).union(second)
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, columns unchanged, that stand for their group of copies and near copies: of each group
     the one with the smallest doc_id, of repeated rows one.
 
-    Near copies share 0.8 or more of their distinct five-word shingles. At that similarity the prints of the shingles
-    differ in too many bits for an index, but those of the distinct words, few of which an edit touches, do not; so
-    the words' prints are indexed and the shingles' prints decide. A row without an id stays unless a row with an id
-    is its copy.
+    Near copies share 0.8 or more of their distinct five-word shingles. Every such pair counts and no other: sets that
+    similar share a shingle of their prefixes, and each pair that meets there is decided by its whole sets. Texts
+    without words are copies of each other. A row without an id stays unless a row with an id is its copy.
     """
     marked = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
-    found = grouped(marked, DOCUMENT_KINDS, SHINGLE_BITS, 3, "__text")
+    known = materialise(_with_sets(marked, "__text"), "sets")
+    of = known.where("doc_id is not null").groupBy("set")
+    classes = materialise(of.agg(F.min("doc_id").alias("node"), F.first("text").alias("text")), "classes")
+    nodes = classes.select("set", "node")
+    ends = [nodes.select(F.col("set").alias(x), F.col("node").alias(f"node_{x}")) for x in ("a", "b")]
+    near = near_copies(classes).join(ends[0], "a").join(ends[1], "b")
+    found = connected_components(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    named = nodes.join(found, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
+    # written first: a set that a third of the rows have is then a skewed join that adaptive execution splits
+    found = known.join(materialise(named, "named"), "set", "left")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("__text").alias("__of")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__of"))
     return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text"]).select(*docs.columns)

@@ -122,3 +122,56 @@ def test_distinct_documents_against_shingle_sets(spark):
     assert {100 + i for i in range(20)} <= set(got) and got.count(100) == 1
     assert got.count(None) == 1 and 200 in got and 201 not in got
     assert np.isscalar(kept.count())
+
+
+def test_distinct_documents_of_appended_and_replaced_passages(spark):
+    """Pairs just at or under 0.8, which prints of words or shingles cannot tell, against their shingle sets."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, want = [], set()
+    for k in range(90):
+        n = rng.choice((40, 100, 400))
+        base = [word() for _ in range(n)]
+        more = (n - 4) // 4 + k % 2
+        changed = (n - 4) // 9 - 4 + k % 2
+        copy = base + [word() for _ in range(more)] if k % 3 else base[:9] + [word() for _ in range(changed)] + base[9 + changed :]
+        x, y = sets(base), sets(copy)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        want |= {2 * k} if 5 * len(x & y) >= 4 * len(x | y) else {2 * k, 2 * k + 1}
+    assert 20 < len(rows) - len(want) < 70
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.distinct_documents(docs).collect()} == want
+
+
+@pytest.mark.parametrize("chunk", [20, 4096])
+def test_near_copies_of_a_large_group(spark, chunk):
+    """A posting longer than SHORT: copies of one text that are near it but mostly not near each other, with and
+    without the text itself, connect as all pairs do."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = []
+    for with_base in (True, False):
+        base = [word() for _ in range(120)]
+        texts += [base] * with_base
+        for _ in range(70):
+            copy = list(base)
+            for _ in range(rng.randint(1, 3)):
+                copy[rng.randrange(120)] = word()
+            texts.append(copy)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in enumerate(texts)}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(sets, 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    classes = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "set long, text string")
+    found = connected_components(simhash.near_copies(classes, chunk=chunk))
+    got = {r["node"]: r["component"] for r in found.collect()}
+    assert {i: got.get(i, i) for i in sets} == {i: find(i) for i in sets}
