@@ -2,18 +2,20 @@
 
 A print is eight positional bytes. Two fingerprints that differ in at most four bits share at least four of
 the eight, so every linked pair meets in one of the twenty byte triples of ``TRIPLES``, a family that has a member
-inside every set of four positions. Postings are keyed by (triple, its three bytes); a pair that meets there has
-its shared positional bytes tallied, is kept on reaching the guaranteed minimum, and is then verified bit by bit.
-
-Copies collapse to one class before the index, a posting longer than ``chunk`` is dealt out as blocks of chunk
-pairs, and a posting gives a spanning forest of its links rather than all pairs, so that no task holds more than
-two chunks and no output grows with the square of a group.
+inside every set of four positions. A posting is a mask of positions and the print's bits under it; a pair that meets
+there has its shared positional bytes tallied, is kept on reaching the guaranteed minimum, and is then verified bit by
+bit.
+
+Copies collapse to one class before the index. A posting longer than ``chunk`` is divided by a fourth byte, which a
+linked pair must share as well, and then by a fifth of the bits that are left, one of which four differing bits leave
+whole. Each posting gives a spanning forest of its links that starts from its smallest node, so links per node don't
+grow with a group, and the forests of one group's postings mostly name the same links.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,69 +61,72 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.array(hashes, np.uint64)
 
 
-def _mixed(h: np.ndarray, i: int) -> np.ndarray:
-    """The i-th derived hash; the 0th is the hash itself. The finisher of splitmix64."""
-    if i == 0:
-        return h
-    with np.errstate(over="ignore"):
-        z = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(i)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
-
-
-def fingerprint(hashes: np.ndarray, prints: int = 1) -> list[int]:
-    """``prints`` signed 64-bit fingerprints. A bit is 1 if set in over half the hashes; no hash: all zero."""
-    out = []
-    for i in range(prints):
-        counts = np.zeros(64, np.int64)
-        for a in range(0, len(hashes), _PART):
-            h = _mixed(hashes[a : a + _PART], i).astype(">u8")
-            counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        bits = np.packbits(2 * counts > len(hashes))
-        out.append(int.from_bytes(bits.tobytes(), "big", signed=True))
-    return out
-
-
-def fingerprints(docs: DataFrame, kinds: list[tuple[str, int, int, bool]], *carried: str) -> DataFrame:
-    """``(doc_id, ..., prints)`` of every row's whole text; a null text counts as empty.
+def fingerprint(hashes: np.ndarray) -> int:
+    """The signed 64-bit fingerprint. A bit is 1 if set in over half the hashes; no hash: all zero."""
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), _PART):
+        h = hashes[a : a + _PART].astype(">u8")
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
 
-    ``kinds``: (name of the columns, words of a shingle, prints, whether equal shingles count once).
-    """
-    names = [f"{name}{i}" for name, _, prints, _ in kinds for i in range(prints)]
 
-    def found(text: str | None) -> list[int]:
-        out = []
-        for _, words, prints, once in kinds:
-            hashes = shingle_hashes(text, words)
-            out += fingerprint(np.unique(hashes) if once else hashes, prints)
-        return out
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, fp)`` of every row's whole text, of its shingles of ``words`` words, repeats included; a null text
+    counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [found(t.as_py()) for t in batch.column(0)]
-            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], ["doc_id", *carried, *names])
-
-    rows = docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long"), *carried)
-    schema = rows.drop("text")
-    for n in names:
-        schema = schema.withColumn(n, F.lit(None).cast("long"))
-    return rows.mapInArrow(run, schema.schema)
-
-
-def _postings(classes: DataFrame, names: list[str], carried: list[str]) -> DataFrame:
-    """A row for each class and posting: its key holds the print, the triple and the triple's bytes."""
-
-    def byte(fp: str, p: int) -> Column:
-        return F.shiftrightunsigned(F.col(fp), 8 * p).bitwiseAND(F.lit(255))
-
-    keys = []
-    for i, fp in enumerate(names):
-        for t, (a, b, c) in enumerate(TRIPLES):
-            tag = F.lit((i * len(TRIPLES) + t) << 24)
-            keys.append(tag + F.shiftleft(byte(fp, a), 16) + F.shiftleft(byte(fp, b), 8) + byte(fp, c))
-    return classes.select(F.explode(F.array(*keys)).alias("key"), "node", *carried)
+            prints = [fingerprint(shingle_hashes(t.as_py(), words)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+
+    rows = docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long"))
+    return rows.mapInArrow(run, "doc_id long, fp long")
+
+
+def _mask(positions: Iterable[int], bits: Iterable[int] = ()) -> int:
+    """The signed mask of whole bytes and single bits."""
+    out = sum(255 << 8 * p for p in positions) | sum(1 << b for b in bits)
+    return out - (1 << 64) if out >> 63 else out
+
+
+def _divisions() -> list[dict[int, list[int]]]:
+    """The masks that divide a long posting, by its mask: first each further byte, then each fifth of what is left."""
+    first = {_mask(t): [_mask((*t, p)) for p in range(8) if p not in t] for t in TRIPLES}
+    second = {}
+    for four in itertools.combinations(range(8), 4):
+        left = [8 * p + b for p in range(8) if p not in four for b in range(8)]
+        second[_mask(four)] = [_mask(four, left[i::5]) for i in range(5)]
+    return [first, second]
+
+
+def _keyed(rows: DataFrame, masks: Column) -> DataFrame:
+    """``(key, node, fp, mask)``: a row for each mask; the key stands for the mask and the bits under it."""
+    rows = rows.select("node", "fp", F.explode(masks).alias("mask"))
+    return rows.withColumn("key", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values])
+
+
+def _postings(classes: DataFrame, chunk: int) -> DataFrame:
+    """``(key, block, node, fp)`` of ``classes(node, fp)``; what two divisions leave long is dealt to pairs of chunks."""
+    whole = F.lit(0).cast("long").alias("block")
+    rows = _keyed(classes, _longs([_mask(t) for t in TRIPLES]))
+    short = []
+    for masks in _divisions():
+        long_ones = materialise(rows.groupBy("key").count().where(F.col("count") > chunk).select("key"), "long")
+        if long_ones.isEmpty():
+            break
+        short.append(rows.join(long_ones, "key", "left_anti").select("key", whole, "node", "fp"))
+        parts = F.create_map(*[x for mask, those in masks.items() for x in (F.lit(mask).cast("long"), _longs(those))])
+        rows = _keyed(rows.join(long_ones, "key", "left_semi"), parts[F.col("mask")]).distinct()
+    else:
+        rows = _spread(rows, chunk)
+    out = rows.select("key", F.col("block") if "block" in rows.columns else whole, "node", "fp")
+    for other in short:
+        out = out.union(other)
+    return out
 
 
 def _spread(postings: DataFrame, chunk: int) -> DataFrame:
@@ -132,35 +137,24 @@ def _spread(postings: DataFrame, chunk: int) -> DataFrame:
     mine = F.pmod(F.xxhash64("node"), F.col("chunks"))
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     block = F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")
-    return dealt.withColumn("block", block).drop("chunks", "mine", "other")
+    return dealt.withColumn("block", block.cast("long")).drop("chunks", "mine", "other")
 
 
-def _shared_bytes(x: np.ndarray) -> np.ndarray:
-    """How many of the eight bytes of each xor are zero."""
-    return (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1)
-
-
-def _near(fps: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int, shared: int) -> np.ndarray:
-    """Which of the pairs (i, j) are links. Counting comes first: with ``shared`` bytes or fewer, no link."""
-    total = np.zeros(len(i), np.int64)
-    tally = np.zeros(len(i), np.int64)
-    for f in fps:
-        x = f[i] ^ f[j]
-        if shared:
-            tally = np.maximum(tally, _shared_bytes(x))
-        total += np.bitwise_count(x)
-    return (tally >= shared) & (total <= bits)
+def _near(x: np.ndarray, bits: int, shared: int) -> np.ndarray:
+    """Which xors of two prints are links. Counting comes first: under ``shared`` equal bytes there is no link."""
+    tally = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1)
+    return (tally >= shared) & (np.bitwise_count(x) <= bits)
 
 
 def _forest(fps: np.ndarray, bits: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of one posting's links: each member, once reached, is compared with those not reached."""
-    left = np.arange(fps.shape[1])
+    left = np.arange(len(fps))
     found: list[tuple[int, int]] = []
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
-            at = queue.pop()
-            near = _near(fps, np.full(len(left), at), left, bits, shared)
+            at = queue.pop(0)
+            near = _near(fps[left] ^ fps[at], bits, shared)
             reached = left[near]
             found += [(at, int(x)) for x in reached]
             queue += reached.tolist()
@@ -169,80 +163,102 @@ def _forest(fps: np.ndarray, bits: int, shared: int) -> tuple[np.ndarray, np.nda
     return pairs[:, 0], pairs[:, 1]
 
 
+def spanning(i: np.ndarray, j: np.ndarray, members: int) -> np.ndarray:
+    """Which of the links (i, j) make a spanning forest: in each round every part keeps its first link that leads out
+    of it (Boruvka), so a link stays only if it joins two parts."""
+    part, kept, left = np.arange(members), np.zeros(len(i), bool), np.arange(len(i))
+    while True:
+        ends = np.stack([part[i[left]], part[j[left]]], axis=1)
+        out = ends[:, 0] != ends[:, 1]
+        left, ends = left[out], ends[out]
+        if not len(left):
+            return kept
+        flat, other = ends.ravel(), ends[:, ::-1].ravel()
+        first = np.full(members, -1)
+        first[flat[::-1]] = np.arange(len(flat))[::-1]
+        who = np.flatnonzero(first >= 0)
+        kept[left[first[who] // 2]] = True
+        up = np.arange(members)
+        up[who] = other[first[who]]
+        mutual = who[(up[up[who]] == who) & (who < up[who])]
+        up[mutual] = mutual
+        while (up[up] != up).any():
+            up = up[up]
+        part = up[part]
+
+
 def _links_of_sorted(key: np.ndarray, node: np.ndarray, fps: np.ndarray, bits: int, shared: int) -> np.ndarray:
-    """Links within runs of equal key. Short runs: by distance within the run; long ones: a spanning forest."""
+    """A spanning forest of the links within each run of equal key. Short runs are compared by distance within the run,
+    all at once; long ones one by one."""
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(edge, len(key)))
-    out = []
+    out = [np.empty((0, 2), np.int64)]
     for a, n in zip(edge[size > 48].tolist(), size[size > 48].tolist()):
-        i, j = _forest(fps[:, a : a + n], bits, shared)
+        i, j = _forest(fps[a : a + n], bits, shared)
         out.append(np.stack([node[a + i], node[a + j]], axis=1))
     short = np.repeat(size <= 48, size)
     left = np.repeat(edge + size, size)  # where each run ends
     at = np.flatnonzero(short)
-    step = 1
+    step, pairs = 1, []
     while len(at := at[at + step < left[at]]):
-        near = _near(fps, at, at + step, bits, shared)
-        out.append(np.stack([node[at[near]], node[at[near] + step]], axis=1))
+        near = at[_near(fps[at] ^ fps[at + step], bits, shared)]
+        pairs.append(np.stack([near, near + step]))
         step += 1
-    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    if pairs:
+        i, j = np.concatenate(pairs, axis=1)
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        keep = spanning(i, j, len(key))
+        out.append(np.stack([node[i[keep]], node[j[keep]]], axis=1))
+    return np.concatenate(out)
 
 
-def links(classes: DataFrame, indexed: list[str], decide: list[str], bits: int, shared: int, chunk: int = 4096) -> DataFrame:
-    """Links ``(a, b)`` that connect the classes as all pairs within ``bits`` would: in each posting a spanning
-    forest. ``shared``: the least number of equal bytes in some print, where the index prints decide as well."""
-    if indexed != decide:
-        shared = 0  # the posting itself says that three bytes are equal
+def links(classes: DataFrame, bits: int = 4, shared: int = 4, chunk: int = 4096) -> DataFrame:
+    """Links ``(a, b)`` that connect ``classes(node, fp)`` as all pairs within ``bits`` would. ``shared``: the least
+    number of equal bytes of such a pair, 8 - bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
+        held: list[np.ndarray] | None = None
 
-        def emit(key: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            found = _links_of_sorted(key, node, fps, bits, shared)
+        def emit(key: np.ndarray, _: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            found = _links_of_sorted(key, node, fps.view(np.uint64), bits, shared)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
         for batch in batches:
-            key = batch.column(0).to_numpy() ^ (batch.column(1).to_numpy() << np.int64(36))
-            node = batch.column(2).to_numpy()
-            fps = np.stack([batch.column(3 + i).to_numpy().view(np.uint64) for i in range(len(decide))])
+            of = [c.to_numpy() for c in batch.columns]
+            # a run is a posting's block: both numbers make the run's key
+            of[0] = of[0] ^ (of[1] << np.int64(36))
             if held is not None:
-                key, node = np.concatenate((held[0], key)), np.concatenate((held[1], node))
-                fps = np.concatenate((held[2], fps), axis=1)
+                of = [np.concatenate(x) for x in zip(held, of)]
+            key = of[0]
             if not len(key):
                 continue
             cut = int(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[-1])
-            held = key[cut:], node[cut:], fps[:, cut:]
+            held = [x[cut:] for x in of]
             if cut:
-                yield emit(key[:cut], node[:cut], fps[:, :cut])
-        if held is not None and len(held[0]):
+                yield emit(*(x[:cut] for x in of))
+        if held is not None:
             yield emit(*held)
 
-    rows = _spread(_postings(classes, indexed, decide), chunk).select("key", "block", "node", *decide)
-    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block")
+    rows = _postings(classes, chunk).repartition("key", "block").sortWithinPartitions("key", "block", "node")
     return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def grouped(docs: DataFrame, kinds: list[tuple[str, int, int, bool]], bits: int, shared: int, *carried: str) -> DataFrame:
-    """``(doc_id, ..., prints, component_id)``, a row per row of ``docs(doc_id, text)``.
+def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
+    """``(doc_id, fp, component_id)``, a row per row of ``docs(doc_id, text)``, over links of at most four differing
+    bits, every one of which is found.
 
-    The first kind's prints are indexed, the last one's decide: a link is a pair that meets in the index and differs
-    in at most ``bits`` of those prints together. ``shared`` of 4 is the guaranteed minimum where one print is both.
     component_id is the smallest doc_id reachable, itself included. Null and empty texts have print zero and link
-    like any other. Rows with a null doc_id take part; a group with no other id has a null component.
+    like any other; long texts are read whole; repeated rows each keep their row and share a component. Rows with a null
+    doc_id take part; a group with no other id has a null component. An empty table gives no rows; further columns,
+    whatever their names, are not read.
     """
-    of = lambda kind: [f"{kind[0]}{i}" for i in range(kind[2])]
-    names = [n for kind in kinds for n in of(kind)]
-    known = materialise(fingerprints(docs, kinds, *carried), "prints")
-    classes = materialise(known.groupBy(*names).agg(F.min("doc_id").alias("node")).where("node is not null"), "classes")
-    found = connected_components(links(classes, of(kinds[0]), of(kinds[-1]), bits, shared))
-    named = classes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    known = materialise(fingerprints(docs, words), "prints")
+    classes = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "classes")
+    found = connected_components(links(classes))
+    named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     # written first: a print that a third of the rows have is then a skewed join that adaptive execution splits
-    return known.join(materialise(named, "named"), names, "left").select("doc_id", *carried, *names, "component_id")
-
-
-def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
-    """``(doc_id, fp0, component_id)`` over links of at most four differing bits, every one of which is found."""
-    return grouped(docs, [("fp", words, 1, False)], 4, 4)
+    return known.join(materialise(named, "named"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 #: Near copies of whole documents share 4/5 or more of their distinct shingles of this many words.
@@ -259,16 +275,16 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def _with_sets(docs: DataFrame, *carried: str) -> DataFrame:
-    """``(text, doc_id, ..., set, n)``: a hash of the whole set of shingles, and its size."""
+    """``(text, doc_id, ..., set, fp)``: a hash of the whole set of shingles, and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(xxhash.xxh3_64_intdigest(h.tobytes()), len(h)) for h in (shingle_set(t.as_py()) for t in batch.column(0))]
-            named = pa.array(np.array([x for x, _ in found], np.uint64).view(np.int64)), pa.array([n for _, n in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *named], ["text", "doc_id", *carried, "set", "n"])
+            found = [(xxhash.xxh3_64_intdigest(h.tobytes()), fingerprint(h)) for h in (shingle_set(t.as_py()) for t in batch.column(0))]
+            named = pa.array(np.array([x for x, _ in found], np.uint64).view(np.int64)), pa.array([x for _, x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *named], ["text", "doc_id", *carried, "set", "fp"])
 
     rows = docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long"), *carried)
-    schema = rows.withColumn("set", F.lit(None).cast("long")).withColumn("n", F.lit(None).cast("long")).schema
+    schema = rows.withColumn("set", F.lit(None).cast("long")).withColumn("fp", F.lit(None).cast("long")).schema
     return rows.mapInArrow(run, schema)
 
 
@@ -387,41 +403,60 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _grouped(links: DataFrame) -> DataFrame:
+    """``(set, group)`` of every set that has a link."""
+    found = connected_components(links)
+    return materialise(found.select(F.col("node").alias("set"), F.col("component").alias("group")), "components")
+
+
 def near_copies(classes: DataFrame, chunk: int = 4096) -> DataFrame:
-    """Links ``(a, b)`` between sets of ``classes(set, text)`` that connect them as all pairs with 4/5 or more of their
+    """Links ``(a, b)`` between sets of ``classes(set, fp, text)`` that connect them as all pairs with 4/5 or more of their
     shingles in common would, and only such pairs.
 
-    Long postings first give the pairs with a few members; what these do not connect is then compared in all pairs.
+    The byte index gives the pairs whose prints are within four bits, which is most near copies and no guarantee: sets
+    at 4/5 have prints some ten bits apart. What it does not connect is looked for by prefixes of the sets, which miss
+    nothing; long postings there first give the pairs with a few members, then all pairs that are still apart. Every
+    pair is decided by its whole sets.
     """
-    postings = materialise(_prefixes(classes), "prefixes")
-    counts = postings.groupBy("key").count().where("count > 1")
-    met = materialise(postings.join(counts, "key"), "postings")
-    discard(postings)
-    pairs = materialise(_candidates(met.withColumn("group", F.col("set")), False, chunk), "pairs")
-    first = materialise(_verified(pairs, classes), "links")
+    met = materialise(links(classes.select(F.col("set").alias("node"), "fp"), chunk=chunk), "met")
+    near = materialise(_verified(met, classes), "links")
+    discard(met)
+    groups = _grouped(near)
+
+    def apart(postings: DataFrame, groups: DataFrame) -> DataFrame:
+        return postings.drop("group").join(groups, "set", "left").withColumn("group", F.coalesce("group", "set"))
+
+    prefixes = materialise(_prefixes(classes), "prefixes")
+    counts = prefixes.groupBy("key").count().where("count > 1")
+    postings = materialise(apart(prefixes.join(counts, "key"), groups), "postings")
+    discard(prefixes)
+    pairs = materialise(_candidates(postings, False, chunk), "pairs")
+    more = materialise(_verified(pairs, classes), "links")
     discard(pairs)
-    long_ones = met.where(F.col("count") > SHORT)
-    if long_ones.isEmpty():
-        return first
-    known = materialise(connected_components(first), "components").withColumnRenamed("node", "set")
-    grouped_ones = long_ones.join(known, "set", "left").withColumn("group", F.coalesce("component", "set"))
-    pairs = materialise(_candidates(grouped_ones, True, chunk), "pairs")
-    second = materialise(_verified(pairs, classes), "links")
-    discard(pairs, met)
-    return known.select(F.col("set").alias("a"), F.col("component").alias("b")).union(second)
+    long_ones = postings.where(F.col("count") > SHORT)
+    if not long_ones.isEmpty():
+        joined = materialise(near.union(more), "links")
+        discard(near, more, groups)
+        near, groups = joined, _grouped(joined)
+        pairs = materialise(_candidates(apart(long_ones, groups), True, chunk), "pairs")
+        more = materialise(_verified(pairs, classes), "links")
+        discard(pairs)
+    discard(postings, groups)
+    return near.union(more)
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, columns unchanged, that stand for their group of copies and near copies: of each group
     the one with the smallest doc_id, of repeated rows one.
 
-    Near copies share 0.8 or more of their distinct five-word shingles. Every such pair counts and no other: sets that
-    similar share a shingle of their prefixes, and each pair that meets there is decided by its whole sets. Texts
-    without words are copies of each other. A row without an id stays unless a row with an id is its copy.
+    Near copies share 0.8 or more of their distinct five-word shingles. Every such pair counts and no other. Texts
+    without words, null and empty ones too, are copies of each other; long texts are compared whole. A row without an id
+    stays unless a row with an id is its copy. An empty table gives an empty one; further columns pass through, whatever
+    their names but ``__text``.
     """
     marked = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
     known = materialise(_with_sets(marked, "__text"), "sets")
-    of = known.where("doc_id is not null").groupBy("set")
+    of = known.where("doc_id is not null").groupBy("set", "fp")
     classes = materialise(of.agg(F.min("doc_id").alias("node"), F.first("text").alias("text")), "classes")
     nodes = classes.select("set", "node")
     ends = [nodes.select(F.col("set").alias(x), F.col("node").alias(f"node_{x}")) for x in ("a", "b")]
@@ -441,4 +476,4 @@ def fingerprint_hex(fp: str) -> Column:
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
-    return found.select("doc_id", fingerprint_hex("fp0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", fingerprint_hex("fp").alias("fingerprint"), "component_id")

@@ -58,12 +58,12 @@ def texts():
 def test_same_as_brute_force(spark):
     rows = [(i * 3 + 1, t) for i, t in enumerate(texts())]
     prints = {i: reference_print(t) for i, t in rows}
-    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").withColumn("fp0", simhash.F.lit("x"))
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").withColumn("fp", simhash.F.lit("x"))
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(rows) + 3
     want = components(prints)
     for r in got:
-        assert r["fp0"] & (1 << 64) - 1 == prints[r["doc_id"]]
+        assert r["fp"] & (1 << 64) - 1 == prints[r["doc_id"]]
         assert r["component_id"] == want[r["doc_id"]]
 
 
@@ -73,8 +73,8 @@ def test_links_keep_large_groups_connected(spark, chunk):
     centre = rng.getrandbits(63)
     prints = {i: centre ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for i in range(120)} | {200 + i: rng.getrandbits(63) for i in range(60)}
     rows = list({p: (i, p) for i, p in prints.items()}.values())
-    classes = spark.createDataFrame(rows, "node long, fp0 long")
-    found = connected_components(simhash.links(classes, ["fp0"], ["fp0"], 4, 4, chunk=chunk))
+    classes = spark.createDataFrame(rows, "node long, fp long")
+    found = connected_components(simhash.links(classes, chunk=chunk))
     got = {r["node"]: r["component"] for r in found.collect()}
     want = components(dict(rows))
     assert {i: got.get(i, i) for i, _ in rows} == want
@@ -171,7 +171,54 @@ def test_near_copies_of_a_large_group(spark, chunk):
         if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    classes = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "set long, text string")
+    prints = [simhash.fingerprint(simhash.shingle_set(" ".join(w))) for w in texts]
+    classes = spark.createDataFrame([(i, prints[i], " ".join(w)) for i, w in enumerate(texts)], "set long, fp long, text string")
     found = connected_components(simhash.near_copies(classes, chunk=chunk))
     got = {r["node"]: r["component"] for r in found.collect()}
     assert {i: got.get(i, i) for i in sets} == {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("n", [500, 2000, 4000])
+def test_links_per_node_do_not_grow_with_a_group(spark, n):
+    """Prints within four bits of a centre, each in some long posting."""
+    rng = random.Random(n)
+    centre = rng.getrandbits(63)
+    prints = set()
+    while len(prints) < n:
+        x = centre
+        for _ in range(rng.randint(1, 4)):
+            x ^= 1 << rng.randrange(63)
+        prints.add(x)
+    classes = spark.createDataFrame([(i, p) for i, p in enumerate(sorted(prints))], "node long, fp long")
+    assert simhash.links(classes).count() < 22 * n
+    assert simhash.links(classes, chunk=256).count() < 60 * n
+
+
+def test_a_spanning_forest_joins_what_all_links_join():
+    rng = np.random.default_rng(0)
+    for n, m in ((1, 0), (5, 4), (60, 40), (300, 2000)):
+        i, j = rng.integers(0, n, m), rng.integers(0, n, m)
+        kept = simhash.spanning(i, j, n)
+
+        def parts(i, j):
+            parent = list(range(n))
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in zip(i.tolist(), j.tolist()):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+            return [find(x) for x in range(n)]
+
+        assert parts(i, j) == parts(i[kept], j[kept])
+        assert kept.sum() == n - len(set(parts(i, j)))
+
+
+def test_very_long_texts():
+    text = "a b c " * 400_000
+    assert simhash.fingerprint(simhash.shingle_hashes(text, 4)) & (1 << 64) - 1 == reference_print("a b c " * 4)
+    assert len(simhash.shingle_set(text)) == 3
+    assert len(simhash.shingle_hashes("x" * 5_000_000, 4)) == 1
