@@ -1,20 +1,23 @@
 """HTML extraction with site style trees (Yi, Liu and Li, "Eliminating Noisy Information in Web Pages", 2003).
 
-A page is parsed to a tree of elements. The trees of a host's pages are merged by path (tag and class or id of each
-block element from the body down); a node of the merged tree counts, over the host's pages, which child sequences
-(presentation) and which texts (content) stand there. A node's importance is the greater of the two entropies, each
-as a share of the largest possible one. Branches of low importance - the same menu, footer or notice on page after
-page - are removed from every page of the host.
-
-Elements whose role is plain from the markup (scripts, forms, nav, footer, aside, and classes or ids that name an
-advert, comment list, cookie notice and the like) have importance zero to begin with, however varied their text; an
-article or main element is where the text is if there is one, and what stands in it unmarked is never unimportant.
+A page is parsed to a tree of elements. The trees of a host's pages are merged by path (tag and first class or id of
+each block element from the body down); a node of the merged tree counts, over the host's distinct pages, which child
+sequences (presentation) and which contents stand there. A content is that of the whole branch, everything below
+included, so a branch whose children vary is never unimportant. Each of the two distributions has an entropy, as a share
+of the largest possible one; the greater one, drawn towards 1 where few pages hold the node, is the node's importance.
+Branches of low importance - the same menu, footer or notice on page after page - are removed from every page of the
+host, inside articles too.
+
+Markup that states a role (nav, footer, aside, forms, ``role=``, and classes or ids made of nothing but words for
+adverts, comment lists, cookie notices and the like) is the tree's prior: the importance of such a branch is zero however
+varied its text. An article or main element states where the text is, if there is one, and is itself never removed.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,16 +26,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.storage import materialise
 
-#: Pages of a host at least before its style tree says anything, and the importance below which a branch goes.
-LEAST_PAGES, LEAST_IMPORTANCE = 8, 0.3
-#: The removed branches of all hosts are broadcast up to this number; beyond it they are joined by host.
-BROADCAST_BRANCHES = 100_000
+#: Branches of less importance go. A node's entropy counts once for each page that holds it, and 1 counts so many times.
+LEAST_IMPORTANCE, PRIOR_PAGES = 0.3, 3
 
 # Names of HTML, and words that classes and ids use for what is not the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|textarea|title|noscript|template|iframe|xmp|noembed|noframes"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 DROPPED = frozenset("head nav footer aside form button select option svg canvas object audio video map dialog menu fieldset".split())
+#: Elements that state where the text is; they are never removed.
+STATED = frozenset("html body main article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promoted promotion "
@@ -41,6 +44,8 @@ NOISE = frozenset(
     "respond reply replies disqus share sharing social related recommended recommendations popup modal overlay "
     "toolbar pagination pager login copyright disclaimer masthead topbar".split()
 )
+#: Words that say nothing more beside one of the above.
+GENERIC = frozenset("site page top bottom left right main global primary secondary box bar area block list links link section wrapper wrap container inner item items widget button buttons row panel posts articles js".split())
 HEADERS = frozenset("header header-top page-header site-header top-header".split())
 #: Opening one of the first closes an open one of the second, if none of the third stands between.
 IMPLIED = {
@@ -64,35 +69,46 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 
 
 class _Element:
-    __slots__ = ("tag", "path", "label", "noise", "main", "children")
+    __slots__ = ("tag", "path", "owner", "noise", "main", "gone", "children", "parts")
 
-    def __init__(self, tag: str, path: str, label: str, noise: bool, main: bool):
-        self.tag, self.path, self.label, self.noise, self.main = tag, path, label, noise, main
+    def __init__(self, tag: str, path: int, noise: bool, main: bool, gone: bool, owner: _Element | None = None):
+        self.tag, self.path, self.noise, self.main, self.gone = tag, path, noise, main, gone
+        self.owner = owner or self  # the node of the tree whose text this is
         self.children: list[str] = []
+        self.parts: list[bytes] = []
+
+
+def _names_noise(word: str) -> bool:
+    parts = [x for x in re.split(r"[-_]+", word) if x]
+    return not NOISE.isdisjoint(parts) and all(x in NOISE or x in GENERIC for x in parts)
 
 
 def _is_noise(tag: str, names: dict[str, str], inside: bool) -> bool:
     if tag in DROPPED or tag == "header" and not inside:
         return True
-    if names:
+    if names and tag not in STATED:
         if names.get("role", "").lower() in ROLES:
             return True
-        for word in (names.get("class", "") + " " + names.get("id", "")).lower().split():
-            if word in HEADERS and not inside:
-                return True
-            if not NOISE.isdisjoint(re.split(r"[-_]+", word)):
-                return tag not in ("html", "body", "main", "article") or word.startswith("comment")
+        words = (names.get("class", "") + " " + names.get("id", "")).lower().split()
+        return any(w in HEADERS and not inside or _names_noise(w) for w in words)
     return False
 
 
-class Page:
-    """A parsed page: ``blocks`` of text in page order, each with the path of its element, whether a role removes it
-    and whether it stands in an article or main element; ``styles``: the child sequences of each path."""
+def _digest(parts: list[bytes]) -> bytes:
+    return xxhash.xxh64_digest(b"".join(parts))
 
-    def __init__(self, source: str | None):
-        self.blocks: list[tuple[str, bool, bool, str]] = []
-        self.styles: list[tuple[str, str]] = []
-        self.stack = [_Element("", "", "", False, False)]
+
+class Page:
+    """A parsed page: ``blocks`` of text in page order, each with whether a role or the host's tree (``removed`` paths)
+    takes it away and whether it stands in an article or main element; ``nodes``: what it adds to its host's tree."""
+
+    def __init__(self, source: str | None, removed: frozenset[int] | set[int] = frozenset()):
+        self.blocks: list[tuple[bool, bool, bool, str]] = []
+        #: path -> (noise, contents, child sequences), one of each for every element there
+        self.nodes: dict[int, tuple[bool, list[bytes], list[bytes]]] = {}
+        self.removed = removed
+        self.stack = [_Element("", 0, False, False, False)]
+        self.open: Counter[str] = Counter()
         self.text: list[str] = []
         source = source or ""
         at = 0
@@ -119,19 +135,29 @@ class Page:
             self.text.clear()
             if text:
                 top = self.stack[-1]
-                self.blocks.append((top.path, top.noise, top.main, text))
+                self.blocks.append((top.noise, top.gone, top.main, text))
+                top.owner.parts.append(xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass")))
 
     def _pop(self, size: int) -> None:
         """Close elements until ``size`` of them, the root not counted, stay open."""
         while len(self.stack) - 1 > size:
             gone = self.stack[-1]
-            if gone.tag not in INLINE or gone.noise != self.stack[-2].noise:
+            if gone.owner is gone:
                 self._flush()
             self.stack.pop()
-            if gone.children:
-                self.styles.append((gone.path, " ".join(gone.children)))
+            self.open[gone.tag] -= 1
+            if gone.owner is gone and gone.parts:
+                content, up = _digest(gone.parts), self.stack[-1].owner
+                up.parts.append(content)
+                if gone.tag not in STATED and not up.noise:
+                    node = self.nodes.setdefault(gone.path, (gone.noise, [], []))
+                    if not gone.noise:
+                        node[1].append(content)
+                        node[2].append(" ".join(gone.children).encode("utf-8", "surrogatepass") + b"\n")
 
     def _find(self, tags: set[str], until: set[str]) -> int | None:
+        if not any(self.open[t] for t in tags):
+            return None
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in tags:
                 return i
@@ -161,18 +187,17 @@ class Page:
                 names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         up = self.stack[-1]
         noise = up.noise or _is_noise(tag, names, up.main)
-        main = up.main or tag in ("article", "main") or names.get("role", "").lower() in ("main", "article")
-        if inline:
-            if noise != up.noise:
-                self._flush()
-            self.stack.append(_Element(tag, up.path, "", noise, main))
+        self.open[tag] += 1
+        if inline and noise == up.noise:
+            self.stack.append(_Element(tag, up.path, noise, up.main, up.gone, up.owner))
             return
+        main = up.main or tag in ("article", "main") or names.get("role", "").lower() in ("main", "article")
         self._flush()
         first = (names.get("class", "") + " " + names.get("id", "")).split()
-        label = tag + ("." + first[0] if first else "")
-        host = next(e for e in reversed(self.stack) if e.tag not in INLINE)
-        host.children.append(label)
-        self.stack.append(_Element(tag, f"{up.path}/{label}", label, noise, main))
+        label = tag + ("." + first[0] if first else "") + "!" * noise
+        up.owner.children.append(label)
+        path = xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), up.path) >> 1
+        self.stack.append(_Element(tag, path, noise, main, up.gone or path in self.removed and tag not in STATED))
 
     def _close(self, tag: str) -> None:
         if tag == "p" and not self._find({"p"}, {"table"}):
@@ -182,31 +207,18 @@ class Page:
         if i := self._find({tag}, until):
             self._pop(i - 1)
 
-    def nodes(self) -> Iterator[tuple[str, int, int]]:
-        """(path, 0 or 1, hash): what a page adds to its host's style tree. 0: a child sequence, 1: a text. What a role
-        removes, or an article holds, is decided already."""
-        texts: dict[str, list[str]] = {}
-        for path, noise, main, text in self.blocks:
-            if not noise and not main:
-                texts.setdefault(path, []).append(text)
-        sequences: dict[str, list[str]] = {}
-        for path, children in self.styles:
-            if path in texts:
-                sequences.setdefault(path, []).append(children)
-        for path, found in texts.items():
-            yield path, 1, xxhash.xxh64_intdigest("\n".join(found).encode("utf-8", "surrogatepass")) >> 1
-        for path, found in sequences.items():
-            yield path, 0, xxhash.xxh64_intdigest("\n".join(found).encode("utf-8", "surrogatepass")) >> 1
-
-    def extract(self, removed: frozenset[str] | set[str] = frozenset()) -> str:
-        """The kept blocks, a line each."""
-        kept = [b for b in self.blocks if not b[1]]
+    def rows(self) -> Iterator[tuple[int, bool, int, int]]:
+        """(path, noise, content, presentation) of every node that holds text; what stands in noise is part of it."""
+        as_int = lambda x: int.from_bytes(_digest(x), "big") >> 1
+        for path, (noise, contents, styles) in self.nodes.items():
+            yield path, noise, as_int(contents), as_int(styles)
+
+    def extract(self) -> str:
+        """The kept blocks, a line each. A page whose host's tree would leave nothing of it keeps what roles leave."""
+        kept = [b for b in self.blocks if not b[0]]
         inside = [b for b in kept if b[2]]
-        if inside:
-            kept = inside
-        elif removed:
-            kept = [b for b in kept if not any(b[0] == r or b[0].startswith(r + "/") for r in removed)]
-        return "\n".join(b[3] for b in kept)
+        kept = inside or kept
+        return "\n".join(b[3] for b in [b for b in kept if not b[1]] or kept)
 
 
 def _host(url: str = "url"):
@@ -214,44 +226,56 @@ def _host(url: str = "url"):
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``(host, path, pages, importance)`` of every text-holding node that roles leave open, over all pages.
+    """``(host, path, pages, importance)`` of every text-holding node of every host's tree.
 
-    Equal contents of a node are counted before anything is gathered, so a host with a third of all pages is a
-    number of counts, not a group.
+    Pages of a host with equal html count once: copies say nothing of what is common to different pages. Equal
+    contents of a node are counted before anything is gathered, so a host with a third of all pages is a number of
+    counts, not a group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["host", "page", "path", "noise", "content", "style"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
         for batch in batches:
             rows = []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows += [(host, *n) for n in Page(source.as_py()).nodes()]
-            columns = list(zip(*rows)) or [()] * 4
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "kind", "what"])
-
-    nodes = pages.select(_host().alias("host"), F.col("html").cast("string")).mapInArrow(run, "host string, path string, kind int, what long")
-    counts = nodes.groupBy("host", "path", "kind", "what").agg(F.count("*").alias("n"))
-    sums = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+                source = source.as_py() or ""
+                page = xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass")) >> 1
+                for path, noise, content, style in Page(source).rows():
+                    rows.append((host, 0, path, True, 0, 0) if noise else (host, page, path, False, content, style))
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    sources = pages.select(_host().alias("host"), F.col("html").cast("string"))
+    nodes = sources.mapInArrow(run, "host string, page long, path long, noise boolean, content long, style long").distinct()
+    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("what")), F.struct(F.lit(1).alias("kind"), F.col("style").alias("what")))
+    flat = nodes.select("host", "path", "noise", F.explode(both).alias("x")).select("host", "path", "noise", "x.*")
+    counts = flat.groupBy("host", "path", "noise", "kind", "what").agg(F.count("*").alias("n"))
+    sums = counts.groupBy("host", "path", "noise", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-    return sums.withColumn("entropy", entropy).groupBy("host", "path").agg(F.max("m").alias("pages"), F.max("entropy").alias("importance"))
+    drawn = F.when(F.col("noise"), 0.0).otherwise((F.col("m") * entropy + PRIOR_PAGES) / (F.col("m") + PRIOR_PAGES))
+    return sums.withColumn("drawn", drawn).groupBy("host", "path").agg(F.max("m").alias("pages"), F.max("drawn").alias("importance"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, text, n_chars)``, a row per input row; a null html counts as empty, a null url as a host of
-    its own. Very large and broken pages are read whole; what is never closed ends with the page."""
-    low = style_tree(pages).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    """``(page_id, url, text, n_chars)``, a row per input row; a null html counts as empty, a null url or one without
+    a host as the host of no name. Very large and broken pages are read whole; what is never closed ends with the page.
+    Repeated rows and ids each give their row. An empty table gives no rows; further columns, whatever their names, are
+    not read. The text of a page depends on its host's other pages: what one page alone holds is never common.
+    """
+    low = style_tree(pages).where(F.col("importance") < LEAST_IMPORTANCE)
+    # written first: its size is then known, and Spark broadcasts it only where it is small
     low = materialise(low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("removed")), "branches")
-    branches = low.agg(F.sum(F.size("removed"))).first()[0] or 0
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string"), _host().alias("host"))
-    joined = rows.join(F.broadcast(low) if branches <= BROADCAST_BRANCHES else low, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(source.as_py()).extract(set(gone or ())) for source, gone in zip(batch.column(2), batch.column(3).to_pylist())]
+            texts = [Page(source.as_py(), set(gone or ())).extract() for source, gone in zip(batch.column(2), batch.column(3).to_pylist())]
             chars = pa.array(list(map(len, texts)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), chars], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select(F.col("page_id").cast("long"), "url", "html", "removed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    joined = rows.join(low, "host", "left").select(F.col("page_id").cast("long"), "url", "html", "removed")
+    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op9_pages(spark, sf_dir: str) -> DataFrame:

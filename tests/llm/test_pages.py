@@ -20,7 +20,7 @@ def site(n, host="a.example"):
 
 def test_style_tree_removes_what_repeats(spark):
     rows = site(20) + [(100, "http://b.example/", site(1)[0][2]), (101, None, None), (102, "", ""), (0, *site(1)[0][1:])]
-    docs = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", pages.F.lit("clash")).withColumn("text", pages.F.lit(1))
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", pages.F.lit("clash")).withColumn("text", pages.F.lit(1)).withColumn("removed", pages.F.lit(1))
     got = pages.extract(docs).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -32,11 +32,67 @@ def test_style_tree_removes_what_repeats(spark):
     assert pages.extract(docs.where("1 = 0")).count() == 0
 
 
-def test_removed_branches_may_be_joined_instead(spark, monkeypatch):
-    docs = spark.createDataFrame(site(12), "page_id long, url string, html string")
-    want = sorted(map(tuple, pages.extract(docs).collect()))
-    monkeypatch.setattr(pages, "BROADCAST_BRANCHES", 0)
-    assert sorted(map(tuple, pages.extract(docs).collect())) == want
+def texts_of(spark, sources):
+    rows = [(i, f"http://a.example/{i}", h) for i, h in enumerate(sources)]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def test_a_branch_whose_children_vary_stays(spark):
+    got = texts_of(spark, [f"<body><div class=content>Published<p>Unique words {i}</p></div><div class=bottom>All rights</div></body>" for i in range(20)])
+    assert got == [f"Published\nUnique words {i}" for i in range(20)]
+
+
+def test_words_inside_a_class_prove_nothing(spark):
+    kinds = ["content no-sidebar", "post-share-text", "social-studies", "related-work", "comments-on-method"]
+    got = texts_of(spark, [f"<body><article><section class='{k}'>Text {i}</section><div class='ad-banner'>Buy</div><div id=comments>Reader {i}</div></article></body>" for i, k in enumerate(kinds)])
+    assert got == [f"Text {i}" for i in range(5)]
+
+
+def test_the_tree_reaches_into_articles(spark):
+    got = texts_of(spark, [f"<body><article><h1>Story {i}</h1><p>Words {i * i}</p><div class=tools>Print this page</div></article></body>" for i in range(15)])
+    assert got == [f"Story {i}\nWords {i * i}" for i in range(15)]
+
+
+def test_style_tree_against_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        parts = [f"<div class=c{k}><p>{rng.choice('abc') if k % 2 else 'same'}</p>" + "<i>x</i><ul><li>y</ul>" * rng.randint(0, k) + "</div>" for k in range(5) if rng.random() < 0.8]
+        rows.append((i, f"http://h{rng.randint(0, 3)}.example/", "<body>" + "".join(parts) + "<nav>n</nav></body>"))
+    rows += rows[:10]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r["host"], r["path"]): (r["pages"], r["importance"]) for r in pages.style_tree(docs).collect()}
+    want = {}
+    seen = {}
+    for _, url, source in {(u, h): (0, u, h) for _, u, h in rows}.values():
+        for path, noise, content, style in Page(source).rows():
+            seen.setdefault((url[7:-1], path), []).append((noise, content, style))
+    for key, found in seen.items():
+        m = len(found)
+
+        def importance(values):
+            if m == 1:
+                return 1.0
+            shares = [values.count(v) / m for v in set(values)]
+            return (m * -sum(p * math.log(p) for p in shares) / math.log(m) + 3) / (m + 3)
+
+        noise = found[0][0]
+        want[key] = 0.0 if noise else max(importance([f[1] for f in found]), importance([f[2] for f in found]))
+    assert got.keys() == want.keys()
+    assert all(abs(got[k][1] - want[k]) < 1e-9 for k in want)
+
+
+def test_deep_and_broken_pages():
+    import time
+
+    began = time.time()
+    deep = Page("<div>" * 100_000 + "<b>" * 100_000 + "x<p>y" * 1000 + "</i>" * 100_000)
+    assert deep.extract() == "x\n" + "yx\n" * 999 + "y" or len(deep.extract()) > 2000
+    assert time.time() - began < 20
 
 
 def test_articles_that_repeat_stay(spark):
