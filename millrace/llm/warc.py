@@ -1,10 +1,13 @@
 """WARC archives with a two-level capture index.
 
 Writing: each task streams its records, one gzip member each, into archives of bounded size in the shared folder and
-returns a line per capture. Indexing: the lines are range-sorted by reversed-host URL key, cut into compressed blocks
-in one file per task, and a sparse directory keeps each block's first key, place and length. Reading: a key is found
-by binary search in the directory, a range read of its block, and a range read of its record; a whole read takes the
-blocks in order, deals their captures by archive and reads neighbouring records together.
+returns a line per capture. Indexing: the lines are range-sorted by reversed-host URL key and cut into compressed blocks;
+after so many blocks a task writes their sparse directory, a line per block, beside them. What is left to name is a
+segment: its first and last key and where its directory is, a row for up to ``SEGMENT_BLOCKS * BLOCK_LINES`` captures.
+Reading: a key is found by binary search in the segments, a range read and binary search of the segment's directory, a
+range read and binary search of a block, and a range read of its records. Many keys are sought by tasks that hold
+neighbouring ones, so each directory and block is read about once; the records found are then dealt by archive and
+stretch, so that a task reads a bounded number of bytes, neighbours together.
 
 Archives and blocks are opened through pyarrow's file systems, so the shared folder may be any that it knows. A
 task that runs again writes files under a new name; only the names that the committed tables hold are ever read.
@@ -19,7 +22,6 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -27,10 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.llm.storage import materialise, new_path
 
-#: Bytes of an archive before the next one begins, lines of an index block, and bytes read together.
+#: Bytes of an archive before the next one begins, of the stretch of one that a task reads, and read together.
 ARCHIVE_BYTES = 256 << 20
-BLOCK_LINES = 1000
+STRETCH_BYTES = 32 << 20
 READ_BYTES = 4 << 20
+#: Lines of an index block, and blocks of a directory.
+BLOCK_LINES, SEGMENT_BLOCKS = 1000, 1000
+#: Segments that go to the tasks as one table: 10^5 of them index 10^11 captures in some 20 MB.
+MOST_SEGMENTS = 100_000
 WHEN = "2024-01-01T00:00:00Z"
 
 
@@ -48,21 +54,22 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page_id: int, url: str | None, payload: bytes, digest: str, length: int, refers_to: int | None) -> bytes:
+def record(kind: str, name: str, page_id: int | None, url: str | None, payload: bytes, digest: str, length: int, refers_to: int | None) -> bytes:
     """One WARC/1.1 record as a gzip member. A revisit holds no payload, but its length beside its digest."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{name}>",
         f"WARC-Date: {WHEN}",
         "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {length}",
+        f"X-Page-ID: {page_id}",
         "Content-Type: text/html; charset=utf-8",
     ]
     if kind == "revisit":
         payload = b""
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"X-Refers-To-Page: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head.append(f"Content-Length: {len(payload)}")
     deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
     return deflate.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + payload + b"\r\n\r\n") + deflate.flush()
@@ -104,63 +111,65 @@ class _Archives:
             self.out.close()
 
 
-def decided(pages: DataFrame, least: int) -> DataFrame:
-    """``(page_id, sha1, refers_to)`` of the records that revisit another: payloads of ``least`` bytes or more that a record
-    with a larger page_id holds too. Digests are grouped before anything is joined, and single ones leave there."""
-    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    digests = pages.select("page_id", F.sha1(payload).alias("sha1"), F.length(payload).alias("n")).where(F.col("n") >= least)
-    digests = materialise(digests.select("page_id", "sha1"), "digests")
-    shared = digests.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
-    shared = materialise(shared.where("n > 1").select("sha1", "refers_to"), "shared")
-    return digests.join(shared, "sha1").where("page_id < refers_to").select("page_id", "sha1", "refers_to").distinct()
+def shared_payloads(pages: DataFrame, least: int) -> DataFrame:
+    """``(sha1, refers_to)`` of every payload of ``least`` bytes or more that several records hold: the largest page_id."""
+    known = pages.where(F.length("payload") >= least).select("page_id", F.sha1("payload").alias("sha1"))
+    shared = known.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+    return materialise(shared.where("n > 1").select("sha1", "refers_to"), "shared")
 
 
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write a record per row of ``pages(page_id, url, html)`` below ``folder``; the captures as a table of
-    ``(key, page_id, archive, offset, length)``, written once."""
+    ``(key, page_id, archive, offset, length)``, written once.
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                payload = (html or "").encode("utf-8", "surrogatepass")
-                rows.append((zlib.compress(payload, 6), hashlib.sha1(payload).hexdigest(), len(payload)))
-            columns = list(zip(*rows)) or [(), (), ()]
-            arrays = [batch.column(0), batch.column(1), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "packed", "sha1", "n"])
+    A null html is an empty payload, a null url an empty one; a null page_id is kept as null and revisits the largest
+    id with its payload. Repeated rows and ids give a record each, with record ids of their own; of equal payloads
+    every record with the largest page_id is a response. Large payloads are one record, whole. An empty table writes
+    nothing; further columns, whatever their names, are not read. Only payloads that several records hold are joined,
+    by their digest; where those are few they are broadcast and no payload is shuffled.
+    """
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archives = _Archives(folder + "/archives")
         for batch in batches:
             rows = []
-            for page_id, url, body, sha1, n, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                kind = "response" if refers_to is None else "revisit"
-                payload = zlib.decompress(body) if refers_to is None else b""
+            for page_id, url, body, sha1, refers_to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                payload = body.as_py()
+                kind = "response" if refers_to is None or page_id == refers_to else "revisit"
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                rows.append((url_key(url), page_id, *archives.add(record(kind, page_id, url, payload, digest, n, refers_to))))
+                member = record(kind, str(uuid.uuid4()), page_id, url, payload, digest, len(payload), refers_to)
+                rows.append((url_key(url), page_id, *archives.add(member)))
             columns = list(zip(*rows)) or [()] * 5
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "page_id", "archive", "offset", "length"])
         archives.close()
 
-    plain = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows = plain.mapInArrow(packed, "page_id long, url string, packed binary, sha1 string, n long")
-    rows = rows.join(decided(plain, least), ["page_id", "sha1"], "left")
-    lines = rows.select("page_id", "url", "packed", "sha1", "n", "refers_to").mapInArrow(written, "key string, page_id long, archive string, offset long, length long")
+    payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
+    plain = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
+    rows = plain.withColumn("sha1", F.sha1("payload")).join(shared_payloads(plain, least), "sha1", "left")
+    lines = rows.select("page_id", "url", "payload", "sha1", "refers_to").mapInArrow(written, "key string, page_id long, archive string, offset long, length long")
     return materialise(lines, "captures")
 
 
 def index(captures: DataFrame, folder: str) -> DataFrame:
-    """Compressed blocks of captures in key order, and the sparse directory of them:
-    ``(first_key, last_key, lines, file, offset, length)``, written once."""
+    """Compressed blocks of captures in key order, their directories, and the segments:
+    ``(first_key, last_key, lines, file, offset, length)``, written once. Equal keys may span blocks and segments."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Archives(folder + "/index")
         held: list = []
+        directory: list = []
 
-        def flush(rows: list) -> tuple:
+        def block(rows: list) -> None:
             lines = "\n".join(json.dumps(r) for r in rows)
-            return (rows[0][0], rows[-1][0], len(rows), *out.add(zlib.compress(lines.encode("utf-8", "surrogatepass"), 6)))
+            place = out.add(zlib.compress(lines.encode("utf-8", "surrogatepass"), 6))
+            directory.append((rows[0][0], rows[-1][0], len(rows), *place))
+
+        def segment() -> tuple:
+            lines = "\n".join(json.dumps(r) for r in directory)
+            found = (directory[0][0], directory[-1][1], sum(r[2] for r in directory), *out.add(zlib.compress(lines.encode("utf-8", "surrogatepass"), 6)))
+            directory.clear()
+            return found
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows)) or [()] * 6
@@ -169,19 +178,24 @@ def index(captures: DataFrame, folder: str) -> DataFrame:
 
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns))
-            done = []
-            while len(held) >= BLOCK_LINES:
-                done.append(flush(held[:BLOCK_LINES]))
-                held = held[BLOCK_LINES:]
+            done, at = [], 0
+            while len(held) - at >= BLOCK_LINES:
+                block(held[at : at + BLOCK_LINES])
+                at += BLOCK_LINES
+                if len(directory) >= SEGMENT_BLOCKS:
+                    done.append(segment())
+            held = held[at:]
             yield batch_of(done)
-        yield batch_of([flush(held)] if held else [])
+        if held:
+            block(held)
+        yield batch_of([segment()] if directory else [])
         out.close()
 
     # the page_id parts equal keys, so that one very common URL does not fall into one task
     ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
     entries = ordered.select("key", "page_id", "archive", "offset", "length")
     found = entries.mapInArrow(blocks, "first_key string, last_key string, lines long, file string, offset long, length long")
-    return materialise(found, "directory")
+    return materialise(found, "segments")
 
 
 def _ranged(files: fs.FileSystem, path: str, offset: int, length: int) -> bytes:
@@ -189,58 +203,97 @@ def _ranged(files: fs.FileSystem, path: str, offset: int, length: int) -> bytes:
         return f.read_at(length, offset)
 
 
-class Lookup:
-    """Captures of single URLs. Holds the directory alone: a row for every ``BLOCK_LINES`` captures."""
+class _Lines:
+    """Compressed lines of the index, the last piece read kept: neighbouring keys ask for the same one."""
 
-    def __init__(self, directory: list[tuple[str, str, str, int, int]], folder: str):
-        self.rows = sorted(directory)
-        self.last = [r[1] for r in self.rows]
+    def __init__(self, folder: str):
         self.files, self.path = _opened(folder)
+        self.place, self.lines = None, []
 
-    def captures(self, url: str) -> list[tuple[int, dict[str, str], bytes]]:
-        """(page_id, headers, payload) of each capture of the URL, by page_id."""
-        key, out = url_key(url), []
-        i = bisect.bisect_left(self.last, key)  # the first block that ends at the key or after it
-        while i < len(self.rows) and self.rows[i][0] <= key:
-            _, _, name, offset, length = self.rows[i]
-            block = zlib.decompress(_ranged(self.files, f"{self.path}/index/{name}", offset, length))
-            lines = [json.loads(x) for x in block.decode("utf-8", "surrogatepass").split("\n")]
-            at = bisect.bisect_left(lines, key, key=lambda x: x[0])
-            while at < len(lines) and lines[at][0] == key:
-                _, page_id, archive, place, size = lines[at]
-                out.append((page_id, *parsed(_ranged(self.files, f"{self.path}/archives/{archive}", place, size))))
-                at += 1
-            i += 1
-        return out
-
-
-def lookup(directory: DataFrame, folder: str) -> Lookup:
-    rows = directory.select("first_key", "last_key", "file", "offset", "length").collect()
-    return Lookup([tuple(r) for r in rows], folder)
-
-
-def read(directory: DataFrame, folder: str) -> DataFrame:
-    """Every capture in the index: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``. A response's
-    digest is computed from the payload that was read; a payload that isn't as its header says fails the read."""
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, path = _opened(folder)
+    def at(self, name: str, offset: int, length: int) -> list:
+        if self.place != (name, offset):
+            data = zlib.decompress(_ranged(self.files, f"{self.path}/index/{name}", offset, length))
+            self.place, self.lines = (name, offset), [json.loads(x) for x in data.decode("utf-8", "surrogatepass").split("\n")]
+        return self.lines
+
+
+def _within(rows: list, key: str) -> Iterator:
+    """By binary search, the rows (first key, last key, ...), sorted, that may hold the key."""
+    i = bisect.bisect_left(rows, key, key=lambda r: r[1])  # the first that ends at the key or after it
+    while i < len(rows) and rows[i][0] <= key:
+        yield rows[i]
+        i += 1
+
+
+def captures_of(keys: DataFrame, segments: DataFrame, folder: str) -> DataFrame:
+    """``(key, archive, offset, length)`` of every capture of ``keys(key)``, null and unknown keys giving none.
+
+    A key that several segments hold is sought in each by a task of its own, so a very common URL is shared out.
+    """
+    spark = keys.sparkSession
+    number = segments.count()
+    if number > MOST_SEGMENTS:
+        raise ValueError(f"{number} segments; write fewer and larger ones: raise SEGMENT_BLOCKS")
+    names = ["first_key", "last_key", "file", "offset", "length"]
+    root = spark.sparkContext.broadcast(sorted(tuple(r) for r in segments.select(*names).collect()))
+
+    def sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
-                block = zlib.decompress(_ranged(files, f"{path}/index/{name}", offset, length))
-                lines = [json.loads(x) for x in block.decode("utf-8", "surrogatepass").split("\n")]
-                columns = list(zip(*lines))[2:]
-                kinds = [pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["archive", "offset", "length"])
+            rows = [(key, *r[2:]) for key in batch.column(0).to_pylist() for r in _within(root.value, key)]
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "file", "offset", "length"])
 
-    def page_of(header: str) -> int | None:
-        number = header.removeprefix("<urn:page:").removesuffix(">")
-        return None if number == "None" else int(number)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directories, blocks = _Lines(folder), _Lines(folder)
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+        def batch_of(rows: list) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(columns[i], k) for i, k in zip((0, 2, 3, 4), kinds)], ["key", "archive", "offset", "length"])
+
+        rows: list = []
+        for batch in batches:
+            for key, *segment in zip(*(c.to_pylist() for c in batch.columns)):
+                for _, _, _, *place in _within(directories.at(*segment), key):
+                    lines = blocks.at(*place)
+                    a = bisect.bisect_left(lines, key, key=lambda x: x[0])
+                    rows += lines[a : bisect.bisect_right(lines, key, key=lambda x: x[0])]
+                    if len(rows) >= 10_000:
+                        yield batch_of(rows)
+                        rows = []
+        yield batch_of(rows)
+
+    wanted = keys.select(F.col("key").cast("string")).where("key is not null").distinct()
+    places = wanted.mapInArrow(sought, "key string, file string, offset long, length long")
+    # as many parts as the segments need: neighbouring keys share directories and blocks
+    parts = max(spark.sparkContext.defaultParallelism, number)
+    places = places.repartitionByRange(parts, "file", "offset", "key").sortWithinPartitions("file", "offset", "key")
+    return places.mapInArrow(found, "key string, archive string, offset long, length long")
+
+
+def read(spans: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of every record of ``spans(archive, offset,
+    length)``, with ``url`` and ``payload`` (null for a revisit) if asked for. A response's digest is computed from the
+    payload that was read; a payload that isn't as its header says fails the read. No spans give no rows."""
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"][: 7 if payloads else 5]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+
+    def number(header: str) -> int | None:
+        return None if header == "None" else int(header)
+
+    def row_of(member: bytes, place: str) -> tuple:
+        headers, payload = parsed(member)
+        digest, n, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers["X-Payload-Length"]), headers["WARC-Type"]
+        if kind == "response" and (base32_sha1(payload) != digest or len(payload) != n):
+            raise ValueError(f"{place}: the payload differs from its header")
+        refers = number(headers["X-Refers-To-Page"]) if kind == "revisit" else None
+        return (number(headers["X-Page-ID"]), n, digest, kind, refers, headers["WARC-Target-URI"], payload if kind == "response" else None)[: len(names)]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _opened(folder)
         for batch in batches:
-            rows, spans = [], list(zip(*(c.to_pylist() for c in batch.columns)))
+            spans = list(zip(*(c.to_pylist() for c in batch.columns)))
             i = 0
             while i < len(spans):
                 j, (archive, start, length) = i + 1, spans[i]
@@ -249,26 +302,22 @@ def read(directory: DataFrame, folder: str) -> DataFrame:
                     end += spans[j][2]
                     j += 1
                 data = _ranged(files, f"{path}/archives/{archive}", start, end - start)
-                for _, offset, length in spans[i:j]:
-                    headers, payload = parsed(data[offset - start : offset - start + length])
-                    digest, n = headers["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers["X-Payload-Length"])
-                    kind = headers["WARC-Type"]
-                    if kind == "response" and (base32_sha1(payload) != digest or len(payload) != n):
-                        raise ValueError(f"{archive} at {offset}: the payload differs from its header")
-                    refers = page_of(headers["WARC-Refers-To"]) if kind == "revisit" else None
-                    rows.append((page_of(headers["WARC-Record-ID"]), n, digest, kind, refers))
+                rows = [row_of(data[offset - start : offset - start + length], f"{archive} at {offset}") for _, offset, length in spans[i:j]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                 i = j
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    spans = directory.select("file", "offset", "length").repartition("file", "offset").mapInArrow(entries, "archive string, offset long, length long")
-    # neighbours in an archive come together, in order; a long archive is dealt to several tasks
-    spans = spans.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-    return spans.mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # a part is some stretches of archives, by bytes of payload and not by rows; the number given is kept as it is
+    spans = materialise(spans.select("archive", "offset", "length"), "spans")
+    size = spans.agg(F.sum("length")).first()[0] or 0
+    parts = max(spans.sparkSession.sparkContext.defaultParallelism, -(-size // STRETCH_BYTES))
+    stretch = F.floor(F.col("offset") / STRETCH_BYTES)
+    dealt = spans.repartition(parts, "archive", stretch).sortWithinPartitions("archive", "offset")
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * payloads
+    return dealt.mapInArrow(records, schema)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages; then every page's key is sought in the index and its captures are read."""
     folder = new_path(spark, "warc")
     captures = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder, least=0)
-    return read(index(captures, folder), folder)
+    return read(captures_of(captures.select("key"), index(captures, folder), folder), folder)
