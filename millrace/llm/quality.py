@@ -81,14 +81,17 @@ def fit_shard(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1
+    """A null id has no remainder and is not held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
     """The averaged weights, learnt from labelled rows that are not held out, at most about ``rows`` of them.
 
     Labels other than 0 and 1 are ignored, an id with both counts as 1. No usable label: all weights are zero and
-    every score is one half.
+    every score is one half. Of rows that repeat an id one text is learnt from, the least; so the sample is bounded
+    in rows too. Null texts count as empty, long ones are read whole, empty tables teach nothing, and further columns,
+    whatever their names, are not read.
     """
     usable = labels.select("doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     usable = usable.where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -98,7 +101,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     scale = 1 << 30
     sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(share * scale))
     # about ``rows`` ids of 12 bytes: a fixed bound, whatever the size of the corpus
-    texts = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +144,8 @@ def score_text(weights: np.ndarray, text: str | None) -> float:
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``docs`` with a column ``score``, 0 to 1, of every whole text; a null text counts as empty.
 
-    An input column of that name is replaced.
+    An input column of that name is replaced; other columns stay. Repeated rows each keep their row, an empty table
+    stays empty, texts of any length are read whole. A score of exactly one half predicts 1.
     """
     kept = [c for c in docs.columns if c != "score"]
     docs = docs.select(*kept)
