@@ -2,8 +2,9 @@
 
 Compiled once per executor process from a model file:
 
-* the normaliser maps a space to the meta sign and puts one in front;
-* the lexicon is a trie of pieces, each arc a vocabulary piece;
+* the normaliser rewrites the text by the model's own rules, longest rule first, takes surplus white space away where
+  the model says so, maps a space to the meta sign and puts one in front;
+* the lexicon is an automaton over signs whose final states are pieces;
 * the byte fallback maps every sign outside the lexicon to its UTF-8 byte pieces;
 * the bigram acceptor weighs each pair of neighbouring pieces.
 
@@ -20,6 +21,8 @@ between cuts repeat, so their paths are kept in a bounded table.
 from __future__ import annotations
 
 import math
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,6 +39,36 @@ _ROWS = 500
 _AHEAD = 8
 
 
+def rules_of(charsmap: bytes) -> dict[str, str]:
+    """The rewriting rules of a compiled map: a double-array trie of UTF-8 keys, then the values, each ended by a zero.
+
+    A unit of the array holds the label of the byte that leads to it, the offset of its children, and whether the
+    first child is a leaf, whose unit is the place of the value.
+    """
+    if not charsmap:
+        return {}
+    size = int.from_bytes(charsmap[:4], "little")
+    units = array("I", charsmap[4 : 4 + size])
+    if sys.byteorder == "big":
+        units.byteswap()
+    values, found = charsmap[4 + size :], {}
+    offset = lambda u: (u >> 10) << ((u & 512) >> 6)
+    open_nodes = [(offset(units[0]), b"")]
+    while open_nodes:
+        base, key = open_nodes.pop()
+        for byte in range(1, 256):
+            at = base ^ byte
+            if at >= len(units) or units[at] & 0x800000FF != byte:
+                continue
+            unit, longer = units[at], key + bytes([byte])
+            children = at ^ offset(unit)
+            if unit >> 8 & 1:
+                start = units[children] & 0x7FFFFFFF
+                found[longer.decode()] = values[start : values.index(b"\0", start)].decode()
+            open_nodes.append((children, longer))
+    return found
+
+
 class Transducer:
     """The compiled model. ``encode`` composes it with a text, ``decode`` runs it backwards."""
 
@@ -47,13 +80,18 @@ class Transducer:
         spec = proto.ModelProto()
         spec.ParseFromString(model)
         normaliser = spec.normalizer_spec
-        if normaliser.precompiled_charsmap or normaliser.remove_extra_whitespaces:
-            raise ValueError("only the identity normaliser without white space removal is compiled")
+        if not normaliser.escape_whitespaces:
+            raise ValueError("a model that keeps spaces as they are is not compiled")
         if spec.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("white space as a suffix is not compiled")
         if any(p.type == proto.ModelProto.SentencePiece.USER_DEFINED for p in spec.pieces):
             raise ValueError("pieces that users define are not compiled")
         self.prefix = META if normaliser.add_dummy_prefix else ""
+        self.squeezed = normaliser.remove_extra_whitespaces
+        self.rules = rules_of(normaliser.precompiled_charsmap)
+        self.rule_lengths: dict[str, int] = {}
+        for key in self.rules:
+            self.rule_lengths[key[0]] = max(len(key), self.rule_lengths.get(key[0], 0))
         self.merges = spec.trainer_spec.model_type == spec.trainer_spec.BPE
         self.unknown = read.unk_id()
         count = read.vocab_size()
@@ -63,7 +101,15 @@ class Transducer:
         self.byte_of = {i: b for b, i in self.byte.items()}
         plain = [i for i in range(count) if not (read.is_byte(i) or read.is_control(i) or read.is_unknown(i) or read.is_unused(i))]
         self.id = {self.text[i]: i for i in plain}
-        self.prefixes = {p[:n] for p in self.id for n in range(1, len(p) + 1)}
+        #: The lexicon's automaton: (state, sign) to state, and the final states.
+        self.next: dict[tuple[int, str], int] = {}
+        self.final: set[int] = set()
+        for p in self.id:
+            state = 0
+            for sign in p:
+                state = self.next.setdefault((state, sign), len(self.next) + 1)
+            self.final.add(state)
+        self.longest = max(map(len, self.id), default=1)
         self.inside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.cost = {p: -self.score[i] for p, i in self.id.items()}
         #: Whether a path may be cut before every meta sign that follows another sign.
@@ -76,7 +122,7 @@ class Transducer:
         self._older_words: dict[str, tuple[int, ...]] = {}
         self._cuts: dict[str, tuple[int, ...]] = {}
         self._older_cuts: dict[str, tuple[int, ...]] = {}
-        self._starts: dict[str, tuple[str, ...]] = {}
+        self._starts: dict[str, tuple[tuple[str, ...], bool]] = {}
         #: Weights of pairs already worked out, by the first piece; the empty one stands for the start.
         self._pairs: dict[str, dict[str, bool]] = {}
         self._known_pairs = 0
@@ -111,27 +157,26 @@ class Transducer:
     def _arcs(self, text: str, i: int) -> tuple[str, ...]:
         """The pieces that start at a place, shortest first; a sign outside the lexicon is its own arc."""
         key = text[i : i + _AHEAD]
-        found = self._starts.get(key)
-        if found is None:
+        known = self._starts.get(key)
+        if known is None:
             if len(self._starts) > _KEPT:
                 self._starts.clear()
-            found = self._started(key)
-            self._starts[key] = found
-        if len(key) == _AHEAD and key in self.prefixes:
-            return self._started(text[i:])
-        return found
-
-    def _started(self, text: str) -> tuple[str, ...]:
-        known, prefixes, found = self.id, self.prefixes, []
-        for j in range(1, len(text) + 1):
-            piece = text[:j]
-            if piece in known:
-                found.append(piece)
-            elif piece not in prefixes:
+            known = self._starts[key] = self._started(key)
+        found, longer = known
+        return self._started(text[i : i + self.longest])[0] if longer else found
+
+    def _started(self, text: str) -> tuple[tuple[str, ...], bool]:
+        """The final states on the automaton's way along a text, and whether the way goes on beyond it."""
+        state, step, found = 0, self.next, []
+        for j, sign in enumerate(text, 1):
+            state = step.get((state, sign))
+            if state is None:
                 break
+            if state in self.final:
+                found.append(text[:j])
         if not found or len(found[0]) > 1:
             found.insert(0, text[0])
-        return tuple(found)
+        return tuple(found), state is not None and len(text) == _AHEAD
 
     def _path(self, text: str) -> list[str]:
         """The shortest path through the lattice. In a merge model, whose paths weigh zero or infinity, that is the
@@ -224,12 +269,13 @@ class Transducer:
         """Ids of a word, cut wherever no piece can cross. Of two generations of known words the older one goes."""
         found = self._older_words.get(text)
         if found is None:
-            inside, a, parts = self.inside, 0, ()
+            inside, a, parts = self.inside, 0, []
             for i in range(1, len(text)):
                 if text[i - 1 : i + 1] not in inside:
                     parts += self._stretch(text[a:i])
                     a = i
-            found = parts + self._stretch(text[a:])
+            parts += self._stretch(text[a:])
+            found = tuple(parts)
         if len(text) <= 64:
             if len(self._words) > _KEPT:
                 self._older_words = dict(self._words)
@@ -238,18 +284,42 @@ class Transducer:
         return found
 
     def normal(self, text: str) -> str:
-        return (self.prefix + text.replace(" ", META)) if text else ""
+        """The normaliser's output but for the meta sign in front; meta signs stand for spaces."""
+        if self.rules or self.squeezed:
+            text = self._rewritten(text)
+        return text.replace(" ", META)
+
+    def _rewritten(self, text: str) -> str:
+        out: list[str] = []
+        rules, lengths, squeezed = self.rules, self.rule_lengths, self.squeezed
+        i, after_space = 0, squeezed
+        while i < len(text):
+            part, step = text[i], 1
+            for n in range(lengths.get(part, 0), 0, -1):
+                found = rules.get(text[i : i + n])
+                if found is not None:
+                    part, step = found, min(n, len(text) - i)
+                    break
+            i += step
+            if after_space:
+                part = part.lstrip(" ")
+            if part:
+                out.append(part)
+                after_space = squeezed and part[-1] == " "
+        joined = "".join(out)
+        return joined.rstrip(" " + META) if squeezed else joined
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; none for a null or empty one."""
+        text = self.normal(text or "")
         if not text:
             return []
         known = self._words
         out: list[int] = []
         if not self._spaces_cut:
-            return list(self._word(self.normal(text)))
+            return list(self._word(self.prefix + text))
         run = ""  # meta signs so far that belong to the next word
-        words = text.replace(META, " ").split(" ")
+        words = text.split(META)
         if not self.prefix:
             first = words.pop(0)
             if first:
@@ -293,8 +363,10 @@ def compiled(model: bytes) -> Transducer:
 def encode(docs: DataFrame, model_file: str, decoded: bool = True) -> DataFrame:
     """``(doc_id, n_tokens, ids)`` of every whole text and, if asked for, ``decoded``, the text that the ids give.
 
-    A null or empty text has no ids and decodes to an empty text. ``model_file`` is read on the driver; its bytes,
-    of a fixed size, go to the executors. Equal to the library's ids for models with the identity normaliser.
+    A null or empty text has no ids and decodes to an empty text; texts of any length are encoded whole, in time that
+    grows with their length. Repeated rows and ids each give their row, an empty table gives none, and further columns,
+    whatever their names, are not read. ``model_file`` is read on the driver; its bytes, of a fixed size, go to the
+    executors. Ids equal the library's.
     """
     with open(model_file, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())

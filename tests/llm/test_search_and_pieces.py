@@ -110,3 +110,36 @@ def test_encode_table(spark, library):
         if r["doc_id"] is not None and r["doc_id"] < 50:
             assert r["ids"] == library.encode(ODD[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) and r["decoded"] == ODD[r["doc_id"]].replace("▁", " ")
     assert pieces.encode(docs.where("1 = 0"), pieces.MODEL).count() == 0
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
+def test_normalisers_equal_the_library(model, rule):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    spec = proto.ModelProto()
+    spec.ParseFromString(model)
+    rules = proto.ModelProto()
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    spec.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    spec.normalizer_spec.remove_extra_whitespaces = True
+    changed = spec.SerializeToString()
+    own, machine = sentencepiece.SentencePieceProcessor(model_proto=changed), pieces.Transducer(changed)
+    rng = random.Random(4)
+    texts = [*ODD, "\uff21\uff22\uff23  \ufb01n \u2460\u3000x", "Stra\u00dfe \u0130 \u1e9e", "e\u0301 \u00bd \ufdfa", "\u00a8 a", " \t lead", "trail  "]
+    texts += ["".join(rng.choice(" \tabAB\u00e9e\u0301\uff21\ufb01\u00bd\u3000\u2460\u00df\u00a8\u2581") for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    for text in texts:
+        assert machine.encode(text) == own.encode(text), text
+
+
+def test_very_long_texts(model, library):
+    import time
+
+    machine = pieces.Transducer(model)
+    rng = random.Random(2)
+    for text in ("a" * 1_000_000, "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(300_000)), "\u2581 " * 200_000):
+        began = time.time()
+        ids = machine.encode(text)
+        assert time.time() - began < 20
+        assert machine.decode(ids) == text.replace("\u2581", " ")
+    assert machine.encode("a" * 5000) == library.encode("a" * 5000)
