@@ -1,10 +1,11 @@
 """License scans by diagonal voting, in DataFrame functions only.
 
-Every run of two words of a text is hashed and joined to the places of the same runs in the templates. A hit votes
-for a diagonal, its place in the text less its place in the template; votes are counted per diagonal, diagonals
-within ``GAP`` of each other are merged, and a merged span stands if it covers enough of its template. The words
-themselves are compared along with the hashes, and only hits are shuffled: the template table is a fixed value of
-this module, so its broadcast has a fixed size.
+Every run of k words of a text is hashed and joined to the places of the same runs in the templates: k is three for the
+licences' notices and two for the phrases, the shortest of which has two words. A hit votes for a diagonal, its place in
+the text less its place in the template. Diagonals within ``GAP`` of each other are merged to a span, and a span is
+verified: it must cover enough of its template's runs, in the template's order, and not be much longer than it. The words
+themselves are compared along with the hashes, and only hits are shuffled: the template table is a fixed value of this
+module, so its broadcast has a fixed size.
 """
 
 from __future__ import annotations
@@ -32,21 +33,21 @@ NOTICES = [
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 ]
-#: Runs of two of these alone do not vote: they say nothing of a licence and are everywhere.
-STOP = ["a", "and", "any", "for", "in", "is", "it", "of", "or", "that", "the", "this", "to", "with", "you"]
-#: A notice stands if its span covers this share of its voting runs; diagonals this close are one span.
-COVER, GAP = 0.6, 3
+#: A notice stands if its span covers this share of its runs, as many of them in order, and is at most so many times as
+#: long; diagonals this close are one span.
+COVER, LONGEST, GAP = 0.6, 1.5, 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def templates() -> list[tuple[int, str, int, int, str, str, int]]:
-    """(template, label, exact, place, first word, second word, voting runs of the template)."""
+def templates() -> list[tuple[int, str, int, int, str, str, str | None, int, int]]:
+    """(template, label, exact, place, first, second and third word of the run, runs and words of the template)."""
     rows = []
     for t, (phrase, label) in enumerate(PHRASES + NOTICES):
         words = phrase.split()
         exact = int(t < len(PHRASES))
-        runs = [(i, a, b) for i, (a, b) in enumerate(zip(words, words[1:])) if exact or not (a in STOP and b in STOP)]
-        rows += [(t, label, exact, i, a, b, len(runs)) for i, a, b in runs]
+        thirds = [None] * len(words) if exact else words[2:]
+        runs = list(zip(words, words[1:], thirds))
+        rows += [(t, label, exact, i, *run, len(runs), len(words)) for i, run in enumerate(runs)]
     return rows
 
 
@@ -56,50 +57,56 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+_TEMPLATE = "t int, label string, exact int, place int, a string, b string, c string, runs int, length int"
+_HIT = ("t", "label", "exact", "place", "runs", "length")
+
+
 def _votes(docs: DataFrame) -> DataFrame:
     """``(rid, doc_id, n_words, at, template columns)``: a row per hit, and the first word's row of each text."""
-    spark = docs.sparkSession
-    table = spark.createDataFrame(templates(), "t int, label string, exact int, place int, a string, b string, runs int")
-    table = table.withColumn("h", F.xxhash64("a", "b"))
+    table = docs.sparkSession.createDataFrame(templates(), _TEMPLATE)
+    table = table.withColumn("h", F.when(F.col("c").isNull(), F.xxhash64("a", "b")).otherwise(F.xxhash64("a", "b", "c")))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", words_of(F.col("text")).alias("w"))
-    runs = F.arrays_zip(F.col("w").alias("x"), F.expr("slice(w, 2, size(w))").alias("y"))
+    runs = F.arrays_zip(F.col("w").alias("x"), F.expr("slice(w, 2, size(w))").alias("y"), F.expr("slice(w, 3, size(w))").alias("z"))
     flat = rows.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(runs).alias("at", "run"))
-    hashed = flat.select("rid", "doc_id", "n_words", "at", F.col("run.x").alias("x"), F.col("run.y").alias("y"))
-    hashed = hashed.withColumn("h", F.when(F.col("y").isNotNull(), F.xxhash64("x", "y")))
-    met = hashed.join(F.broadcast(table), "h", "left")
-    met = met.where("(t is not null and a = x and b = y) or at = 0 or at is null")
-    sure = F.col("a").eqNullSafe(F.col("x")) & F.col("b").eqNullSafe(F.col("y"))
-    return met.select("rid", "doc_id", "n_words", "at", *[F.when(sure, F.col(c)).alias(c) for c in ("t", "label", "exact", "place", "runs")])
+    flat = flat.select("rid", "doc_id", "n_words", "at", "run.*")
+    both = F.array(F.when(F.col("y").isNotNull(), F.xxhash64("x", "y")), F.when(F.col("z").isNotNull(), F.xxhash64("x", "y", "z")))
+    met = flat.select("*", F.posexplode(both).alias("k", "h")).join(F.broadcast(table), "h", "left")
+    sure = (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")) & (F.col("c").isNull() | (F.col("c") == F.col("z")))
+    sure = F.coalesce(sure, F.lit(False))
+    met = met.where(sure | (F.col("k") == 0) & (F.coalesce("at", F.lit(0)) == 0))
+    return met.select("rid", "doc_id", "n_words", "at", *[F.when(sure, F.col(c)).alias(c) for c in _HIT])
 
 
 def found(docs: DataFrame) -> DataFrame:
     """``(rid, doc_id, n_words, label, exact, first, end, score)`` of every span that stands, in words from 0, the
     end exclusive, and one row with a null label per input row."""
     votes = materialise(_votes(docs), "votes")
-    every = votes.groupBy("rid", "doc_id", "n_words").agg(F.max(F.lit(None).cast("string")).alias("label"))
+    own = ["rid", "doc_id", "n_words"]
+    every = votes.groupBy(*own).agg(F.max(F.lit(None).cast("string")).alias("label"))
     cast = {"exact": "int", "first": "long", "end": "long", "score": "double"}
     every = every.select("*", *[F.lit(None).cast(k).alias(c) for c, k in cast.items()])
-    keys = ["rid", "doc_id", "n_words", "t", "label", "exact", "runs"]
     hits = votes.where("t is not null").withColumn("diagonal", F.col("at") - F.col("place"))
-    lines = hits.groupBy(*keys, "diagonal").agg(F.count("*").alias("n"), F.collect_set("place").alias("places"))
-    phrase = lines.where("exact = 1 and n = runs").select("rid", "doc_id", "n_words", "label", "exact", F.col("diagonal").cast("long").alias("first"), (F.col("diagonal") + F.col("runs") + 1).cast("long").alias("end"), F.lit(1.0).alias("score"))
-    by = Window.partitionBy("rid", "t").orderBy("diagonal")
-    new = (F.col("diagonal") - F.lag("diagonal").over(by) > GAP).cast("int")
-    merged = lines.where("exact = 0").withColumn("region", F.coalesce(new, F.lit(0)))
-    merged = merged.withColumn("region", F.sum("region").over(by)).groupBy(*keys, "region")
-    # a region's diagonals may repeat a run of the template; each counts once, so the sets are as long as the notice
-    spans = merged.agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"),
-        F.min(F.col("diagonal") + F.array_min("places")).alias("first"),
-        F.max(F.col("diagonal") + F.array_max("places") + 2).alias("end"),
+    lines = hits.where("exact = 1").groupBy(*own, "t", "label", "exact", "runs", "diagonal").agg(F.count("*").alias("n"))
+    phrase = lines.where("n = runs").select(*own, "label", "exact", F.col("diagonal").cast("long").alias("first"), (F.col("diagonal") + F.col("runs") + 1).cast("long").alias("end"), F.lit(1.0).alias("score"))
+    by = Window.partitionBy("rid", "t").orderBy("diagonal", "at")
+    new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > GAP).cast("int"), F.lit(0))
+    merged = hits.where("exact = 0").withColumn("new", new).withColumn("region", F.sum("new").over(by))
+    onward = F.coalesce(F.col("place") > F.lag("place").over(Window.partitionBy("rid", "t", "region").orderBy("at", "place")), F.lit(True))
+    spans = merged.withColumn("onward", onward).groupBy(*own, "t", "label", "exact", "runs", "length", "region").agg(
+        F.size(F.collect_set("place")).alias("n"),
+        F.count_if("onward").alias("in_order"),
+        F.min("at").cast("long").alias("first"),
+        (F.max("at") + 3).cast("long").alias("end"),
     )
     spans = spans.withColumn("score", F.col("n") / F.col("runs")).where(F.col("score") >= COVER)
-    spans = spans.select("rid", "doc_id", "n_words", "label", "exact", F.col("first").cast("long"), F.col("end").cast("long"), "score")
-    return every.union(phrase).union(spans)
+    spans = spans.where((F.col("in_order") >= COVER * F.col("runs")) & (F.col("end") - F.col("first") <= LONGEST * F.col("length")))
+    return every.union(phrase).union(spans.select(*own, "label", "exact", "first", "end", "score"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """A row per input row. Null texts count as empty; repeated rows and ids stay apart by rid."""
+    """A row per input row. Null texts count as empty, long ones are scanned whole; repeated rows and ids stay apart by
+    rid. Two templates found at one place both count. An empty table gives no rows; further columns, whatever their
+    names, are not read."""
     base = F.col("exact") == 1
     labels = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     out = found(docs).groupBy("rid").agg(

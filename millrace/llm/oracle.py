@@ -13,26 +13,27 @@ _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
 
 def op3() -> str:
-    rows = ", ".join(f"({t}, {_text(label)}, {exact}, {place}, {_text(a)}, {_text(b)}, {runs})" for t, label, exact, place, a, b, runs in licenses.templates())
+    literal = lambda x: "NULL" if x is None else _text(x) if isinstance(x, str) else str(x)
+    rows = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in licenses.templates())
     return rf"""
-WITH template(t, label, exact, place, a, b, runs) AS (VALUES {rows}),
+WITH template(t, label, exact, place, a, b, c, runs, length) AS (VALUES {rows}),
 doc AS (
   SELECT row_number() OVER () AS rid, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), {_text(licenses.WORD)}) AS w
   FROM documents),
-run AS (SELECT rid, i - 1 AS pos, w[i] AS x, w[i + 1] AS y FROM doc, unnest(range(1, len(w))) AS u(i)),
-line AS (
-  SELECT rid, t, label, exact, runs, pos - place AS diagonal, list(DISTINCT place) AS places
-  FROM run JOIN template ON x = a AND y = b GROUP BY ALL),
-phrase AS (SELECT rid, label, diagonal AS first FROM line WHERE exact = 1 AND len(places) = runs),
+run AS (SELECT rid, i - 1 AS pos, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM doc, unnest(range(1, len(w))) AS u(i)),
+hit AS (SELECT rid, pos, place, pos - place AS diagonal, t, label, exact, runs, length
+        FROM run JOIN template ON x = a AND y = b AND (c IS NULL OR c = z)),
+phrase AS (SELECT rid, label, diagonal AS first FROM hit WHERE exact = 1 GROUP BY rid, t, label, runs, diagonal HAVING count(*) = runs),
 gap AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, t ORDER BY diagonal) > {licenses.GAP} THEN 1 ELSE 0 END AS new
-  FROM line WHERE exact = 0),
-region AS (SELECT *, sum(new) OVER (PARTITION BY rid, t ORDER BY diagonal) AS r FROM gap),
-notice AS (
-  SELECT rid, label, len(list_distinct(flatten(list(places)))) / runs AS score
-  FROM region GROUP BY rid, t, label, runs, r),
-kept AS (SELECT * FROM notice WHERE score >= {licenses.COVER}),
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, t ORDER BY diagonal, pos) > {licenses.GAP} THEN 1 ELSE 0 END AS new
+  FROM hit WHERE exact = 0),
+region AS (SELECT *, sum(new) OVER (PARTITION BY rid, t ORDER BY diagonal, pos ROWS UNBOUNDED PRECEDING) AS r FROM gap),
+step AS (SELECT *, lag(place) OVER (PARTITION BY rid, t, r ORDER BY pos, place) AS before FROM region),
+kept AS (
+  SELECT rid, label, count(DISTINCT place) / runs AS score FROM step GROUP BY rid, t, label, runs, length, r
+  HAVING count(DISTINCT place) / runs >= {licenses.COVER} AND count(*) FILTER (before IS NULL OR place > before) >= {licenses.COVER} * runs
+     AND max(pos) + 3 - min(pos) <= {licenses.LONGEST} * length),
 b AS (
   SELECT rid, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
@@ -116,7 +117,7 @@ three AS (
       'top=' || parts[len(parts)], 'site=' || array_to_string(parts[greatest(1, len(parts) - 1):len(parts)], '.'), 'first=' || parts[1],
       'folder=' || regexp_extract(path, '(?s)^/([^/]*)/', 1), 'type=' || regexp_extract(path, '\.([A-Za-z0-9]+)$', 1),
       'query=' || regexp_extract(url, '(?s)^[^#]*?\?([^=&#]+)', 1),
-      'scheme=' || lower(regexp_extract(url, '(?s)^([A-Za-z][A-Za-z0-9+.-]*)://', 1))], lambda t: NOT suffix(t, '=')))) AS tokens
+      'scheme=' || lower(regexp_extract(url, '(?s)^([A-Za-z][A-Za-z0-9+.-]*)://', 1))], lambda t: NOT regexp_full_match(t, '[a-z]+=')))) AS tokens
   FROM two),
 subset AS (
   SELECT rid, base, list_filter(tokens, lambda t, i: (mask >> CAST(i - 1 AS INT)) & 1 = 1) AS items

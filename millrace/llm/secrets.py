@@ -115,7 +115,9 @@ def _linked(parts: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, *carried: str) -> DataFrame:
     """``(rid, doc_id, ..., kind, start, end)`` of every reported span, and one row with a null kind per input row.
 
-    Places are code points, the end exclusive. Null texts count as empty; repeated rows and ids stay apart by rid.
+    Places are code points, the end exclusive. Null texts count as empty, long ones are scanned whole; repeated rows and
+    ids stay apart by rid; parts at the same place are all kept. An empty table gives no rows; further columns of
+    ``docs``, whatever their names, are not read.
     ``carried``: further columns of ``docs`` to keep.
     """
     parts = materialise(_parts(docs, *carried), "parts")
@@ -141,28 +143,40 @@ def report(docs: DataFrame) -> DataFrame:
     return found.drop("rid")
 
 
+#: Pieces of a text that are cut from one part of it: a cut from the whole walks the text from its start.
+_TOGETHER = 64
+
+
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs``, columns unchanged, with each reported secret replaced by ``mark`` and n_chars, if there, set anew.
 
     Overlapping spans are replaced together. Spans go back to their rows by id and text, so repeated ids with other
-    texts keep theirs; identifiers and endpoints stay.
+    texts keep theirs, and repeated rows are treated alike; identifiers and endpoints stay, as do null and empty texts.
+    An empty table stays empty; further columns pass through, whatever their names but those that begin with two
+    underscores.
     """
     marked = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
     hidden = spans(marked.select("doc_id", "text", "__text"), "__text")
     hidden = hidden.where(F.col("kind").isin("assign", "access", "hex", "weak"))
-    wide = hidden.groupBy("doc_id", "__text").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans"))
-    wide = wide.withColumnRenamed("doc_id", "__id").withColumnRenamed("__text", "__of")
+    before = F.expr("coalesce(max(`end`) over (partition by doc_id, __text order by start, `end` rows between unbounded preceding and 1 preceding), 0)")
+    cuts = hidden.select(F.col("doc_id").alias("__id"), F.col("__text").alias("__of"), before.alias("from"), "start", "end").where("`end` > `from`")
+    piece = F.when(F.col("start") >= F.col("from"), F.struct(F.col("from").cast("int").alias("from"), F.col("start").cast("int").alias("to")))
+    wide = cuts.groupBy("__id", "__of").agg(F.sort_array(F.collect_list(piece)).alias("__cuts"), F.max("end").cast("int").alias("__tail"))
     joined = marked.join(wide, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__of")), "left")
     text = F.col("text").cast("string")
 
-    def step(acc: Column, s: Column) -> Column:
-        cut = F.substr(text, acc["at"] + 1, (s["start"] - acc["at"]).cast("int"))
-        out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], cut, F.lit(mark)))
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"].cast("int")).alias("at"))
+    def part(nth: Column) -> Column:
+        those = F.slice("__cuts", nth * _TOGETHER + 1, _TOGETHER)
+        first = F.element_at(those, 1)["from"]
+        return F.struct(those.alias("cuts"), first.alias("first"), F.substr(text, first + 1, F.element_at(those, -1)["to"] - first).alias("text"))
+
+    def cut(whole: Column) -> Column:
+        pieces = F.transform(whole["cuts"], lambda c: F.concat(F.substr(whole["text"], c["from"] - whole["first"] + 1, c["to"] - c["from"]), F.lit(mark)))
+        return F.array_join(pieces, "")
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    done = joined.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(clean))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("__cuts") - 1) / _TOGETHER).cast("int")), part)
+    clean = F.concat(F.array_join(F.transform(parts, cut), ""), F.substr(text, F.col("__tail") + 1))
+    done = joined.withColumn("text", F.when(F.col("__cuts").isNull(), text).otherwise(clean))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)

@@ -61,7 +61,7 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
         F.concat(F.lit("query="), query),
         F.concat(F.lit("scheme="), F.lower(F.regexp_extract(whole, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://", 1))),
     )
-    return F.array_sort(F.array_distinct(F.filter(found, lambda t: ~F.endswith(t, F.lit("=")))))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda t: ~t.rlike("^[a-z]+=$"))))
 
 
 def mined(examples: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -88,7 +88,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, support: float
     """``(page_id, host, path, rule, verdict)``, a row per input row.
 
     A null url, or one without ``://``, has an empty host and path; it fits no host rule, and its tokens are few or
-    none. No example, or no rule that fits, leaves the verdict at allow. Repeated rows each keep their row.
+    none. No example, or no rule that fits, leaves the verdict at allow. Repeated rows each keep their row. Of host rules
+    the longest wins; of mined ones the most confident, then the one with more examples, more tokens, and the last name.
+    Long urls are read whole; an empty table gives no rows; further columns, whatever their names, are not read.
     """
     url = F.col("url")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "url")

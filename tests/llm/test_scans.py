@@ -64,6 +64,27 @@ def test_redaction(spark):
     assert secrets.redact(docs.where("1 = 0")).count() == 0 and secrets.report(docs.where("1 = 0")).count() == 0
 
 
+def test_redaction_against_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    words = ["token=", "abcdefghijklmnop", " secret: ", "0123456789abcdef", " AKIAABCDEFGHIJKLMN1", " é漢 ", "password='", "x ", "deadbeefdeadbeef00"]
+    rows = [(i, "".join(rng.choice(words) for _ in range(rng.choice((3, 30, 900))))) for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string")
+    told = {r["doc_id"]: r["spans"] for r in secrets.report(docs).collect()}
+    got = secrets.redact(docs).collect()
+    assert len(got) == len(rows) + 2
+    for r in got:
+        text = dict(rows)[r["doc_id"]]
+        found = sorted((int(a), int(b)) for k, a, b in (x.split(":") for x in told[r["doc_id"]].split(",") if x) if k not in ("identifier", "endpoint"))
+        out, at = "", 0
+        for a, b in found:
+            if a >= at:
+                out += text[at:a] + "[secret]"
+            at = max(at, b)
+        assert r["text"] == out + text[at:]
+
+
 def license_base(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     places = [(i, label) for phrase, label in licenses.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
@@ -79,6 +100,8 @@ def test_licenses_against_brute_force(spark):
         "x " * 7 + notice.title() + " tail",
         "x " + notice.replace("granted free", "granted then free").replace("software", "program"),
         "of the and to the in the of the", "permission is hereby granted",
+        " ".join(w + " filler filler filler" for w in notice.split()), " ".join(reversed(notice.split())),
+        "lead " + notice + " tail " * 100_000,
     ]
     rows = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4]), (None, texts[5])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", licenses.F.lit(1)).withColumn("at", licenses.F.lit(1))
@@ -89,7 +112,7 @@ def test_licenses_against_brute_force(spark):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == by_id[r["doc_id"]]
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
     labels = {r["doc_id"]: r["labels"] for r in got}
-    assert labels[7] == "mit" and labels[8] == "mit" and labels[9] == labels[10] == ""
+    assert labels[7] == labels[8] == labels[13] == "mit" and labels[9] == labels[10] == labels[11] == labels[12] == ""
     assert licenses.report(docs.where("1 = 0")).count() == 0
 
 
