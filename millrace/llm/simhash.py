@@ -274,21 +274,12 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE_WORDS))
 
 
-def _with_sets(docs: DataFrame, *carried: str) -> DataFrame:
-    """``(text, doc_id, ..., set, fp)``: a hash of the whole set of shingles, and its fingerprint."""
+#: Words of 64 bits of a set's bitmap: bit i is the parity of the shingles that fall on it, so bits that differ between two
+#: sets are never more than the shingles that do.
+BITMAP = 16
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(xxhash.xxh3_64_intdigest(h.tobytes()), fingerprint(h)) for h in (shingle_set(t.as_py()) for t in batch.column(0))]
-            named = pa.array(np.array([x for x, _ in found], np.uint64).view(np.int64)), pa.array([x for _, x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *named], ["text", "doc_id", *carried, "set", "fp"])
-
-    rows = docs.select(F.col("text").cast("string"), F.col("doc_id").cast("long"), *carried)
-    schema = rows.withColumn("set", F.lit(None).cast("long")).withColumn("fp", F.lit(None).cast("long")).schema
-    return rows.mapInArrow(run, schema)
 
-
-def _common_shingles(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample holds more than once, in rising order, and how often. Any order of the shingles finds the
     same pairs; rare ones first make short postings."""
 
@@ -297,7 +288,7 @@ def _common_shingles(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()).view(np.int64))], ["key"])
 
-    sample = classes.where(F.pmod("set", F.lit(SAMPLE)) == 0).select("text")
+    sample = docs.where(F.pmod("__text", F.lit(SAMPLE)) == 0).select(F.col("text").cast("string"))
     counts = sample.mapInArrow(run, "key long").groupBy("key").count().where("count > 1")
     rows = counts.orderBy(F.desc("count"), "key").limit(COMMON).collect()
     keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
@@ -305,26 +296,37 @@ def _common_shingles(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.array([r["count"] for r in rows], np.int64)[order]
 
 
-def _prefixes(classes: DataFrame) -> DataFrame:
-    """``(key, set, n, pos)``: the first n - ceil(4n/5) + 1 shingles of each class, in one order for all. Two sets with
-    4/5 in common share one of these, since neither can miss more of the other than its prefix holds."""
-    common, times = _common_shingles(classes)
+def described(docs: DataFrame) -> DataFrame:
+    """``(doc_id, __text, set, fp, n, bits, prefix)`` of ``docs(doc_id, __text, text)``: a hash of the set of shingles, its
+    fingerprint, its size, its bitmap, and its first n - ceil(4n/5) + 1 shingles in one order for all. Two sets with 4/5
+    in common share one of these, since neither can miss more of the other than its prefix holds."""
+    common, times = _common_shingles(docs)
+
+    def row(text: str | None) -> tuple:
+        h = shingle_set(text)
+        n = len(h)
+        often = np.zeros(n, np.int64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+            often = np.where(common[at] == h, times[at], 0)
+        head = h[np.lexsort((h, often))][: n - (4 * n + 4) // 5 + 1]
+        odd = np.bincount((h & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+        bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+        name = xxhash.xxh3_64_intdigest(h.tobytes())
+        return name - (1 << 64) if name >> 63 else name, fingerprint(h), n, bits, head.view(np.int64)
+
+    names = ["doc_id", "__text", "set", "fp", "n", "bits", "prefix"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_numpy(), batch.column(1)):
-                h = shingle_set(text.as_py())
-                n = len(h)
-                often = np.zeros(n, np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    often = np.where(common[at] == h, times[at], 0)
-                head = h[np.lexsort((h, often))][: n - (4 * n + 4) // 5 + 1]
-                k = len(head)
-                columns = [head.view(np.int64), np.full(k, name), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "set", "n", "pos"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1000):
+                batch = whole.slice(a, 1000)
+                columns = zip(*[row(t.as_py()) for t in batch.column(2)])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names)
 
-    return classes.select("set", "text").mapInArrow(run, "key long, set long, n int, pos int")
+    rows = docs.select(F.col("doc_id").cast("long"), "__text", F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, __text long, set long, fp long, n int, bits array<long>, prefix array<long>")
 
 
 def _meeting(of: dict[str, np.ndarray], every: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -381,8 +383,10 @@ def _candidates(postings: DataFrame, every: bool, chunk: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose whole sets of shingles have a Jaccard similarity of 4/5 or more, counted exactly."""
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose whole sets of shingles have a Jaccard similarity of 4/5 or more, counted exactly: sets that similar
+    differ in at most a ninth of their shingles together. Pairs whose bitmaps differ in more go first; only the texts
+    of the others are moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list[tuple] = [(None, None), (None, None)]
@@ -398,9 +402,21 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep.append(9 * both >= 4 * (len(x) + len(y)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    text = lambda side: classes.select(F.col("set").alias(side), F.col("text").alias(f"text_{side}"))
-    rows = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(run, "a long, b long")
+    def bitmap(side: str) -> DataFrame:
+        return classes.select(F.col("set").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+
+    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = pairs.join(bitmap("a"), "a").join(bitmap("b"), "b").where(9 * differing <= F.col("n_a") + F.col("n_b"))
+    near = materialise(near.select("a", "b"), "near")
+    members = materialise(near.select(F.col("a").alias("set")).union(near.select("b")).distinct(), "members")
+    named = materialise(classes.select("set", "doc_id", "__text").join(members, "set", "left_semi"), "named")
+    whole = texts.select(F.col("doc_id").cast("long"), "__text", F.col("text").cast("string")).join(named, ["doc_id", "__text"])
+    whole = materialise(whole.select("set", "text").dropDuplicates(["set"]), "texts")
+    text = lambda side: whole.select(F.col("set").alias(side), F.col("text").alias(f"text_{side}"))
+    rows = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+    found = materialise(rows.mapInArrow(run, "a long, b long"), "links")
+    discard(pairs, near, members, named, whole)
+    return found
 
 
 def _grouped(links: DataFrame) -> DataFrame:
@@ -409,9 +425,10 @@ def _grouped(links: DataFrame) -> DataFrame:
     return materialise(found.select(F.col("node").alias("set"), F.col("component").alias("group")), "components")
 
 
-def near_copies(classes: DataFrame, chunk: int = 4096) -> DataFrame:
-    """Links ``(a, b)`` between sets of ``classes(set, fp, text)`` that connect them as all pairs with 4/5 or more of their
-    shingles in common would, and only such pairs.
+def near_copies(classes: DataFrame, texts: DataFrame, chunk: int = 4096) -> DataFrame:
+    """Links ``(a, b)`` between the sets of ``classes(set, fp, n, bits, prefix, doc_id, __text)`` that connect them as all
+    pairs with 4/5 or more of their shingles in common would, and only such pairs. ``texts(doc_id, __text, text)`` has the
+    text of every class.
 
     The byte index gives the pairs whose prints are within four bits, which is most near copies and no guarantee: sets
     at 4/5 have prints some ten bits apart. What it does not connect is looked for by prefixes of the sets, which miss
@@ -419,29 +436,23 @@ def near_copies(classes: DataFrame, chunk: int = 4096) -> DataFrame:
     pair is decided by its whole sets.
     """
     met = materialise(links(classes.select(F.col("set").alias("node"), "fp"), chunk=chunk), "met")
-    near = materialise(_verified(met, classes), "links")
-    discard(met)
+    near = _verified(met, classes, texts)
     groups = _grouped(near)
 
     def apart(postings: DataFrame, groups: DataFrame) -> DataFrame:
         return postings.drop("group").join(groups, "set", "left").withColumn("group", F.coalesce("group", "set"))
 
-    prefixes = materialise(_prefixes(classes), "prefixes")
-    counts = prefixes.groupBy("key").count().where("count > 1")
+    prefixes = classes.select("set", "n", F.posexplode("prefix").alias("pos", "key"))
+    counts = materialise(prefixes.groupBy("key").count().where("count > 1"), "counts")
     postings = materialise(apart(prefixes.join(counts, "key"), groups), "postings")
-    discard(prefixes)
-    pairs = materialise(_candidates(postings, False, chunk), "pairs")
-    more = materialise(_verified(pairs, classes), "links")
-    discard(pairs)
+    more = _verified(materialise(_candidates(postings, False, chunk), "pairs"), classes, texts)
     long_ones = postings.where(F.col("count") > SHORT)
     if not long_ones.isEmpty():
         joined = materialise(near.union(more), "links")
         discard(near, more, groups)
         near, groups = joined, _grouped(joined)
-        pairs = materialise(_candidates(apart(long_ones, groups), True, chunk), "pairs")
-        more = materialise(_verified(pairs, classes), "links")
-        discard(pairs)
-    discard(postings, groups)
+        more = _verified(materialise(_candidates(apart(long_ones, groups), True, chunk), "pairs"), classes, texts)
+    discard(postings, counts, groups)
     return near.union(more)
 
 
@@ -455,12 +466,13 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     their names but ``__text``.
     """
     marked = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
-    known = materialise(_with_sets(marked, "__text"), "sets")
-    of = known.where("doc_id is not null").groupBy("set", "fp")
-    classes = materialise(of.agg(F.min("doc_id").alias("node"), F.first("text").alias("text")), "classes")
-    nodes = classes.select("set", "node")
+    known = materialise(described(marked), "sets")
+    first = {c: F.first(c).alias(c) for c in ("fp", "n", "bits", "prefix")}
+    classes = known.where("doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "__text")).alias("least"), *first.values())
+    classes = materialise(classes.select("set", "least.*", *first), "classes")
+    nodes = classes.select("set", F.col("doc_id").alias("node"))
     ends = [nodes.select(F.col("set").alias(x), F.col("node").alias(f"node_{x}")) for x in ("a", "b")]
-    near = near_copies(classes).join(ends[0], "a").join(ends[1], "b")
+    near = near_copies(classes, marked).join(ends[0], "a").join(ends[1], "b")
     found = connected_components(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     named = nodes.join(found, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
     # written first: a set that a third of the rows have is then a skewed join that adaptive execution splits

@@ -171,10 +171,16 @@ def test_near_copies_of_a_large_group(spark, chunk):
         if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    prints = [simhash.fingerprint(simhash.shingle_set(" ".join(w))) for w in texts]
-    classes = spark.createDataFrame([(i, prints[i], " ".join(w)) for i, w in enumerate(texts)], "set long, fp long, text string")
-    found = connected_components(simhash.near_copies(classes, chunk=chunk))
-    got = {r["node"]: r["component"] for r in found.collect()}
+    docs = spark.createDataFrame([(i, i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, __text long, text string")
+    known = simhash.described(docs).cache()
+    number = {r["set"]: r["doc_id"] for r in known.collect()}
+    assert len(number) == len(texts)
+    found = connected_components(simhash.near_copies(known, docs, chunk=chunk))
+    least = {}
+    rows = [(number[r["node"]], r["component"]) for r in found.collect()]
+    for i, c in rows:
+        least[c] = min(i, least.get(c, i))
+    got = {i: least[c] for i, c in rows}
     assert {i: got.get(i, i) for i in sets} == {i: find(i) for i in sets}
 
 
@@ -222,3 +228,13 @@ def test_very_long_texts():
     assert simhash.fingerprint(simhash.shingle_hashes(text, 4)) & (1 << 64) - 1 == reference_print("a b c " * 4)
     assert len(simhash.shingle_set(text)) == 3
     assert len(simhash.shingle_hashes("x" * 5_000_000, 4)) == 1
+
+
+def test_bitmaps_never_differ_in_more_than_the_sets(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdef") * rng.randint(1, 3) for _ in range(rng.randint(0, 200))) for _ in range(30)]
+    rows = simhash.described(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, __text long, text string")).collect()
+    for x, y in itertools.combinations(rows, 2):
+        sets = [set(simhash.shingle_set(texts[r["doc_id"]]).tolist()) for r in (x, y)]
+        differ = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(x["bits"], y["bits"]))
+        assert differ <= len(sets[0] ^ sets[1]) and x["n"] == len(sets[0])
