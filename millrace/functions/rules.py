@@ -3,6 +3,9 @@
 Patterns keep to what java.util.regex and RE2 read alike: no look-around, no back-references.
 """
 
+import re
+from re import _constants, _parser
+
 # Severities c, h, m, l are critical, high, medium, low.
 SECURITY = r"""
 hardcoded-secret-aws c 0.98 \bA(KIA|SIA)[0-9A-Z]{16}\b
@@ -156,3 +159,37 @@ def pack() -> list[tuple[str, str, str, float, str]]:
             rule, level, confidence, pattern = line.split(" ", 3)
             out.append((family, rule, _LEVELS[level], float(confidence), pattern))
     return out
+
+
+def needed(pattern: str) -> tuple[bool, list[list[str]]]:
+    """What every text that matches a pattern contains: (whether lower-cased, all of these lists, of each one word).
+
+    Read off Python's parse of the pattern, so it follows the pattern when that changes.
+    """
+    tree = _parser.parse(pattern)
+    low = bool(tree.state.flags & re.IGNORECASE)
+    lists = sorted(_lists(tree), key=lambda words: (-min(map(len, words)), len(words)))
+    lists = [[w.lower() if low else w for w in words] for words in lists if len(words) <= 12]
+    return low, lists[:4]
+
+
+def _lists(tree) -> list[list[str]]:
+    found, run = [], ""
+    for kind, value in [*tree, (None, None)]:
+        if kind is _constants.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            found.append([run])
+            run = ""
+        if kind is _constants.SUBPATTERN:
+            found += _lists(value[3])
+        elif kind in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0] > 0:
+            found += _lists(value[2])
+        elif kind is _constants.IN and all(k is _constants.LITERAL for k, _ in value):
+            found.append([chr(c) for _, c in value])
+        elif kind is _constants.BRANCH:
+            branches = [_lists(branch) for branch in value[1]]
+            if all(branches):  # of each branch its longest word
+                found.append([w for lists in branches for w in max(lists, key=lambda words: min(map(len, words)))])
+    return found

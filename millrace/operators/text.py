@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions.numbers import half_up, r4
-from millrace.functions.rules import pack
+from millrace.functions.rules import needed, pack
 from millrace.plans.registry import query
 from millrace.sources.fixtures import cte, literal, table
 from millrace.sources.lake import Lake
@@ -21,6 +21,19 @@ def sources(lake: Lake) -> DataFrame:
     return table(lake.spark, "code").unionByName(lake.files.select("repo", "path", "content"))
 
 
+def _worth(pattern: str) -> Column:
+    """Whether a text holds the words that the pattern can't match without: most texts hold none, and a search for a
+    word costs little beside a pattern."""
+    low, lists = needed(pattern)
+    text, out = F.col("low" if low else "content"), F.lit(True)
+    for words in lists:
+        one = F.lit(False)
+        for w in words:
+            one = one | F.contains(text, F.lit(w))
+        out = out & one
+    return out
+
+
 def rule_scan(files: DataFrame, rules: list[tuple[str, str, str, float, str]]) -> DataFrame:
     """``(repo, path, family, rule, severity, n)`` of every rule that a file matches. The rules are fixed columns of
     one pass over the files, not rows that the files are crossed with; a count is only made where there is a match."""
@@ -29,10 +42,11 @@ def rule_scan(files: DataFrame, rules: list[tuple[str, str, str, float, str]]) -
     def hit(family: str, rule: str, severity: str, confidence: float, pattern: str) -> Column:
         level = "low" if confidence < 0.55 else "high" if confidence < 0.7 and severity == "critical" else severity
         row = F.struct(F.lit(family).alias("family"), F.lit(rule).alias("rule"), F.lit(level).alias("severity"), F.regexp_count(text, F.lit(pattern)).alias("n"))
-        return F.when(text.rlike(pattern), row)
+        return F.when(_worth(pattern) & text.rlike(pattern), row)
 
     found = F.array_compact(F.array(*[hit(*r) for r in rules]))
-    return files.where(~F.col("path").like("%.test.%")).select("repo", "path", F.explode(found).alias("h")).select("repo", "path", "h.*")
+    read = files.where(~F.col("path").like("%.test.%")).select("repo", "path", "content", F.lower("content").alias("low"))
+    return read.select("repo", "path", F.explode(found).alias("h")).select("repo", "path", "h.*")
 
 
 @query(f"{_HITS} SELECT * FROM hits", "files")
