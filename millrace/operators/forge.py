@@ -182,13 +182,6 @@ def pr_summary(lake: Lake) -> DataFrame:
     )
 
 
-@query("SELECT repo, number, additions + deletions AS churn FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY additions + deletions DESC, number) AS nth FROM pulls) WHERE nth <= 5", "pulls")
-def hot_files(lake: Lake) -> DataFrame:
-    churn = F.col("additions") + F.col("deletions")
-    by = Window.partitionBy("repo").orderBy(churn.desc(), "number")
-    return lake.pulls.withColumn("nth", F.row_number().over(by)).where("nth <= 5").select("repo", "number", churn.alias("churn"))
-
-
 @query("SELECT p.repo, p.number, min(authored_at) AS first_commit, count(sha) AS commits FROM pulls p LEFT JOIN commits c ON p.number = c.number AND authored_at <= merged_at WHERE merged_at IS NOT NULL GROUP BY ALL", "pulls", "commits")
 def dora_first_commit(lake: Lake) -> DataFrame:
     """The first commit of each merged pull, of those up to its merge."""

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from millrace.functions.numbers import half_up, r4, ratio, scaled
 from millrace.functions.rules import pack
 from millrace.operators import activity, forge, scoring
-from millrace.operators.text import dependencies
+from millrace.operators.text import DEPS, dependencies
 from millrace.plans.registry import ORACLES, QUERIES, query
-from millrace.sources.fixtures import literal, table
+from millrace.sources.fixtures import cte, literal, table
 from millrace.sources.lake import Lake
 from millrace.sources.oracle import COMMIT_NOW, NOW
 
@@ -59,7 +59,7 @@ def relevant_repo(lake: Lake, owner: str = "asia") -> DataFrame:
     return r.where(F.startswith("repo", F.lit(owner + "/")) | F.col("marked")).select("repo")
 
 
-@query(r"SELECT * FROM (VALUES ('react', TRUE), ('lodash', TRUE), ('jest', TRUE), ('numpy', TRUE), ('pandas', TRUE), ('requests', TRUE), ('github.com/a/b', FALSE), ('github.com/c/d', FALSE), ('serde', TRUE), ('tokio', TRUE), ('rails', TRUE), ('pg', TRUE), ('junit', TRUE)) t(lib, valid)")
+@query(rf"{DEPS} SELECT lib, regexp_matches(lib, '^(@[a-z0-9-~][a-z0-9-._~]*/)?[a-z0-9-~][a-z0-9-._~]*$') AS valid FROM deps")
 def pkg_name_valid(lake: Lake) -> DataFrame:
     return dependencies(lake).select("lib", F.col("lib").rlike(r"^(@[a-z0-9-~][a-z0-9-._~]*/)?[a-z0-9-~][a-z0-9-._~]*$").alias("valid"))
 
@@ -143,7 +143,7 @@ def llm_finding_merge(lake: Lake) -> DataFrame:
     return of(0).withColumn("source", F.lit("model")).unionByName(of(1).join(of(0), "head", "left_anti").withColumn("source", F.lit("static")))
 
 
-@query("SELECT * FROM (VALUES ('app', 'lodash', 'prototype pollution before 4.17.21'), ('rb', 'rails', 'check for advisories before 7.0.8')) t(repo, lib, reason)")
+@query(f"{DEPS}, {cte('risky')} SELECT repo, lib, reason FROM deps JOIN risky USING (lib)")
 def advisory_join(lake: Lake) -> DataFrame:
     return dependencies(lake).join(F.broadcast(table(lake.spark, "risky")), "lib").select("repo", "lib", "reason")
 
@@ -243,7 +243,7 @@ def diff_review(lake: Lake) -> DataFrame:
     return text.select(F.explode(hits).alias("h")).select("h.*").where("n > 0")
 
 
-@query("SELECT * FROM (VALUES ('app', 'lodash', '4.17.20'), ('app', 'react', '18.2.0'), ('app', 'jest', '29.0.0'), ('job', 'numpy', '1.26.0'), ('job', 'pandas', '2.0'), ('srv', 'github.com/a/b', '1.2.3'), ('srv', 'github.com/c/d', '0.9.0'), ('rs', 'serde', '1.0'), ('rs', 'tokio', '1.3'), ('rb', 'rails', '7.0')) t(repo, lib, version)")
+@query(f"{DEPS}, v AS (SELECT repo, lib, regexp_replace(version, '^[^0-9A-Za-z]+', '') AS version FROM deps) SELECT * FROM v WHERE regexp_matches(version, '^[0-9]')")
 def clean_semver(lake: Lake) -> DataFrame:
     """Versions without their range prefix; what does not start with a digit is none."""
     v = F.regexp_replace("version", "^[^0-9A-Za-z]+", "")

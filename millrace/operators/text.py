@@ -238,6 +238,21 @@ def framework_detect(lake: Lake) -> DataFrame:
 
 # manifests
 
+# The grammar of each manifest that is read by pattern; group 1 is the package, group 2 its version.
+_MANIFESTS = {
+    "requirements.txt": r"(?m)^([A-Za-z][A-Za-z0-9_.-]*)(?:[=<>~!]=([0-9.]+))?",
+    "go.mod": r"(?m)^\t([^ \n]+) v([0-9.]+)",
+    "Cargo.toml": r'(?m)^([a-z][a-z0-9_-]*) = (?:\{ version = )?"([0-9.]+)"',
+    "Gemfile": r"""(?m)^gem ['"]([a-z_-]+)['"](?:, ['"]([0-9.]+)['"])?""",
+    "pom.xml": r"<artifactId>([^<]+)</artifactId>(?:<version>([^<]*)</version>)?",
+}
+DEPS = f"""WITH {cte('code')}, {cte('manifests')},
+npm AS (SELECT repo, content FROM manifests WHERE file = 'package.json' AND json_valid(content)),
+kept AS (SELECT repo, unnest(json_keys(content, '$.dependencies')) AS lib, content, 'dependencies' AS part FROM npm UNION ALL SELECT repo, unnest(json_keys(content, '$.devDependencies')), content, 'devDependencies' FROM npm),
+named AS (SELECT repo, lib, json_extract_string(content, '$.' || part || '."' || lib || '"') AS version FROM kept WHERE part = 'dependencies' OR NOT coalesce(list_contains(json_keys(content, '$.dependencies'), lib), FALSE)),
+read AS ({' UNION ALL '.join(f"SELECT repo, unnest(list_zip(regexp_extract_all(content, {literal(p)}, 1), regexp_extract_all(content, {literal(p)}, 2))) AS d FROM manifests WHERE file = '{f}'" for f, p in _MANIFESTS.items())}),
+deps AS (SELECT repo, lib, version FROM named UNION ALL SELECT repo, d[1], nullif(d[2], '') FROM read)"""
+
 
 def dependencies(lake: Lake, cap: int = 40) -> DataFrame:
     """``(repo, lib, version)`` of each manifest by its own grammar. Broken manifests give no rows."""
@@ -250,24 +265,18 @@ def dependencies(lake: Lake, cap: int = 40) -> DataFrame:
         lib, version = (F.regexp_extract_all(c, F.lit(pattern), F.lit(i)) for i in (1, 2))
         return F.zip_with(lib, version, lambda a, b: pair(a, F.nullif(b, F.lit(""))))
 
-    npm = F.transform(F.map_entries(both), lambda e: pair(e["key"], e["value"]))
-    found = (
-        F.when(F.col("file") == "package.json", npm)
-        .when(F.col("file") == "requirements.txt", by_regex(r"(?m)^([A-Za-z][A-Za-z0-9_.-]*)(?:[=<>~!]=([0-9.]+))?"))
-        .when(F.col("file") == "go.mod", by_regex(r"(?m)^\t([^ \n]+) v([0-9.]+)"))
-        .when(F.col("file") == "Cargo.toml", by_regex(r'(?m)^([a-z][a-z0-9_-]*) = (?:\{ version = )?"([0-9.]+)"'))
-        .when(F.col("file") == "Gemfile", by_regex(r"""(?m)^gem ['"]([a-z_-]+)['"](?:, ['"]([0-9.]+)['"])?"""))
-        .when(F.col("file") == "pom.xml", by_regex(r"<artifactId>([^<]+)</artifactId>(?:<version>([^<]*)</version>)?"))
-    )
+    found = F.when(F.col("file") == "package.json", F.transform(F.map_entries(both), lambda e: pair(e["key"], e["value"])))
+    for file, pattern in _MANIFESTS.items():
+        found = found.when(F.col("file") == file, by_regex(pattern))
     return m.select("repo", F.explode(F.slice(found, 1, cap)).alias("d")).select("repo", "d.*")
 
 
-@query("SELECT * FROM (VALUES ('app', 'react', '^18.2.0'), ('app', 'lodash', '~4.17.20'), ('app', 'jest', '29.0.0'), ('job', 'numpy', '1.26.0'), ('job', 'pandas', '2.0'), ('job', 'requests', NULL), ('srv', 'github.com/a/b', '1.2.3'), ('srv', 'github.com/c/d', '0.9.0'), ('rs', 'serde', '1.0'), ('rs', 'tokio', '1.3'), ('rb', 'rails', '7.0'), ('rb', 'pg', NULL), ('mv', 'junit', NULL)) t(repo, lib, version)")
+@query(f"{DEPS} SELECT repo, lib, version FROM deps")
 def manifest_parse(lake: Lake) -> DataFrame:
     return dependencies(lake)
 
 
-@query("SELECT * FROM (VALUES ('app', 'lodash'), ('rb', 'rails')) t(repo, lib)")
+@query(f"{DEPS}, {cte('risky')} SELECT repo, lib FROM deps WHERE lib IN (SELECT lib FROM risky)")
 def risky_deps(lake: Lake) -> DataFrame:
     """Dependencies in the table of risky packages, a fixed list."""
     return dependencies(lake).join(F.broadcast(table(lake.spark, "risky")), "lib", "left_semi").select("repo", "lib")
@@ -292,7 +301,7 @@ def dep_risk_counts(lake: Lake) -> DataFrame:
 
 
 def fuzzy_score(q: Column, t: Column) -> Column:
-    """Sum of 1 / (place + 1) over the signs of ``q`` found in order in ``t``, places counted from 0; 0 if one is missing."""
+    """Sum of 1 / (place + 1) over the signs of ``q`` found in order in ``t``, places counted from 0; 0 if one is missing, 1 if ``q`` is empty."""
     start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("score"), F.lit(True).alias("ok"))
 
     def step(acc: Column, ch: Column) -> Column:
@@ -301,7 +310,8 @@ def fuzzy_score(q: Column, t: Column) -> Column:
         return F.struct(F.when(ok, found).otherwise(acc["at"]).alias("at"), F.when(ok, acc["score"] + 1 / found).otherwise(acc["score"]).alias("score"), ok.alias("ok"))
 
     signs = F.filter(F.split(q, ""), lambda c: c != "")
-    return F.aggregate(signs, start, step, lambda acc: F.when(acc["ok"], acc["score"]).otherwise(0.0))
+    score = F.aggregate(signs, start, step, lambda acc: F.when(acc["ok"], acc["score"]).otherwise(0.0))
+    return F.when(q == "", 1.0).otherwise(score)
 
 
 @query(None)

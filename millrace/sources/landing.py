@@ -130,9 +130,9 @@ def src_notifications(lake: Lake) -> DataFrame:
     return some.select("id", "user_id", "repo", (F.col("type") == "Issues").alias("unread"))
 
 
-@query("SELECT repo, number, created_at FROM pulls WHERE NOT draft AND number % 50 = 0", "pulls")
+@query("SELECT repo, number, created_at FROM pulls WHERE NOT draft", "pulls")
 def src_releases(lake: Lake) -> DataFrame:
-    return lake.pulls.where(~F.col("draft") & (F.col("number") % 50 == 0)).select("repo", "number", "created_at")
+    return lake.pulls.where(~F.col("draft")).select("repo", "number", "created_at")
 
 
 @query("SELECT repo, unnest([lower(language), owner]) AS topic FROM repos", "repos")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -56,19 +59,19 @@ def stream_usage_budget(lake: Lake, limit: int = 120, window_s: int = 3600) -> D
 
     def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times, units = state.get if state.exists else ([], [])
-        times, units = list(times), list(units)
+        admitted, used = deque(zip(times, units)), sum(units)
         rows = pd.concat(list(frames)).sort_values(["at", "id"])
         allowed = []
         for at, n in zip((rows["at"].astype("int64") // 1000).tolist(), rows["units"].tolist()):
-            while times and times[0] < at - window_s * 1_000_000:
-                times.pop(0)
-                units.pop(0)
-            ok = sum(units) + n <= limit
+            while admitted and admitted[0][0] < at - window_s * 1_000_000:
+                used -= admitted.popleft()[1]
+            ok = used + n <= limit
             allowed.append(ok)
             if ok:
-                times.append(at)
-                units.append(n)
-        state.update((times, units))
+                admitted.append((at, n))
+                used += n
+        # admitted units never exceed the limit, and each has one at least: the state is bounded
+        state.update(([a for a, _ in admitted], [n for _, n in admitted]))
         yield pd.DataFrame({"id": rows["id"].to_numpy(), "user_id": key[0], "feature": key[1], "units": rows["units"].to_numpy(), "allowed": allowed})
 
     stream = events(lake).withColumn("at", F.col("at").cast("timestamp"))
