@@ -27,7 +27,9 @@ ALPHA, BETA, L1, L2, EPOCHS = 5.0, 1.0, 0.2, 0.0, 4
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\s0-9A-Za-z\x80-\xff]+")
 _CACHE: dict[bytes, int] = {}
-_CACHE_SIZE = 150_000
+_CACHE_SIZE = 100_000
+#: Documents whose features are held at a time.
+_ROWS = 250
 
 
 def _word_hashes(text: str | None) -> np.ndarray:
@@ -105,19 +107,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            got = [features(t) for t in texts]
-            order = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), 3) >> 1 for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(order, pa.int64()),
-                    pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())),
-                    pa.array([g[1].astype(np.float32) for g in got], pa.list_(pa.float32())),
-                    batch.column(1).cast(pa.int32()),
-                ],
-                ["ord", "bucket", "value", "label"],
-            )
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.int32()]
+        for whole in batches:
+            for a in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(a, _ROWS)
+                texts = [t.as_py() for t in batch.column(0)]
+                got = [features(t) for t in texts]
+                order = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), 3) >> 1 for t in texts]
+                columns = [order, [g[0].astype(np.int32) for g in got], [g[1].astype(np.float32) for g in got], batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["ord", "bucket", "value", "label"])
+        _CACHE.clear()
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ord", kind="stable")
