@@ -24,6 +24,8 @@ from millrace.llm.storage import materialise
 
 #: Cells (rows times components) of a block and of a chunk of queries at most, and the chunks that few queries still make.
 BLOCK_CELLS, CHUNK_CELLS, LEAST_CHUNKS = 1 << 22, 1 << 20, 6
+#: Tasks of the search at most.
+MOST_TASKS = 20_000
 _MOST = (1 << 63) - 1
 
 
@@ -169,7 +171,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64) ->
         F.ceil(F.col("n") / F.greatest(F.lit(64), F.floor(F.lit(BLOCK_CELLS) / cells))).cast("int").alias("blocks"),
         F.ceil(F.col("asking") / most).cast("int").alias("chunks"),
     )
-    dealt = rows.join(materialise(sizes, "sizes"), "width")
+    sizes = materialise(sizes, "sizes")
+    pairs = sizes.agg(F.sum(F.col("blocks").cast("long") * F.col("chunks"))).first()[0] or 0
+    dealt = rows.join(sizes, "width")
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id", kind="stable")
@@ -185,7 +189,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64) ->
     asked = dealt.where("asks").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int"))
     asked = asked.groupBy("width", "chunk", "blocks").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("asked"))
     asked = materialise(asked, "asked").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = index.join(asked, ["width", "block"]).select("width", "n", "bits", "ids", "least", "slices", "asked", "chunk")
+    met = index.join(asked, ["width", "block"])
+    # a pair of block and chunk is a task's work, however few bytes it has: the number given is kept as it is
+    met = met.repartition(max(1, min(3 * pairs, MOST_TASKS)), "width", "block", "chunk")
+    met = met.select("width", "n", "bits", "ids", "least", "slices", "asked", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
