@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 #: Entries of the tables of known words, stretches and (four times) pairs; rows of ids held at a time.
-_KEPT = 160_000
+_KEPT = 100_000
 _ROWS = 500
 #: Signs by which the arcs that start at a place are kept.
 _AHEAD = 8
