@@ -10,7 +10,7 @@ from millrace.plans.registry import query
 from millrace.sources.fixtures import cte, literal, table
 from millrace.sources.lake import Lake
 
-_FILES = f"WITH {cte('code')}, src AS (SELECT repo, path, content FROM code UNION ALL SELECT repo, path, content FROM files)"
+_FILES = f"WITH {cte('code')}, src AS (SELECT repo, path, content FROM code UNION ALL SELECT repo, path, coalesce(content, '') FROM files)"
 _PACK = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in pack())
 _HITS = f"""{_FILES}, rules(family, rule, severity, confidence, pattern) AS (VALUES {_PACK}),
 hits AS (SELECT repo, path, family, rule, CASE WHEN confidence < .55 THEN 'low' WHEN confidence < .7 AND severity = 'critical' THEN 'high' ELSE severity END AS severity,
@@ -18,7 +18,9 @@ hits AS (SELECT repo, path, family, rule, CASE WHEN confidence < .55 THEN 'low'
 
 
 def sources(lake: Lake) -> DataFrame:
-    return table(lake.spark, "code").unionByName(lake.files.select("repo", "path", "content"))
+    """``(repo, path, content)`` of the inline tree and of the whole corpus; a null text is an empty one."""
+    corpus = lake.files.select("repo", "path", F.coalesce("content", F.lit("")).alias("content"))
+    return table(lake.spark, "code").unionByName(corpus)
 
 
 def _worth(pattern: str) -> Column:
@@ -79,77 +81,120 @@ def security_score(lake: Lake) -> DataFrame:
 
 # import graph
 
-_EDGES = f"""WITH {cte('code')}, spec AS (SELECT repo, path, unnest(regexp_extract_all(content, 'from ''([.][^'']*)''', 1)) AS spec FROM code),
-base AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM spec),
-up AS (SELECT repo, path, spec, CASE WHEN spec LIKE '../../%' THEN regexp_replace(regexp_replace(dir, '/[^/]*$', ''), '/[^/]*$', '') || substr(spec, 6) WHEN spec LIKE '../%' THEN regexp_replace(dir, '/[^/]*$', '') || substr(spec, 3) ELSE dir || substr(spec, 2) END AS stem FROM base),
-edges AS (SELECT DISTINCT u.repo, u.path AS importer, c.path AS target FROM up u JOIN code c ON c.repo = u.repo AND regexp_replace(c.path, '[.](ts|tsx|js|jsx)$', '') = u.stem)"""
+# What an import looks like, and the endings that a specifier may leave out.
+_IMPORT = r"""(?:(?m:^)import\s+[^\n]*?\s+from\s+|require\s*\(\s*|import\s*\(\s*)['"]([^'"]+)['"]"""
+_ENDING, _INDEX = r"\.(ts|tsx|js|jsx)$", r"/index\.(ts|tsx|js)$"
+
+_UP = "regexp_replace({}, '(^|/)[^/.][^/]*/\\.\\./', '\\1')"
+_EDGES = f"""{_FILES}, raw AS (SELECT DISTINCT repo, path, unnest(regexp_extract_all(content, {literal(_IMPORT)}, 1)) AS spec FROM src),
+whole AS (SELECT repo, path, CASE WHEN spec LIKE '@/%' OR spec LIKE '~/%' THEN substr(spec, 3) ELSE ltrim(regexp_replace(path, '[^/]*$', '') || spec, '/') END AS place FROM raw WHERE spec LIKE '@/%' OR spec LIKE '~/%' OR spec LIKE './%' OR spec LIKE '../%'),
+spec AS (SELECT repo, path, {_UP.format(_UP.format(_UP.format("replace(replace(place, '/./', '/'), '/./', '/')")))} AS stem FROM whole),
+stems AS (SELECT repo, path, string_split(unnest(list_distinct([path, regexp_replace(path, '{_ENDING}', ''), regexp_replace(path, '{_INDEX}', '')])), '/') AS parts FROM src),
+keys AS (SELECT repo, path, parts, unnest(range(1, len(parts) + 1)) AS i FROM stems),
+target AS (SELECT repo, array_to_string(parts[i:], '/') AS stem, arg_min(path, (i > 1, path)) AS target FROM keys GROUP BY ALL),
+edges AS (SELECT DISTINCT s.repo, s.path AS importer, target FROM spec s JOIN target t ON t.repo = s.repo AND t.stem = s.stem)"""
+
+
+def _resolved(path: Column, spec: Column) -> Column:
+    """The path that a specifier names: from the root for ``@/`` and ``~/``, else from the importer's folder."""
+    parts = F.split(F.concat(F.regexp_replace(path, "[^/]*$", ""), spec), "/")
+
+    def step(acc: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(part.isin(".", ""), acc).otherwise(F.concat(acc, F.array(part)))
+
+    walked = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(spec.rlike("^[@~]/"), F.substr(spec, F.lit(3))).otherwise(F.array_join(walked, "/"))
 
 
 def imports(lake: Lake) -> DataFrame:
-    """``(repo, importer, target)``: relative imports, normalised to the path of a file of the repository. Both sides
-    drop their extension, so that resolving is one equi-join."""
-    code = table(lake.spark, "code")
-    spec = code.select("repo", "path", F.explode(F.regexp_extract_all("content", F.lit(r"from '([.][^']*)'"), F.lit(1))).alias("spec"))
-    up = lambda c: F.regexp_replace(c, "/[^/]*$", "")
-    folder = up(F.col("path"))
-    tail = lambda n: F.expr(f"substr(spec, {n})")
-    stem = F.when(F.col("spec").like("../../%"), F.concat(up(up(folder)), tail(6))).when(F.col("spec").like("../%"), F.concat(up(folder), tail(3))).otherwise(F.concat(folder, tail(2)))
-    files = code.select("repo", F.col("path").alias("target"), F.regexp_replace("path", "[.](ts|tsx|js|jsx)$", "").alias("stem"))
-    return spec.select("repo", F.col("path").alias("importer"), stem.alias("stem")).join(files, ["repo", "stem"]).select("repo", "importer", "target").distinct()
-
-
-@query(f"{_EDGES} SELECT * FROM edges")
+    """``(repo, importer, target)``: relative and root imports, resolved to one file of the repository.
+
+    A file answers to its path, with or without its ending or ``/index.*``, and to every tail of these. Of the files that
+    answer to a name the one is taken whose whole path it is, else the first by path: that is settled once for each name
+    before the join, so the join makes a row for each import at most, and only paths move."""
+    files = sources(lake)
+    spec = files.where(F.contains("content", F.lit("import")) | F.contains("content", F.lit("require")))
+    spec = spec.select("repo", "path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(_IMPORT), F.lit(1)))).alias("spec")).where(F.col("spec").rlike(r"^(@|~|\.\.?)/"))
+    stems = F.array_distinct(F.array("path", F.regexp_replace("path", _ENDING, ""), F.regexp_replace("path", _INDEX, "")))
+    keys = files.select("repo", "path", F.explode(stems).alias("stem")).select("repo", "path", F.split("stem", "/").alias("parts"))
+    tail = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.struct((i > 1).alias("partial"), F.array_join(F.slice("parts", i, F.size("parts")), "/").alias("stem")))
+    named = keys.select("repo", "path", F.explode(tail).alias("t")).groupBy("repo", "t.stem").agg(F.min(F.struct("t.partial", "path"))["path"].alias("target"))
+    asked = spec.select("repo", F.col("path").alias("importer"), _resolved(F.col("path"), F.col("spec")).alias("stem")).distinct()
+    return asked.join(named, ["repo", "stem"]).select("repo", "importer", "target").distinct()
+
+
+@query(f"{_EDGES} SELECT * FROM edges", "files")
 def import_resolve(lake: Lake) -> DataFrame:
     return imports(lake)
 
 
-@query(f"{_EDGES} SELECT repo, importer, count(*) AS imports FROM edges GROUP BY ALL")
+@query(f"{_EDGES} SELECT e.repo, e.importer, count(*) AS imports, count(b.importer) AS cycles, CASE WHEN count(*) > 20 THEN 'high' WHEN count(*) > 12 THEN 'medium' ELSE 'low' END AS risk FROM edges e LEFT JOIN edges b ON b.repo = e.repo AND b.importer = e.target AND b.target = e.importer GROUP BY ALL", "files")
 def coupling(lake: Lake) -> DataFrame:
-    return imports(lake).groupBy("repo", "importer").agg(F.count("*").alias("imports"))
+    """Imports of each file, and how many of them import it in turn."""
+    edges = imports(lake)
+    back = edges.select("repo", F.col("target").alias("importer"), F.col("importer").alias("target"), F.lit(True).alias("back"))
+    n = F.count("*")
+    return edges.join(back, ["repo", "importer", "target"], "left").groupBy("repo", "importer").agg(n.alias("imports"), F.count("back").alias("cycles"), F.when(n > 20, "high").when(n > 12, "medium").otherwise("low").alias("risk"))
+
+
+# What a file does, as patterns of its text.
+MARKS = {
+    "raw": r"req\.(json|body)",
+    "checked": "(?i)valid|parse|schema",
+    "queries": "(?i)prisma|query",
+    "orm": "(?i)prisma",
+    "mutates": "function (POST|PUT|DELETE)",
+    "guarded": "(?i)auth|session",
+    "server_env": r"process\.env\.",
+    "client": "use client",
+    "quiet": "catch *([(][^)]*[)])? *[{] *[}]",
+    "shared": "export let",
+    "writes": r"state[.]\w+ *[+-]?=",
+}
+_MARKED = f"{_EDGES}, m AS (SELECT repo, path, {', '.join(f'regexp_matches(content, {literal(p)}) AS {n}' for n, p in MARKS.items())} FROM src)"
 
 
-def _content(lake: Lake, column: str) -> DataFrame:
-    return table(lake.spark, "code").select("repo", F.col("path").alias(column), F.col("content").alias(f"{column}_text"))
+def marked(lake: Lake, wanted: str, role: str) -> DataFrame:
+    """``(repo, role)``: the files whose marks fit a condition. Texts stay behind; the joins move paths."""
+    marks = [F.col("content").rlike(p).alias(n) for n, p in MARKS.items()]
+    return sources(lake).select("repo", F.col("path").alias(role), *marks).where(wanted).select("repo", role)
 
 
-@query(rf"{_EDGES} SELECT e.repo, importer, min(target) AS target FROM edges e JOIN code a ON a.path = importer AND a.repo = e.repo JOIN code b ON b.path = target AND b.repo = e.repo WHERE regexp_matches(a.content, 'req\.(json|body)') AND NOT regexp_matches(a.content, '(?i)valid|parse|schema') AND regexp_matches(b.content, '(?i)prisma|query') GROUP BY ALL")
+@query(f"{_MARKED} SELECT e.repo, importer, min(target) AS target FROM edges e JOIN m a ON a.path = importer AND a.repo = e.repo JOIN m b ON b.path = target AND b.repo = e.repo WHERE a.raw AND NOT a.checked AND b.queries AND NOT b.checked GROUP BY ALL", "files")
 def xfile_unvalidated_input(lake: Lake) -> DataFrame:
-    """Raw request input that reaches a database file unchecked; the first target of each file."""
-    met = imports(lake).join(_content(lake, "importer"), ["repo", "importer"]).join(_content(lake, "target"), ["repo", "target"])
-    raw = F.col("importer_text").rlike(r"req\.(json|body)") & ~F.col("importer_text").rlike("(?i)valid|parse|schema")
-    return met.where(raw & F.col("target_text").rlike("(?i)prisma|query")).groupBy("repo", "importer").agg(F.min("target").alias("target"))
+    """Raw request input that reaches a database file with no check in either; the first target of each file."""
+    met = imports(lake).join(marked(lake, "raw and not checked", "importer"), ["repo", "importer"], "left_semi")
+    met = met.join(marked(lake, "queries and not checked", "target"), ["repo", "target"], "left_semi")
+    return met.groupBy("repo", "importer").agg(F.min("target").alias("target"))
 
 
-@query(rf"{_EDGES} SELECT e.repo, importer, target FROM edges e JOIN code a ON a.path = importer AND a.repo = e.repo JOIN code b ON b.path = target AND b.repo = e.repo WHERE regexp_matches(a.content, 'function (POST|PUT|DELETE)') AND NOT regexp_matches(a.content, '(?i)auth|session') AND regexp_matches(b.content, '(?i)prisma')")
+@query(f"{_MARKED} SELECT e.repo, importer, target FROM edges e JOIN m a ON a.path = importer AND a.repo = e.repo JOIN m b ON b.path = target AND b.repo = e.repo WHERE a.mutates AND NOT a.guarded AND b.orm", "files")
 def xfile_auth_bypass(lake: Lake) -> DataFrame:
-    met = imports(lake).join(_content(lake, "importer"), ["repo", "importer"]).join(_content(lake, "target"), ["repo", "target"])
-    open_route = F.col("importer_text").rlike("function (POST|PUT|DELETE)") & ~F.col("importer_text").rlike("(?i)auth|session")
-    return met.where(open_route & F.col("target_text").rlike("(?i)prisma")).select("repo", "importer", "target")
+    met = imports(lake).join(marked(lake, "mutates and not guarded", "importer"), ["repo", "importer"], "left_semi")
+    return met.join(marked(lake, "orm", "target"), ["repo", "target"], "left_semi").select("repo", "importer", "target")
 
 
-@query(f"{_EDGES} SELECT c.repo, c.path FROM code c WHERE contains(content, 'process.env.') AND EXISTS (SELECT 1 FROM edges e JOIN code i ON i.path = importer AND i.repo = e.repo WHERE e.target = c.path AND e.repo = c.repo AND contains(i.content, 'use client'))")
+@query(f"{_MARKED} SELECT repo, path FROM m WHERE server_env AND EXISTS (SELECT 1 FROM edges e JOIN m i ON i.path = importer AND i.repo = e.repo WHERE e.target = m.path AND e.repo = m.repo AND i.client)", "files")
 def xfile_server_env_client(lake: Lake) -> DataFrame:
     """Files that read the environment and are imported by a client component."""
-    clients = _content(lake, "importer").where(F.contains("importer_text", F.lit("use client"))).select("repo", "importer")
-    used = imports(lake).join(clients, ["repo", "importer"], "left_semi").select("repo", F.col("target").alias("path"))
-    return table(lake.spark, "code").where(F.contains("content", F.lit("process.env."))).join(used, ["repo", "path"], "left_semi").select("repo", "path")
+    used = imports(lake).join(marked(lake, "client", "importer"), ["repo", "importer"], "left_semi")
+    return marked(lake, "server_env", "path").join(used.select("repo", F.col("target").alias("path")), ["repo", "path"], "left_semi")
 
 
-@query(f"{_EDGES}, k AS (SELECT repo, target, importer, row_number() OVER (PARTITION BY repo, target ORDER BY importer) AS nth FROM edges) SELECT c.repo, path, string_agg(importer, ',' ORDER BY importer) AS callers FROM code c JOIN k ON k.repo = c.repo AND target = path WHERE nth <= 3 AND regexp_matches(content, 'catch *([(][^)]*[)])? *[{{] *[}}]') GROUP BY ALL")
+@query(f"{_MARKED}, k AS (SELECT repo, target, importer, row_number() OVER (PARTITION BY repo, target ORDER BY importer) AS nth FROM edges) SELECT m.repo, path, string_agg(importer, ',' ORDER BY importer) AS callers FROM m JOIN k ON k.repo = m.repo AND target = path WHERE nth <= 3 AND quiet GROUP BY ALL", "files")
 def xfile_silent_failure(lake: Lake) -> DataFrame:
     """Files that swallow errors, with up to three of their callers."""
-    quiet = table(lake.spark, "code").where(F.col("content").rlike("catch *([(][^)]*[)])? *[{] *[}]")).select("repo", F.col("path").alias("target"))
     by = Window.partitionBy("repo", "target").orderBy("importer")
-    met = imports(lake).withColumn("nth", F.row_number().over(by)).where("nth <= 3").join(quiet, ["repo", "target"])
+    called = imports(lake).join(marked(lake, "quiet", "target"), ["repo", "target"], "left_semi")
+    met = called.withColumn("nth", F.row_number().over(by)).where("nth <= 3")
     return met.groupBy("repo", F.col("target").alias("path")).agg(F.array_join(F.array_sort(F.collect_list("importer")), ",").alias("callers"))
 
 
-@query(rf"{_EDGES} SELECT c.repo, c.path, count(DISTINCT importer) AS n FROM code c JOIN edges e ON e.repo = c.repo AND target = path JOIN code i ON i.path = importer AND i.repo = e.repo WHERE regexp_matches(c.content, 'export let') AND regexp_matches(i.content, 'state[.]\w+ *[+-]?=') GROUP BY ALL HAVING count(DISTINCT importer) >= 2")
+@query(f"{_MARKED} SELECT m.repo, m.path, count(DISTINCT importer) AS n FROM m JOIN edges e ON e.repo = m.repo AND target = m.path JOIN m i ON i.path = importer AND i.repo = e.repo WHERE m.shared AND i.writes GROUP BY ALL HAVING count(DISTINCT importer) >= 2", "files")
 def xfile_shared_mutable(lake: Lake) -> DataFrame:
-    shared = table(lake.spark, "code").where(F.col("content").rlike("export let")).select("repo", F.col("path").alias("target"))
-    writers = _content(lake, "importer").where(F.col("importer_text").rlike(r"state[.]\w+ *[+-]?=")).select("repo", "importer")
-    met = imports(lake).join(shared, ["repo", "target"]).join(writers, ["repo", "importer"])
-    return met.groupBy("repo", F.col("target").alias("path")).agg(F.count_distinct("importer").alias("n")).where("n >= 2")
+    """Files that export a binding which two or more of their importers change."""
+    met = imports(lake).join(marked(lake, "shared", "target"), ["repo", "target"], "left_semi").join(marked(lake, "writes", "importer"), ["repo", "importer"], "left_semi")
+    return met.groupBy("repo", F.col("target").alias("path")).agg(F.count("*").alias("n")).where("n >= 2")  # edges are distinct
 
 
 # audits of source files
@@ -157,13 +202,20 @@ def xfile_shared_mutable(lake: Lake) -> DataFrame:
 _WORDS = r"\b(if|for|while|case|catch)\b|&&|\|\|"
 
 
-@query(rf"WITH {cte('code')}, c AS (SELECT repo, path, CAST(1 + len(regexp_extract_all(content, '{_WORDS}')) AS INT) AS cyclomatic FROM code) SELECT repo, path, cyclomatic, CASE WHEN cyclomatic > 20 THEN 'critical' WHEN cyclomatic > 10 THEN 'high' WHEN cyclomatic > 5 THEN 'medium' ELSE 'low' END AS risk FROM c")
+@query(rf"{_FILES}, c AS (SELECT repo, path, CAST(1 + len(regexp_extract_all(content, '{_WORDS}')) AS INT) AS cyclomatic FROM src) SELECT repo, path, cyclomatic, CASE WHEN cyclomatic > 20 THEN 'critical' WHEN cyclomatic > 10 THEN 'high' WHEN cyclomatic > 5 THEN 'medium' ELSE 'low' END AS risk FROM c", "files")
 def complexity(lake: Lake) -> DataFrame:
     n = 1 + F.regexp_count("content", F.lit(_WORDS))
-    return table(lake.spark, "code").select("repo", "path", n.alias("cyclomatic"), F.when(n > 20, "critical").when(n > 10, "high").when(n > 5, "medium").otherwise("low").alias("risk"))
+    return sources(lake).select("repo", "path", n.alias("cyclomatic"), F.when(n > 20, "critical").when(n > 10, "high").when(n > 5, "medium").otherwise("low").alias("risk"))
 
 
-@query(None)
+_LINES = f"{_FILES}, l AS (SELECT repo, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM src)"
+
+
+@query(rf"""{_LINES}, c AS (SELECT *, len(regexp_extract_all(line, '\b(if|for|while|switch|catch)\b')) AS branches, len(line) - len(replace(line, '{{', '')) - len(line) + len(replace(line, '}}', '')) AS d FROM l),
+s AS (SELECT *, sum(d) OVER w AS level FROM c WINDOW w AS (PARTITION BY repo, path ORDER BY i)),
+m AS (SELECT *, level - least(0, min(level) OVER (PARTITION BY repo, path ORDER BY i)) AS depth FROM s),
+b AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY repo, path ORDER BY i), 0) AS before FROM m)
+SELECT repo, path, CAST(sum(branches * (1 + before)) AS INT) AS cognitive FROM b GROUP BY ALL""", "files")
 def cognitive_complexity(lake: Lake) -> DataFrame:
     """A fold over the lines: each branch counts one more than the braces it stands in."""
     lines = F.split("content", "\n")
@@ -175,10 +227,12 @@ def cognitive_complexity(lake: Lake) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("score"), F.lit(0).alias("depth"))
     score = F.aggregate(lines, start, step, lambda acc: acc["score"])
-    return table(lake.spark, "code").select("repo", "path", score.alias("cognitive"))
+    return sources(lake).select("repo", "path", score.alias("cognitive"))
 
 
-@query(None)
+@query(rf"""{_LINES}, c AS (SELECT repo, path, i, trim(line, ' ') AS bare, contains(line, '/*') AS opens, contains(line, '*/') AS closes FROM l),
+o AS (SELECT *, coalesce(last_value(CASE WHEN closes THEN FALSE WHEN opens THEN TRUE END IGNORE NULLS) OVER (PARTITION BY repo, path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS inside FROM c)
+SELECT repo, path, CAST(count(*) FILTER (NOT (inside OR opens OR bare = '' OR regexp_matches(bare, '^(//|#|import\b|from\b)'))) AS INT) AS lines FROM o GROUP BY ALL""", "files")
 def strip_non_executable(lake: Lake) -> DataFrame:
     """Lines of code without comment lines, block comments and imports: a fold that remembers an open comment."""
     lines = F.split("content", "\n")
@@ -190,50 +244,85 @@ def strip_non_executable(lake: Lake) -> DataFrame:
         return F.struct(F.when(skip, acc["kept"]).otherwise(acc["kept"] + 1).alias("kept"), ((acc["inside"] | opens) & ~closes).alias("inside"))
 
     start = F.struct(F.lit(0).alias("kept"), F.lit(False).alias("inside"))
-    return table(lake.spark, "code").select("repo", "path", F.aggregate(lines, start, step, lambda a: a["kept"]).alias("lines"))
+    return sources(lake).select("repo", "path", F.aggregate(lines, start, step, lambda a: a["kept"]).alias("lines"))
 
 
-@query(rf"WITH {cte('code')} SELECT repo, path, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '(?:async )?function (GET|POST|PUT|PATCH|DELETE)', 1))), ',') AS methods, regexp_matches(content, '(?i)auth|session') AS auth, regexp_matches(content, '(?i)schema|valid') AS validated FROM code WHERE path LIKE '%/api/%'")
+@query(rf"{_FILES} SELECT repo, path, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '(?:async )?function (GET|POST|PUT|PATCH|DELETE)', 1))), ',') AS methods, regexp_matches(content, '(?i)auth|session') AS auth, regexp_matches(content, '(?i)schema|valid') AS validated FROM src WHERE path LIKE '%/api/%'", "files")
 def route_audit(lake: Lake) -> DataFrame:
     c = F.col("content")
     found = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit("(?:async )?function (GET|POST|PUT|PATCH|DELETE)"), F.lit(1)))), ",")
-    return table(lake.spark, "code").where(F.col("path").like("%/api/%")).select("repo", "path", found.alias("methods"), c.rlike("(?i)auth|session").alias("auth"), c.rlike("(?i)schema|valid").alias("validated"))
-
-
-@query(rf"WITH {cte('code')} SELECT repo, path, regexp_matches(content, '<img[^>]*>') AND NOT regexp_matches(content, '<img[^>]*\balt=') AS img_alt, regexp_matches(content, '<li>') AS key FROM code WHERE path LIKE '%.tsx'")
+    return sources(lake).where(F.col("path").like("%/api/%")).select("repo", "path", found.alias("methods"), c.rlike("(?i)auth|session").alias("auth"), c.rlike("(?i)schema|valid").alias("validated"))
+
+
+# The markup that a check looks for, what it must hold and what frees it.
+A11Y = [
+    ("img-alt", "(?i)<img[^>]*>", None, r"(?i)\balt="),
+    ("div-click", "(?i)<div[^>]*onClick[^>]*>", None, "role="),
+    ("icon-button", r"(?i)<button[^>]*>\s*<(?:svg|MaterialIcon|Icon|Lucide)[^/]*/>?\s*</button>", None, "aria-label"),
+    ("input-label", "(?i)<input[^>]*>", None, "(?i)aria-label|id="),
+    ("hidden-control", r'(?i)(?:button|input|a\s)[^>]*aria-hidden="true"', None, None),
+    ("tab-order", r"""(?i)tabIndex=\{?["']?\d+""", "[1-9]", None),
+    ("blank-target", """(?i)target=["']_blank["'][^>]*""", None, """(?i)rel=["'][^"']*noopener"""),
+]
+_A11Y = ", ".join(
+    f"('{n}', len(list_filter(regexp_extract_all(content, {literal(tag)}), lambda x: " + " AND ".join(["TRUE"] + [f"regexp_matches(x, {literal(has)})"] * bool(has) + [f"NOT regexp_matches(x, {literal(unless)})"] * bool(unless)) + ")))"
+    for n, tag, has, unless in A11Y
+)
+
+
+@query(f"{_FILES}, i AS (SELECT repo, path, unnest([{_A11Y}, ('html-lang', CASE WHEN path LIKE '%layout%' AND contains(content, '<html') AND NOT contains(content, 'lang=') THEN 1 ELSE 0 END)]) AS i FROM src) SELECT repo, path, i[1] AS issue, CAST(i[2] AS INT) AS n FROM i WHERE i[2] > 0", "files")
 def a11y_audit(lake: Lake) -> DataFrame:
+    """``(repo, path, issue, n)``: markup of a file that assistive software stumbles over."""
     c = F.col("content")
-    return table(lake.spark, "code").where(F.col("path").like("%.tsx")).select("repo", "path", (c.rlike("<img[^>]*>") & ~c.rlike(r"<img[^>]*\balt=")).alias("img_alt"), c.rlike("<li>").alias("key"))
 
+    def row(name: str, n: Column) -> Column:
+        return F.struct(F.lit(name).alias("issue"), n.alias("n"))
 
-@query(rf"""WITH {cte('code')}, used AS (SELECT DISTINCT repo, unnest(regexp_extract_all(content, 'process\.env\.([A-Z_]+)', 1)) AS name FROM code),
-declared AS (SELECT DISTINCT repo, unnest(regexp_extract_all(content, '(?m)^([A-Z_]+)=', 1)) AS name FROM code WHERE path LIKE '.env%')
-SELECT u.repo, u.name, d.name IS NOT NULL AS declared FROM used u LEFT JOIN declared d USING (repo, name)""")
-def env_audit(lake: Lake) -> DataFrame:
-    code = table(lake.spark, "code")
-    names = lambda df, p: df.select("repo", F.explode(F.regexp_extract_all("content", F.lit(p), F.lit(1))).alias("name")).distinct()
-    declared = names(code.where(F.col("path").like(".env%")), "(?m)^([A-Z_]+)=").withColumn("declared", F.lit(True))
-    used = names(code, r"process\.env\.([A-Z_]+)")
-    return used.join(declared, ["repo", "name"], "left").select("repo", "name", F.coalesce("declared", F.lit(False)).alias("declared"))
+    def count(tag: str, has: str | None, unless: str | None) -> Column:
+        tags = F.regexp_extract_all(c, F.lit(tag), F.lit(0))
+        tags = F.filter(tags, lambda x: x.rlike(has)) if has else tags
+        return F.size(F.filter(tags, lambda x: ~x.rlike(unless)) if unless else tags)
+
+    rows = [row(name, count(*check)) for name, *check in A11Y]
+    rows.append(row("html-lang", F.when(F.col("path").contains("layout") & c.contains("<html") & ~c.contains("lang="), 1).otherwise(0)))
+    return sources(lake).where(c.contains("=") | c.contains("<")).select("repo", "path", F.explode(F.array(*rows)).alias("i")).select("repo", "path", "i.*").where("n > 0")
 
 
-@query(rf"""WITH {cte('code')}, x AS (SELECT DISTINCT repo, unnest(regexp_extract_all(content, 'export (?:async )?(?:function|const|let) (\w+)', 1)) AS name FROM code WHERE path NOT LIKE '%.test.%'),
-t AS (SELECT repo, content FROM code WHERE path LIKE '%.test.%')
-SELECT repo, count(*) AS exported, count(*) FILTER (EXISTS (SELECT 1 FROM t WHERE t.repo = x.repo AND contains(t.content, x.name))) AS tested FROM x GROUP BY repo""")
+@query(rf"""{_FILES}, used AS (SELECT repo, name, bool_or(client) AS client FROM (SELECT repo, contains(content, 'use client') AS client, unnest(regexp_extract_all(content, 'process\.env\.([A-Z_]+)', 1)) AS name FROM src) GROUP BY ALL),
+declared AS (SELECT DISTINCT repo, unnest(regexp_extract_all(content, '(?m)^([A-Z_]+)=', 1)) AS name FROM src WHERE path LIKE '.env%')
+SELECT u.repo, u.name, d.name IS NOT NULL AS declared, client AND NOT regexp_matches(u.name, '^(NEXT_)?PUBLIC_') AS client_secret FROM used u LEFT JOIN declared d USING (repo, name)""", "files")
+def env_audit(lake: Lake) -> DataFrame:
+    """Variables of the environment that code reads: whether an example file declares them, and whether a client component
+    reads one that is not public."""
+    files = sources(lake)
+    names = lambda df, p, *more: df.select("repo", *more, F.explode(F.regexp_extract_all("content", F.lit(p), F.lit(1))).alias("name"))
+    declared = names(files.where(F.col("path").like(".env%")), "(?m)^([A-Z_]+)=").distinct().withColumn("declared", F.lit(True))
+    used = names(files, r"process\.env\.([A-Z_]+)", F.contains("content", F.lit("use client")).alias("client")).groupBy("repo", "name").agg(F.bool_or("client").alias("client"))
+    secret = F.col("client") & ~F.col("name").rlike("^(NEXT_)?PUBLIC_")
+    return used.join(declared, ["repo", "name"], "left").select("repo", "name", F.coalesce("declared", F.lit(False)).alias("declared"), secret.alias("client_secret"))
+
+
+@query(rf"""{_FILES}, x AS (SELECT DISTINCT repo, unnest(regexp_extract_all(content, 'export (?:async )?(?:function|const|let) (\w+)', 1)) AS name FROM src WHERE path NOT LIKE '%.test.%'),
+t AS (SELECT DISTINCT repo, unnest(regexp_extract_all(content, '\w+')) AS name FROM src WHERE path LIKE '%.test.%'),
+n AS (SELECT x.repo, count(*) AS exported, count(t.name) AS tested FROM x LEFT JOIN t ON t.repo = x.repo AND t.name = x.name GROUP BY ALL)
+SELECT *, CASE WHEN tested < .3 * exported THEN 'critical' WHEN tested < .6 * exported THEN 'high' WHEN tested < .8 * exported THEN 'medium' ELSE 'low' END AS risk FROM n""", "files")
 def export_test_coverage(lake: Lake) -> DataFrame:
     """Exported names, and those that a test file mentions. Tests are split into words, so the join is on equal names."""
-    code, test = table(lake.spark, "code"), F.col("path").like("%.test.%")
+    code, test = sources(lake), F.col("path").like("%.test.%")
     names = code.where(~test).select("repo", F.explode(F.regexp_extract_all("content", F.lit(r"export (?:async )?(?:function|const|let) (\w+)"), F.lit(1))).alias("name")).distinct()
     said = code.where(test).select("repo", F.explode(F.regexp_extract_all("content", F.lit(r"\w+"), F.lit(0))).alias("name")).distinct().withColumn("tested", F.lit(True))
-    return names.join(said, ["repo", "name"], "left").groupBy("repo").agg(F.count("*").alias("exported"), F.count("tested").alias("tested"))
+    n = names.join(said, ["repo", "name"], "left").groupBy("repo").agg(F.count("*").alias("exported"), F.count("tested").alias("tested"))
+    share = lambda x: F.col("tested") < x * F.col("exported")
+    return n.withColumn("risk", F.when(share(0.3), "critical").when(share(0.6), "high").when(share(0.8), "medium").otherwise("low"))
 
 
-@query(rf"""WITH {cte('code')} SELECT repo, bool_or(path LIKE '%.tsx') AS react, bool_or(path = 'Dockerfile') AS docker, bool_or(path LIKE '%.test.%') AS tests, bool_or(contains(content, 'PrismaClient')) AS prisma, bool_or(path LIKE '%.py') AS python FROM code GROUP BY repo""")
-def framework_detect(lake: Lake) -> DataFrame:
-    p = F.col("path")
-    return table(lake.spark, "code").groupBy("repo").agg(
-        F.bool_or(p.like("%.tsx")).alias("react"), F.bool_or(p == "Dockerfile").alias("docker"), F.bool_or(p.like("%.test.%")).alias("tests"), F.bool_or(F.contains("content", F.lit("PrismaClient"))).alias("prisma"), F.bool_or(p.like("%.py")).alias("python")
-    )
+# The test framework that a file at the root, a package or a word of requirements.txt stands for.
+CONFIGS = {
+    "jest.config.js": "Jest", "jest.config.ts": "Jest", "vitest.config.ts": "Vitest", "vitest.config.js": "Vitest", ".nycrc": "nyc", "codecov.yml": "Codecov",
+    ".codecov.yml": "Codecov", "pytest.ini": "pytest", "setup.cfg": "pytest", ".coveragerc": "coverage.py", "go.mod": "go test",
+}
+RUNNERS = {"jest": "Jest", "vitest": "Vitest", "mocha": "Mocha", "jasmine": "Jasmine", "ava": "Ava", "tap": "Tap", "c8": "c8", "nyc": "nyc"}
+REQUIRED = {"pytest": "pytest", "coverage": "coverage.py", "nose": "nose"}
 
 
 # manifests
@@ -276,6 +365,26 @@ def manifest_parse(lake: Lake) -> DataFrame:
     return dependencies(lake)
 
 
+def _case(column: str, names: dict[str, str]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
+
+
+@query(f"""{DEPS}, src AS (SELECT repo, path FROM code UNION ALL SELECT repo, path FROM files), found AS (SELECT repo, path AS config, {_case('path', CONFIGS)} AS framework FROM src
+UNION ALL SELECT repo, file, {_case('file', CONFIGS)} FROM manifests UNION ALL SELECT repo, NULL, {_case('lib', RUNNERS)} FROM deps
+UNION ALL SELECT repo, NULL, unnest([{', '.join(f"CASE WHEN contains(content, '{k}') THEN '{v}' END" for k, v in REQUIRED.items())}]) FROM manifests WHERE file = 'requirements.txt')
+SELECT repo, array_to_string(list_sort(list(DISTINCT framework)), ',') AS frameworks, count(DISTINCT config) AS configs FROM found WHERE framework IS NOT NULL GROUP BY repo""", "files")
+def framework_detect(lake: Lake) -> DataFrame:
+    """Test frameworks of each repository that has any, from files at its root and from its manifests."""
+    m, none = table(lake.spark, "manifests"), F.lit(None).cast("string")
+    files = sources(lake).select("repo", F.col("path").alias("config")).unionByName(m.select("repo", F.col("file").alias("config")))
+    by_file = files.select("repo", "config", F.expr(_case("config", CONFIGS)).alias("framework"))
+    by_lib = dependencies(lake).select("repo", none.alias("config"), F.expr(_case("lib", RUNNERS)).alias("framework"))
+    words = F.array(*[F.when(F.contains("content", F.lit(k)), v) for k, v in REQUIRED.items()])
+    by_word = m.where(F.col("file") == "requirements.txt").select("repo", none.alias("config"), F.explode(words).alias("framework"))
+    found = by_file.unionByName(by_lib).unionByName(by_word).where("framework is not null")
+    return found.groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set("framework")), ",").alias("frameworks"), F.count_distinct("config").alias("configs"))
+
+
 @query(f"{DEPS}, {cte('risky')} SELECT repo, lib FROM deps WHERE lib IN (SELECT lib FROM risky)")
 def risky_deps(lake: Lake) -> DataFrame:
     """Dependencies in the table of risky packages, a fixed list."""
