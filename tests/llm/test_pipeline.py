@@ -15,12 +15,14 @@ def test_same_as_sql(spark, sf_dir, duck, name):
 
 
 def test_stages(spark, sf_dir):
-    """Each stage on what the one before it kept, with rows no stage should trip over."""
+    """Each stage on what the one before it kept, with rows no stage should trip over, a text of millions of signs among them."""
     from millrace.llm.storage import materialise
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     first = docs.first()
-    odd = [(None, None, None, None, None), (9001, "", "en", "s", 0), (9002, None, "en", "s", None), tuple(first), (9003, first["text"], "en", "s", first["n_chars"])]
+    prose = docs.where("lang = 'en' and n_chars > 400").orderBy("doc_id").first()["text"]
+    long = " ".join(f"{prose} part{i}" for i in range(4000))
+    odd = [(9004, long, "en", "s", len(long)), (9005, long + " end", "en", "s", len(long) + 4), (None, None, None, None, None), (9001, "", "en", "s", 0), (9002, None, "en", "s", None), tuple(first), (9003, first["text"], "en", "s", first["n_chars"])]
     docs = docs.union(spark.createDataFrame(odd, docs.schema)).withColumn("__note", F.lit("keep"))
     seen = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "encoding"]
@@ -32,6 +34,7 @@ def test_stages(spark, sf_dir):
     rows = docs.collect()
     assert len({r["doc_id"] for r in rows}) == len(rows)
     texts = [r["text"] for r in rows if r["text"]]
+    assert len(long) > 1_500_000 and [r["doc_id"] for r in rows if r["text"] and len(r["text"]) > 1_000_000] == [9004]
     assert len(set(texts)) == len(texts)
     for r in rows:
         if base_spans(seen[r["doc_id"]]):
