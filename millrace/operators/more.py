@@ -161,9 +161,10 @@ for _n in ("tier", "confidence"):
 
 @query("SELECT repo, round((rank() OVER (ORDER BY stars) - 1) / count(*) OVER () * 100, 4) AS percentile FROM repos", "repos")
 def cohort_percentile(lake: Lake) -> DataFrame:
-    """The share of the cohort that is strictly below."""
-    every = Window.partitionBy(F.lit(1))
-    return lake.repos.select("repo", r4((F.rank().over(every.orderBy("stars")) - 1) / F.count("*").over(every) * 100).alias("percentile"))
+    """The share of the cohort that is strictly below, counted over the distinct numbers of stars."""
+    r = lake.repos.select("repo", "stars")
+    met = r.join(scoring.positions(r, "stars"), F.col("stars").eqNullSafe(F.col("value")))
+    return met.select("repo", r4(F.col("below") / F.col("every") * 100).alias("percentile"))
 
 
 @query(f"WITH b AS (SELECT min(stars) AS lo, max(stars) AS hi FROM repos) SELECT repo, round({scoring._sql_scaled('stars', 'lo', 'hi', False)}, 4) AS linear, round({scoring._sql_scaled('stars', 'lo', 'hi', True)}, 4) AS log, round(100 - {scoring._sql_scaled('stars', 'lo', 'hi', False)}, 4) AS inverted FROM repos, b", "repos")
