@@ -148,3 +148,16 @@ s AS (
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+def op11() -> str:
+    return rf"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (
+  SELECT rid, i, lines[i] AS line, translate(regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), {_UPPER}, {_LOWER}) AS key
+  FROM doc, unnest(range(1, len(lines) + 1)) AS u(i)),
+often AS (SELECT key FROM line WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10),
+told AS (
+  SELECT rid, count(*) AS n_lines, count(o.key) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (o.key IS NULL) AS kept
+  FROM line l LEFT JOIN often o ON l.key = o.key GROUP BY rid)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM doc JOIN told USING (rid)"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm import oracle
 from millrace.llm.decontaminate import op1_decontaminate
 from millrace.llm.licenses import op3_licenses
+from millrace.llm.lines import op11_lines
 from millrace.llm.pages import op9_pages
 from millrace.llm.pieces import op10_sentencepiece
 from millrace.llm.quality import op2_quality
@@ -33,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op8_topk": op8_topk,
         "op9_pages": op9_pages,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_lines": op11_lines,
     }
 
 
@@ -43,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": oracle.op5(),
         "op7_urls": oracle.op7(),
         "op8_topk": oracle.op8(),
+        "op11_lines": oracle.op11(),
     }
