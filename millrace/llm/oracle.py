@@ -161,3 +161,28 @@ told AS (
   SELECT rid, count(*) AS n_lines, count(o.key) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (o.key IS NULL) AS kept
   FROM line l LEFT JOIN often o ON l.key = o.key GROUP BY rid)
 SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM doc JOIN told USING (rid)"""
+
+
+def op12() -> str:
+    """Each round is an assignment and the floors of the means, over the vectors' components as rows."""
+    nearest = """SELECT rid, min({{'d': d, 'c': c}}) AS best FROM (
+    SELECT v.rid, m.c, sum((v.x - m.x) * (v.x - m.x)) AS d FROM cell v JOIN centre{n} m USING (i) GROUP BY ALL) GROUP BY rid"""
+    rounds = ",\n".join(
+        f"""near{n} AS ({nearest.format(n=n)}),
+mean{n} AS (SELECT best.c AS c, i, sum(x) AS s, count(*) AS n FROM near{n} JOIN cell USING (rid) GROUP BY ALL),
+centre{n + 1} AS (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, x) AS x FROM centre{n} LEFT JOIN mean{n} USING (c, i))"""
+        for n in range(3)
+    )
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cell AS (SELECT rid, i, v[i] AS x FROM kept, unnest(range(1, 65)) AS u(i)),
+first AS (SELECT rid, row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c FROM kept ORDER BY c LIMIT 16),
+centre0 AS (SELECT c, i, x FROM first JOIN cell USING (rid)),
+{rounds},
+last AS ({nearest.format(n=3)}),
+hashed AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM centre3 GROUP BY c)
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM last JOIN kept USING (rid) JOIN hashed ON hashed.c = best.c"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import oracle
+from millrace.llm.clusters import op12_clusters
 from millrace.llm.decontaminate import op1_decontaminate
 from millrace.llm.licenses import op3_licenses
 from millrace.llm.lines import op11_lines
@@ -35,6 +36,7 @@ def queries() -> dict[str, Query]:
         "op9_pages": op9_pages,
         "op10_sentencepiece": op10_sentencepiece,
         "op11_lines": op11_lines,
+        "op12_clusters": op12_clusters,
     }
 
 
@@ -46,4 +48,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_urls": oracle.op7(),
         "op8_topk": oracle.op8(),
         "op11_lines": oracle.op11(),
+        "op12_clusters": oracle.op12(),
     }
