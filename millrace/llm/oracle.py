@@ -186,3 +186,29 @@ hashed AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM ce
 SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance,
        CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
 FROM last JOIN kept USING (rid) JOIN hashed ON hashed.c = best.c"""
+
+
+def op13() -> str:
+    return rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+said AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+gram AS (
+  SELECT lang, m AS words, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM said, unnest([1, 2, 3]) AS a(m), unnest(range(1, len(w) - m + 2)) AS b(i)),
+f AS (SELECT lang, words, phrase, count(*) AS f FROM gram GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE f >= 10),
+split AS (
+  SELECT lang, phrase, words, f AS a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM often, unnest([1, 2]) AS u(k) WHERE k < words),
+headed AS (SELECT s.*, o.f AS l FROM split s JOIN often o ON o.lang = s.lang AND o.phrase = s.head),
+cut AS (
+  SELECT s.lang, s.phrase, s.words, s.a, s.k, s.l, o.f AS r, CAST((1000000::HUGEINT * s.a * s.a) // (s.l::HUGEINT * o.f) AS BIGINT) AS score
+  FROM headed s JOIN often o ON o.lang = s.lang AND o.phrase = s.tail),
+lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_part AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(f) AS longer FROM often, unnest([1, 2]) AS u(i) WHERE words = 3 GROUP BY ALL),
+kept AS (SELECT l.* FROM lowest l LEFT JOIN inner_part i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""

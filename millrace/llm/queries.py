@@ -12,6 +12,7 @@ from millrace.llm.decontaminate import op1_decontaminate
 from millrace.llm.licenses import op3_licenses
 from millrace.llm.lines import op11_lines
 from millrace.llm.pages import op9_pages
+from millrace.llm.phrases import op13_phrases
 from millrace.llm.pieces import op10_sentencepiece
 from millrace.llm.quality import op2_quality
 from millrace.llm.secrets import op4_secrets
@@ -37,6 +38,7 @@ def queries() -> dict[str, Query]:
         "op10_sentencepiece": op10_sentencepiece,
         "op11_lines": op11_lines,
         "op12_clusters": op12_clusters,
+        "op13_phrases": op13_phrases,
     }
 
 
@@ -49,4 +51,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_topk": oracle.op8(),
         "op11_lines": oracle.op11(),
         "op12_clusters": oracle.op12(),
+        "op13_phrases": oracle.op13(),
     }
