@@ -1,3 +1,3 @@
 """All operators; importing this registers their queries."""
 
-from millrace.operators import activity, forge, more, review, scoring, text  # noqa: F401
+from millrace.operators import activity, forge, more, review, scoring, text, trees  # noqa: F401

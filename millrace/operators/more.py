@@ -59,7 +59,7 @@ def relevant_repo(lake: Lake, owner: str = "asia") -> DataFrame:
     return r.where(F.startswith("repo", F.lit(owner + "/")) | F.col("marked")).select("repo")
 
 
-@query(rf"{DEPS} SELECT lib, regexp_matches(lib, '^(@[a-z0-9-~][a-z0-9-._~]*/)?[a-z0-9-~][a-z0-9-._~]*$') AS valid FROM deps")
+@query(rf"{DEPS} SELECT lib, regexp_matches(lib, '^(@[a-z0-9-~][a-z0-9-._~]*/)?[a-z0-9-~][a-z0-9-._~]*$') AS valid FROM deps", "landed")
 def pkg_name_valid(lake: Lake) -> DataFrame:
     return dependencies(lake).select("lib", F.col("lib").rlike(r"^(@[a-z0-9-~][a-z0-9-._~]*/)?[a-z0-9-~][a-z0-9-._~]*$").alias("valid"))
 
@@ -143,11 +143,6 @@ def llm_finding_merge(lake: Lake) -> DataFrame:
     return of(0).withColumn("source", F.lit("model")).unionByName(of(1).join(of(0), "head", "left_anti").withColumn("source", F.lit("static")))
 
 
-@query(f"{DEPS}, {cte('risky')} SELECT repo, lib, reason FROM deps JOIN risky USING (lib)")
-def advisory_join(lake: Lake) -> DataFrame:
-    return dependencies(lake).join(F.broadcast(table(lake.spark, "risky")), "lib").select("repo", "lib", "reason")
-
-
 # scores
 
 
@@ -244,7 +239,7 @@ def diff_review(lake: Lake) -> DataFrame:
     return text.select(F.explode(hits).alias("h")).select("h.*").where("n > 0")
 
 
-@query(f"{DEPS}, v AS (SELECT repo, lib, regexp_replace(version, '^[^0-9A-Za-z]+', '') AS version FROM deps) SELECT * FROM v WHERE regexp_matches(version, '^[0-9]')")
+@query(f"{DEPS}, v AS (SELECT repo, lib, regexp_replace(version, '^[^0-9A-Za-z]+', '') AS version FROM deps) SELECT * FROM v WHERE regexp_matches(version, '^[0-9]')", "landed")
 def clean_semver(lake: Lake) -> DataFrame:
     """Versions without their range prefix; what does not start with a digit is none."""
     v = F.regexp_replace("version", "^[^0-9A-Za-z]+", "")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from millrace.functions.numbers import half_up, r4
 from millrace.functions.rules import needed, pack
 from millrace.plans.registry import query
+from millrace.sources.advisories import REGISTRIES
 from millrace.sources.fixtures import cte, literal, table
 from millrace.sources.lake import Lake
 
@@ -254,38 +255,52 @@ def route_audit(lake: Lake) -> DataFrame:
     return sources(lake).where(F.col("path").like("%/api/%")).select("repo", "path", found.alias("methods"), c.rlike("(?i)auth|session").alias("auth"), c.rlike("(?i)schema|valid").alias("validated"))
 
 
-# The markup that a check looks for, what it must hold and what frees it.
-A11Y = [
-    ("img-alt", "(?i)<img[^>]*>", None, r"(?i)\balt="),
-    ("div-click", "(?i)<div[^>]*onClick[^>]*>", None, "role="),
-    ("icon-button", r"(?i)<button[^>]*>\s*<(?:svg|MaterialIcon|Icon|Lucide)[^/]*/>?\s*</button>", None, "aria-label"),
-    ("input-label", "(?i)<input[^>]*>", None, "(?i)aria-label|id="),
-    ("hidden-control", r'(?i)(?:button|input|a\s)[^>]*aria-hidden="true"', None, None),
-    ("tab-order", r"""(?i)tabIndex=\{?["']?\d+""", "[1-9]", None),
-    ("blank-target", """(?i)target=["']_blank["'][^>]*""", None, """(?i)rel=["'][^"']*noopener"""),
+#: Success criteria of the Web Content Accessibility Guidelines that markup alone can miss: (criterion, elements or none for any,
+#: what the attributes must hold, what they must not).
+CRITERIA = [
+    ("1.1.1 picture without words", "img area", None, r"(?i)\b(alt|aria-label|aria-labelledby)\s*=|role=.(none|presentation)"),
+    ("1.4.2 sound that starts alone", "audio video", r"(?i)\bautoplay\b", r"(?i)\bmuted\b"),
+    ("2.1.1 pointer needed", "div span li td p section", r"(?i)\bonclick\s*=", r"(?i)\b(onkeydown|onkeyup|onkeypress|role)\s*="),
+    ("2.2.2 moving text", "marquee blink", None, None),
+    ("2.4.3 order set by number", "", r"(?i)\btabindex=\W*[1-9]", None),
+    ("3.1.1 page without language", "html", None, r"(?i)\blang\s*="),
+    ("3.3.2 field without label", "input select textarea", None, r"(?i)\b(id|title|aria-label|aria-labelledby)\s*=|type=.(hidden|submit|reset|button)"),
+    ("4.1.2 frame without title", "iframe frame", None, r"(?i)\btitle\s*="),
+    ("4.1.2 hidden control", "a button input select textarea", r"(?i)\baria-hidden=\W*true", r"(?i)\btabindex=\W*-1"),
 ]
+#: An element's start: its name and attributes, in which an arrow function's sign does not end it.
+_START = "<([A-Za-z][A-Za-z0-9.]*)([^<>]*(?:=>[^<>]*)*)>"
+#: A button with nothing but markup inside; group 1 is its attributes.
+_BARE = r"(?i)<button\b([^<>]*(?:=>[^<>]*)*)>\s*(?:<[^<>]*>\s*)*</button>"
+_NAMED = r"(?i)\b(title|aria-label|aria-labelledby)\s*="
 _A11Y = ", ".join(
-    f"('{n}', len(list_filter(regexp_extract_all(content, {literal(tag)}), lambda x: " + " AND ".join(["TRUE"] + [f"regexp_matches(x, {literal(has)})"] * bool(has) + [f"NOT regexp_matches(x, {literal(unless)})"] * bool(unless)) + ")))"
-    for n, tag, has, unless in A11Y
+    f"('{name}', len(list_filter(e, lambda x: " + " AND ".join(["TRUE"] + [f"list_contains([{', '.join(f"'{n}'" for n in of.split())}], lower(x[1]))"] * bool(of) + [f"regexp_matches(x[2], {literal(has)})"] * bool(has) + [f"NOT regexp_matches(x[2], {literal(unless)})"] * bool(unless)) + ")))"
+    for name, of, has, unless in CRITERIA
 )
 
 
-@query(f"{_FILES}, i AS (SELECT repo, path, unnest([{_A11Y}, ('html-lang', CASE WHEN path LIKE '%layout%' AND contains(content, '<html') AND NOT contains(content, 'lang=') THEN 1 ELSE 0 END)]) AS i FROM src) SELECT repo, path, i[1] AS issue, CAST(i[2] AS INT) AS n FROM i WHERE i[2] > 0", "files")
+@query(f"""{_FILES}, e AS (SELECT repo, path, content, list_zip(regexp_extract_all(content, {literal(_START)}, 1), regexp_extract_all(content, {literal(_START)}, 2)) AS e FROM src WHERE contains(content, '<')),
+i AS (SELECT repo, path, unnest([{_A11Y}, ('4.1.2 button without words', len(list_filter(regexp_extract_all(content, {literal(_BARE)}, 1), lambda x: NOT regexp_matches(x, {literal(_NAMED)}))))]) AS i FROM e) SELECT repo, path, i[1] AS issue, CAST(i[2] AS INT) AS n FROM i WHERE i[2] > 0""", "files")
 def a11y_audit(lake: Lake) -> DataFrame:
-    """``(repo, path, issue, n)``: markup of a file that assistive software stumbles over."""
-    c = F.col("content")
+    """``(repo, path, issue, n)``: elements of a file that fail a success criterion. Each file's elements are read once."""
+    name, attributes = (F.regexp_extract_all("content", F.lit(_START), F.lit(i)) for i in (1, 2))
+    elements = F.zip_with(name, attributes, lambda x, y: F.struct(F.lower(x).alias("name"), y.alias("of")))
+
+    def row(issue: str, n: Column) -> Column:
+        return F.struct(F.lit(issue).alias("issue"), n.alias("n"))
 
-    def row(name: str, n: Column) -> Column:
-        return F.struct(F.lit(name).alias("issue"), n.alias("n"))
+    def failing(of: str, has: str | None, unless: str | None) -> Column:
+        def fails(x: Column) -> Column:
+            out = x["name"].isin(of.split()) if of else F.lit(True)
+            out = out & x["of"].rlike(has) if has else out
+            return out & ~x["of"].rlike(unless) if unless else out
 
-    def count(tag: str, has: str | None, unless: str | None) -> Column:
-        tags = F.regexp_extract_all(c, F.lit(tag), F.lit(0))
-        tags = F.filter(tags, lambda x: x.rlike(has)) if has else tags
-        return F.size(F.filter(tags, lambda x: ~x.rlike(unless)) if unless else tags)
+        return F.size(F.filter("e", fails))
 
-    rows = [row(name, count(*check)) for name, *check in A11Y]
-    rows.append(row("html-lang", F.when(F.col("path").contains("layout") & c.contains("<html") & ~c.contains("lang="), 1).otherwise(0)))
-    return sources(lake).where(c.contains("=") | c.contains("<")).select("repo", "path", F.explode(F.array(*rows)).alias("i")).select("repo", "path", "i.*").where("n > 0")
+    bare = F.size(F.filter(F.regexp_extract_all("content", F.lit(_BARE), F.lit(1)), lambda x: ~x.rlike(_NAMED)))
+    rows = [row(issue, failing(*of)) for issue, *of in CRITERIA] + [row("4.1.2 button without words", bare)]
+    files = sources(lake).where(F.contains("content", F.lit("<"))).select("repo", "path", "content", elements.alias("e"))
+    return files.select("repo", "path", F.explode(F.array(*rows)).alias("i")).select("repo", "path", "i.*").where("n > 0")
 
 
 @query(rf"""{_FILES}, used AS (SELECT repo, name, bool_or(client) AS client FROM (SELECT repo, contains(content, 'use client') AS client, unnest(regexp_extract_all(content, 'process\.env\.([A-Z_]+)', 1)) AS name FROM src) GROUP BY ALL),
@@ -335,17 +350,38 @@ _MANIFESTS = {
     "Gemfile": r"""(?m)^gem ['"]([a-z_-]+)['"](?:, ['"]([0-9.]+)['"])?""",
     "pom.xml": r"<artifactId>([^<]+)</artifactId>(?:<version>([^<]*)</version>)?",
 }
-DEPS = f"""WITH {cte('code')}, {cte('manifests')},
+MANIFESTS = f"{cte('manifests').replace('manifests(', 'inline_manifests(', 1)}, manifests AS (SELECT * FROM inline_manifests UNION ALL SELECT repo, file, content FROM landed)"
+DEPS = f"""WITH {cte('code')}, {MANIFESTS},
 npm AS (SELECT repo, content FROM manifests WHERE file = 'package.json' AND json_valid(content)),
 kept AS (SELECT repo, unnest(json_keys(content, '$.dependencies')) AS lib, content, 'dependencies' AS part FROM npm UNION ALL SELECT repo, unnest(json_keys(content, '$.devDependencies')), content, 'devDependencies' FROM npm),
 named AS (SELECT repo, lib, json_extract_string(content, '$.' || part || '."' || lib || '"') AS version FROM kept WHERE part = 'dependencies' OR NOT coalesce(list_contains(json_keys(content, '$.dependencies'), lib), FALSE)),
-read AS ({' UNION ALL '.join(f"SELECT repo, unnest(list_zip(regexp_extract_all(content, {literal(p)}, 1), regexp_extract_all(content, {literal(p)}, 2))) AS d FROM manifests WHERE file = '{f}'" for f, p in _MANIFESTS.items())}),
-deps AS (SELECT repo, lib, version FROM named UNION ALL SELECT repo, d[1], nullif(d[2], '') FROM read)"""
+read AS ({' UNION ALL '.join(f"SELECT repo, '{REGISTRIES[f]}' AS registry, unnest(list_zip(regexp_extract_all(content, {literal(p)}, 1), regexp_extract_all(content, {literal(p)}, 2))) AS d FROM manifests WHERE file = '{f}'" for f, p in _MANIFESTS.items())}),
+deps AS (SELECT repo, lib, version, 'npm' AS registry FROM named UNION ALL SELECT repo, d[1], nullif(d[2], ''), registry FROM read)"""
+
+
+def manifests(lake: Lake) -> DataFrame:
+    """``(repo, file, content)`` of the inline manifests and of those that the landed tables name."""
+    return table(lake.spark, "manifests").unionByName(lake.landed)
+
+
+def above(x: Column, version: Column) -> Column:
+    """Whether the dotted number in ``x`` is later than that in ``version``; not if there is no version."""
+    return F.coalesce(_parts(x) > _parts(version), F.lit(False))
+
+
+def _parts(x: Column) -> Column:
+    parts = F.split(F.regexp_extract(x, "[0-9][0-9.]*", 0), r"\.")
+    return F.when(x.isNotNull(), F.array(*[F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(0)) for i in range(4)]))
+
+
+def above_sql(x: str, version: str) -> str:
+    parts = lambda v: "[" + ", ".join(f"coalesce(try_cast(list_extract(string_split(regexp_extract({v}, '[0-9][0-9.]*'), '.'), {i}) AS INT), 0)" for i in range(1, 5)) + "]"
+    return f"({version} IS NOT NULL AND {parts(x)} > {parts(version)})"
 
 
 def dependencies(lake: Lake, cap: int = 40) -> DataFrame:
-    """``(repo, lib, version)`` of each manifest by its own grammar. Broken manifests give no rows."""
-    m, c = table(lake.spark, "manifests"), F.col("content")
+    """``(repo, lib, version, registry)`` of each manifest by its own grammar. Broken manifests give no rows."""
+    m, c = manifests(lake), F.col("content")
     parsed = F.from_json(c, "dependencies map<string,string>, devDependencies map<string,string>")
     both = F.map_concat(F.coalesce(parsed["dependencies"], F.create_map().cast("map<string,string>")), F.map_filter(F.coalesce(parsed["devDependencies"], F.create_map().cast("map<string,string>")), lambda k, v: ~F.coalesce(F.map_contains_key(parsed["dependencies"], k), F.lit(False))))
     pair = lambda name, version: F.struct(name.alias("lib"), version.alias("version"))
@@ -357,12 +393,13 @@ def dependencies(lake: Lake, cap: int = 40) -> DataFrame:
     found = F.when(F.col("file") == "package.json", F.transform(F.map_entries(both), lambda e: pair(e["key"], e["value"])))
     for file, pattern in _MANIFESTS.items():
         found = found.when(F.col("file") == file, by_regex(pattern))
-    return m.select("repo", F.explode(F.slice(found, 1, cap)).alias("d")).select("repo", "d.*")
+    registry = F.create_map(*[F.lit(x) for pair in REGISTRIES.items() for x in pair])[F.col("file")].alias("registry")
+    return m.select("repo", registry, F.explode(F.slice(found, 1, cap)).alias("d")).select("repo", "d.*", "registry")
 
 
-@query(f"{DEPS} SELECT repo, lib, version FROM deps")
+@query(f"{DEPS} SELECT repo, lib, version FROM deps", "landed")
 def manifest_parse(lake: Lake) -> DataFrame:
-    return dependencies(lake)
+    return dependencies(lake).drop("registry")
 
 
 def _case(column: str, names: dict[str, str]) -> str:
@@ -372,10 +409,10 @@ def _case(column: str, names: dict[str, str]) -> str:
 @query(f"""{DEPS}, src AS (SELECT repo, path FROM code UNION ALL SELECT repo, path FROM files), found AS (SELECT repo, path AS config, {_case('path', CONFIGS)} AS framework FROM src
 UNION ALL SELECT repo, file, {_case('file', CONFIGS)} FROM manifests UNION ALL SELECT repo, NULL, {_case('lib', RUNNERS)} FROM deps
 UNION ALL SELECT repo, NULL, unnest([{', '.join(f"CASE WHEN contains(content, '{k}') THEN '{v}' END" for k, v in REQUIRED.items())}]) FROM manifests WHERE file = 'requirements.txt')
-SELECT repo, array_to_string(list_sort(list(DISTINCT framework)), ',') AS frameworks, count(DISTINCT config) AS configs FROM found WHERE framework IS NOT NULL GROUP BY repo""", "files")
+SELECT repo, array_to_string(list_sort(list(DISTINCT framework)), ',') AS frameworks, count(DISTINCT config) AS configs FROM found WHERE framework IS NOT NULL GROUP BY repo""", "files", "landed")
 def framework_detect(lake: Lake) -> DataFrame:
     """Test frameworks of each repository that has any, from files at its root and from its manifests."""
-    m, none = table(lake.spark, "manifests"), F.lit(None).cast("string")
+    m, none = manifests(lake), F.lit(None).cast("string")
     files = sources(lake).select("repo", F.col("path").alias("config")).unionByName(m.select("repo", F.col("file").alias("config")))
     by_file = files.select("repo", "config", F.expr(_case("config", CONFIGS)).alias("framework"))
     by_lib = dependencies(lake).select("repo", none.alias("config"), F.expr(_case("lib", RUNNERS)).alias("framework"))
@@ -385,12 +422,6 @@ def framework_detect(lake: Lake) -> DataFrame:
     return found.groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set("framework")), ",").alias("frameworks"), F.count_distinct("config").alias("configs"))
 
 
-@query(f"{DEPS}, {cte('risky')} SELECT repo, lib FROM deps WHERE lib IN (SELECT lib FROM risky)")
-def risky_deps(lake: Lake) -> DataFrame:
-    """Dependencies in the table of risky packages, a fixed list."""
-    return dependencies(lake).join(F.broadcast(table(lake.spark, "risky")), "lib", "left_semi").select("repo", "lib")
-
-
 @query(f"""WITH {cte('osv')} SELECT id, CASE WHEN lower(severity) IN ('critical', 'high', 'medium', 'low') THEN lower(severity) WHEN lower(severity) = 'moderate' THEN 'medium' WHEN cvss IS NULL THEN 'medium'
 WHEN try_cast(cvss AS DOUBLE) >= 9 THEN 'critical' WHEN try_cast(cvss AS DOUBLE) >= 7 THEN 'high' WHEN try_cast(cvss AS DOUBLE) >= 4 THEN 'medium' ELSE 'low' END AS level FROM osv""")
 def osv_severity(lake: Lake) -> DataFrame:

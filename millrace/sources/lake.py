@@ -10,6 +10,9 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from millrace.sources.advisories import CATALOGUE
+from millrace.sources.fixtures import table
+
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), x))
@@ -96,6 +99,19 @@ class Lake:
         name = F.concat(F.lower("r_name"), F.lit("/"), F.lower("n_name"))
         return n.select(F.col("n_nationkey").alias("nation"), F.lower("r_name").alias("owner"), name.alias("repo"))
 
+    @cached_property
+    def landed(self) -> DataFrame:
+        """``(repo, file, content)``: manifests of the repositories. A line item names a package of the catalogue by its part,
+        the latest part gives the version; a repository is its supplier's nation and uses some two in five packages."""
+        nation = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
+        lines = self.table("lineitem").select("l_suppkey", "l_partkey").join(nation, "l_suppkey")
+        used = lines.groupBy("nation", (F.col("l_partkey") % len(CATALOGUE)).alias("k")).agg(F.max("l_partkey").alias("p"))
+        version = F.concat_ws(".", *[(F.col("p") % n).cast("string") for n in (9, 31, 13)])
+        named = used.where((F.col("k") * F.col("k") + 3 * F.col("nation")) % 5 < 2).join(F.broadcast(table(self.spark, "catalogue")), "k").join(F.broadcast(self.nations), "nation")
+        by = named.join(F.broadcast(table(self.spark, "forms")), "file").select("repo", "file", "head", "between", "foot", "lib", F.concat("front", "lib", "middle", version, "back").alias("part"))
+        whole = by.groupBy("repo", "file", "head", "between", "foot").agg(F.sort_array(F.collect_list(F.struct("lib", "part"))).alias("parts"))
+        return whole.select("repo", "file", F.expr("concat(head, array_join(parts.part, between), foot)").alias("content"))
+
     @cached_property
     def buyers(self) -> DataFrame:
         """Customers with their repository. Nations are a fixed, small table."""

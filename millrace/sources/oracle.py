@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from millrace.sources.advisories import CATALOGUE
+from millrace.sources.fixtures import cte
+
 _TABLES = {
     "ev": ("", "SELECT *, CAST(regexp_extract(props, '\"k\": *(-?[0-9]+)', 1) AS INT) AS k FROM events"),
     "scans": (
@@ -26,6 +29,13 @@ FROM (SELECT *, CAST(least(100, greatest(0, floor(value + 0.5))) AS INT) AS heal
   'repo' || (event_id % 20) AS repo, k % 5 AS commits_n, ts AS created_at FROM ev""",
     ),
     "nations": ("", "SELECT n_nationkey AS nation, lower(r_name) AS owner, lower(r_name) || '/' || lower(n_name) AS repo FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "landed": (
+        "nations",
+        f"""WITH {cte('catalogue')}, {cte('forms')},
+used AS (SELECT s_nationkey AS nation, l_partkey % {len(CATALOGUE)} AS k, max(l_partkey) AS p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+named AS (SELECT repo, file, lib, (p % 9) || '.' || (p % 31) || '.' || (p % 13) AS version FROM used JOIN catalogue USING (k) JOIN nations USING (nation) WHERE (k * k + 3 * nation) % 5 < 2)
+SELECT repo, file, any_value(head) || replace(array_to_string(list(front || lib || middle || version || back ORDER BY lib), chr(1)), chr(1), any_value(between)) || any_value(foot) AS content FROM named JOIN forms USING (file) GROUP BY repo, file""",
+    ),
     "ord": ("nations", "SELECT o.*, c_name, nation, owner, repo FROM orders o JOIN customer ON o_custkey = c_custkey JOIN nations ON c_nationkey = nation"),
     "pulls": (
         "ord",
