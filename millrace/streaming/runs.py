@@ -8,17 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections import deque
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.plans.registry import query
 from millrace.sources.lake import Lake
+from millrace.streaming import folds
 
 _FALLBACK: dict[str, str] = {}
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,82 +42,57 @@ def events(lake: Lake) -> DataFrame:
     )
 
 
-def finished(stream: DataFrame) -> DataFrame:
-    """Run a stream over all available input into files, and read those."""
+def finished(stream: DataFrame, base: str | None = None) -> DataFrame:
+    """Run a stream over all available input into files, and read those. State is in RocksDB, which holds more than an
+    executor's memory."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/millrace/stream-{uuid.uuid4().hex}"
-    out = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    out.format("parquet").option("path", f"{base}/out").start().awaitTermination()
+    base = base or f"{shared_dir(spark)}/millrace/stream-{uuid.uuid4().hex}"
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, folds.PROVIDER)
+    try:
+        out = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        out.format("parquet").option("path", f"{base}/out").start().awaitTermination()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+#: A key without a row for so long is forgotten by folds that have no window of their own.
+FORGET_S = 90 * 86400
+
+
 @query(None)
 def stream_usage_budget(lake: Lake, limit: int = 120, window_s: int = 3600) -> DataFrame:
     """Requests admitted or denied per user and feature against a sliding window, in which denied ones don't count."""
-
-    def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, units = state.get if state.exists else ([], [])
-        admitted, used = deque(zip(times, units)), sum(units)
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        allowed = []
-        for at, n in zip((rows["at"].astype("int64") // 1000).tolist(), rows["units"].tolist()):
-            while admitted and admitted[0][0] < at - window_s * 1_000_000:
-                used -= admitted.popleft()[1]
-            ok = used + n <= limit
-            allowed.append(ok)
-            if ok:
-                admitted.append((at, n))
-                used += n
-        # admitted units never exceed the limit, and each has one at least: the state is bounded
-        state.update(([a for a, _ in admitted], [n for _, n in admitted]))
-        yield pd.DataFrame({"id": rows["id"].to_numpy(), "user_id": key[0], "feature": key[1], "units": rows["units"].to_numpy(), "allowed": allowed})
-
-    stream = events(lake).withColumn("at", F.col("at").cast("timestamp"))
-    out = stream.groupBy("user_id", "feature").applyInPandasWithState(
-        admit, "id long, user_id long, feature string, units long, allowed boolean", "times array<long>, units array<long>", "append", GroupStateTimeout.NoTimeout
-    )
-    return finished(out)
+    schema = "id long, user_id long, feature string, units long, allowed boolean"
+    return finished(folds.folded(events(lake), ["user_id", "feature"], folds.Budget(limit, window_s), schema))
 
 
 @query(None)
 def stream_fixed_window_limit(lake: Lake, limit: int = 3, window_s: int = 86400) -> DataFrame:
     """A counter per user that starts with the first request and resets a window after it."""
-
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n = state.get if state.exists else (-(1 << 62), 0)
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        out = []
-        for at in (rows["at"].astype("int64") // 1000).tolist():
-            if at >= start + window_s * 1_000_000:
-                start, n = at, 0
-            n += 1
-            out.append(n <= limit)
-        state.update((start, n))
-        yield pd.DataFrame({"id": rows["id"].to_numpy(), "user_id": key[0], "allowed": out})
-
-    out = events(lake).groupBy("user_id").applyInPandasWithState(count, "id long, user_id long, allowed boolean", "start long, n int", "append", GroupStateTimeout.NoTimeout)
-    return finished(out)
+    return finished(folds.folded(events(lake), ["user_id"], folds.Window(limit, window_s), "id long, user_id long, allowed boolean"))
 
 
 @query(None)
 def stream_ip_backoff(lake: Lake, base_s: int = 60, most_s: int = 3600) -> DataFrame:
     """Errors as violations: the n-th blocks for base 2^(n-1) seconds, at most an hour; requests meanwhile are refused."""
+    schema = "id long, user_id long, refused boolean, violations long"
+    return finished(folds.folded(events(lake), ["user_id"], folds.Backoff(base_s, most_s, FORGET_S), schema))
+
 
-    def block(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until, n = state.get if state.exists else (-(1 << 62), 0)
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        out = []
-        for at, kind in zip((rows["at"].astype("int64") // 1000).tolist(), rows["feature"].tolist()):
-            refused = at < until
-            if not refused and kind == "error":
-                n += 1
-                until = at + min(base_s * 2 ** min(n - 1, 20), most_s) * 1_000_000
-            out.append((refused, n))
-        state.update((until, n))
-        yield pd.DataFrame({"id": rows["id"].to_numpy(), "user_id": key[0], "refused": [x[0] for x in out], "violations": [x[1] for x in out]})
+#: Requests a minute by what is asked for.
+PRESETS = {"signup": 5, "purchase": 10, "error": 30, "click": 60, "view": 120}
 
-    out = events(lake).groupBy("user_id").applyInPandasWithState(block, "id long, user_id long, refused boolean, violations int", "until long, n int", "append", GroupStateTimeout.NoTimeout)
-    return finished(out)
+
+@query(None)
+def stream_ip_presets(lake: Lake, per_minute: dict[str, int] | None = None, base_s: int = 60, most_s: int = 3600) -> DataFrame:
+    """Requests per user and preset: over the preset's limit in a minute is a violation, and the n-th blocks for
+    base 2^(n-1) seconds, at most an hour."""
+    limits = PRESETS if per_minute is None else per_minute
+    rows = events(lake).withColumnRenamed("feature", "preset")
+    schema = "id long, user_id long, preset string, allowed boolean, violations long"
+    return finished(folds.folded(rows, ["user_id", "preset"], folds.Preset(limits, base_s, most_s, FORGET_S), schema))
 
 
 @query(
@@ -153,17 +126,9 @@ SELECT id, repo, health, before - health AS fall FROM l WHERE before - health >=
 def stream_score_drop(lake: Lake, least: int = 10) -> DataFrame:
     """Scores that fall against the last one seen of their repository."""
 
-    def falls(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        health = rows["health"].to_numpy()
-        before = [state.get[0] if state.exists else int(health[0]), *health[:-1].tolist()]
-        state.update((int(health[-1]),))
-        out = pd.DataFrame({"id": rows["id"].to_numpy(), "repo": key[0], "health": health, "fall": before - health})
-        yield out[out["fall"] >= least]
-
     health = F.least(F.lit(100), F.greatest(F.lit(0), F.floor(F.col("value") + 0.5))).cast("int")
     scores = events(lake).select("id", F.concat(F.lit("repo"), F.col("id") % 20).alias("repo"), health.alias("health"), "at")
-    return finished(scores.groupBy("repo").applyInPandasWithState(falls, "id long, repo string, health int, fall int", "health int", "append", GroupStateTimeout.NoTimeout))
+    return finished(folds.folded(scores, ["repo"], folds.Fall(least, FORGET_S), "id long, repo string, health long, fall long"))
 
 
 @query("SELECT event_id AS id, user_id, CASE WHEN event_type = 'error' THEN 'critical' ELSE 'info' END AS severity FROM events")
