@@ -296,12 +296,6 @@ def cap_eviction(lake: Lake, cap: int = 3) -> DataFrame:
     return newest_first(lake.scans, "user_id", 1 << 30).where(F.col("nth") > cap).select("user_id", "id")
 
 
-@query(f"SELECT count(*) AS kept, (SELECT count(*) FROM scans) - count(*) AS gone FROM scans WHERE created_at >= {NOW} - INTERVAL 7 DAY", "scans")
-def retention_delete(lake: Lake, days: int = 7) -> DataFrame:
-    keep = last(lake, days)
-    return lake.scans.agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("gone"))
-
-
 @query("SELECT user_id, count(*) AS n FROM scans GROUP BY user_id HAVING count(*) >= 8", "scans")
 def count_guards(lake: Lake, limit: int = 8) -> DataFrame:
     return lake.scans.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= limit)

@@ -2,33 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators.scoring import share_rankings
 from millrace.operators.text import dependencies
 from millrace.plans.registry import query
 from millrace.sources.lake import Lake
+from millrace.sources.oracle import NOW
+from millrace.sources.stored import JobQueue, StoredTable
 from millrace.streaming.runs import shared_dir
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The newest row of each key of both tables, by ``order``."""
-    by = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return old.unionByName(new).withColumn("__nth", F.row_number().over(by)).where("__nth = 1").drop("__nth")
+def stored(lake: Lake, rows: DataFrame, keys: list[str], buckets: int = 16) -> StoredTable:
+    """An empty stored table for rows like these, in a folder of its own."""
+    return StoredTable(lake.spark, f"{shared_dir(lake.spark)}/millrace/table-{uuid.uuid4().hex}", keys, rows.schema, buckets)
 
 
 @query("SELECT user_id, repo, id, health FROM (SELECT *, row_number() OVER (PARTITION BY user_id, repo ORDER BY created_at DESC, id DESC) AS nth FROM scans) WHERE nth = 1", "scans")
 def keyed_upsert(lake: Lake) -> DataFrame:
-    """Odd scans onto even ones: one row per user and repository."""
+    """Odd scans merged onto even ones in a stored table: one row per user and repository."""
     s = lake.scans.select("user_id", "repo", "id", "health", "created_at")
-    return upserted(s.where("id % 2 = 0"), s.where("id % 2 = 1"), ["user_id", "repo"], ["created_at", "id"]).drop("created_at")
+    table = stored(lake, s, ["user_id", "repo"])
+    for half in (0, 1):
+        table.merge(s.where(F.col("id") % 2 == half), ["created_at", "id"])
+    return table.read().drop("created_at")
+
+
+@query(f"SELECT count(*) AS kept, (SELECT count(*) FROM scans) - count(*) AS gone FROM scans WHERE created_at >= {NOW} - INTERVAL 7 DAY", "scans")
+def retention_delete(lake: Lake, days: int = 7) -> DataFrame:
+    """Scans older than ``days`` deleted from a stored table: how many stay and how many went."""
+    s = lake.scans.select("id", "repo", "created_at")
+    table = stored(lake, s, ["id"])
+    table.merge(s, ["created_at"])
+    first = lake.now - F.expr(f"interval '{days}' day")
+    (oldest,) = s.select(first).first()
+    table.delete(F.col("created_at") < F.lit(oldest))
+    kept, before = table.read().agg(F.count("*").alias("kept")), table.read(1).agg(F.count("*").alias("n"))
+    return kept.crossJoin(before).select("kept", (F.col("n") - F.col("kept")).alias("gone"))  # a row each
+
+
+_JOBS = "SELECT id, row_number() OVER (ORDER BY created_at, id) AS nth FROM usage WHERE units > 50"
+
+
+@query(f"""WITH j AS ({_JOBS}) SELECT id, CASE WHEN nth <= 2 THEN 'running' WHEN nth = 3 THEN 'done' WHEN nth <= 5 THEN 'running' ELSE 'queued' END AS status,
+CAST(CASE WHEN nth <= 2 THEN 2 WHEN nth <= 5 THEN 1 ELSE 0 END AS INT) AS attempts, CASE WHEN nth <= 2 OR nth = 5 THEN 'c' WHEN nth <= 4 THEN 'b' END AS worker FROM j""", "usage")
+def job_queue(lake: Lake) -> DataFrame:
+    """Large requests as jobs in a stored queue: a takes two and stops, b takes two and ends one, and when a's are stale c
+    takes those and one more. The queue as it is then."""
+    queue = JobQueue(lake.spark, f"{shared_dir(lake.spark)}/millrace/jobs-{uuid.uuid4().hex}")
+    queue.add(lake.usage.where("units > 50").select("id", "created_at"))
+    queue.claim("a", "2030-01-01 00:00:00", 2)
+    took = queue.claim("b", "2030-01-01 00:05:00", 2)
+    queue.finish("b", took[:1])
+    queue.claim("c", "2030-01-01 00:11:00", 3)
+    return queue.table.read().select("id", "status", "attempts", "worker")
 
 
 @query("SELECT id, user_id, feature, units FROM usage", "usage")
 def append_fact(lake: Lake) -> DataFrame:
     """Two appends to a fact table, read back."""
-    import uuid
-
     path = f"{shared_dir(lake.spark)}/millrace/fact-{uuid.uuid4().hex}"
     u = lake.usage.select("id", "user_id", "feature", "units")
     for half in (0, 1):

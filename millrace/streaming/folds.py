@@ -8,15 +8,19 @@ more difference, so idle keys leave nothing behind.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SECOND = 1_000_000
+# processors travel as a whole: the process that starts them beside the driver need not find this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class Fold(StatefulProcessor):
