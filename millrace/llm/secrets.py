@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.storage import materialise
+from millrace.llm.storage import free, materialise
 
 SCOPE = 300
 
@@ -152,21 +152,22 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Overlapping spans are replaced together. Spans go back to their rows by id and text, so repeated ids with other
     texts keep theirs, and repeated rows are treated alike; identifiers and endpoints stay, as do null and empty texts.
-    An empty table stays empty; further columns pass through, whatever their names but those that begin with two
-    underscores.
+    An empty table stays empty; further columns pass through, whatever their names.
     """
-    marked = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
-    hidden = spans(marked.select("doc_id", "text", "__text"), "__text")
+    of, key, own, cuts_in, tail = (free(n, docs.columns) for n in ("__text", "__id", "__of", "__cuts", "__tail"))
+    name = F.xxhash64(F.col("text").cast("string"))
+    marked = docs.withColumn(of, name)
+    hidden = spans(docs.select("doc_id", "text", name.alias("__text")), "__text")
     hidden = hidden.where(F.col("kind").isin("assign", "access", "hex", "weak"))
     before = F.expr("coalesce(max(`end`) over (partition by doc_id, __text order by start, `end` rows between unbounded preceding and 1 preceding), 0)")
-    cuts = hidden.select(F.col("doc_id").alias("__id"), F.col("__text").alias("__of"), before.alias("from"), "start", "end").where("`end` > `from`")
+    cuts = hidden.select(F.col("doc_id").alias(key), F.col("__text").alias(own), before.alias("from"), "start", "end").where("`end` > `from`")
     piece = F.when(F.col("start") >= F.col("from"), F.struct(F.col("from").cast("int").alias("from"), F.col("start").cast("int").alias("to")))
-    wide = cuts.groupBy("__id", "__of").agg(F.sort_array(F.collect_list(piece)).alias("__cuts"), F.max("end").cast("int").alias("__tail"))
-    joined = marked.join(wide, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__of")), "left")
+    wide = cuts.groupBy(key, own).agg(F.sort_array(F.collect_list(piece)).alias(cuts_in), F.max("end").cast("int").alias(tail))
+    joined = marked.join(wide, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(of) == F.col(own)), "left")
     text = F.col("text").cast("string")
 
     def part(nth: Column) -> Column:
-        those = F.slice("__cuts", nth * _TOGETHER + 1, _TOGETHER)
+        those = F.slice(cuts_in, nth * _TOGETHER + 1, _TOGETHER)
         first = F.element_at(those, 1)["from"]
         return F.struct(those.alias("cuts"), first.alias("first"), F.substr(text, first + 1, F.element_at(those, -1)["to"] - first).alias("text"))
 
@@ -174,9 +175,9 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         pieces = F.transform(whole["cuts"], lambda c: F.concat(F.substr(whole["text"], c["from"] - whole["first"] + 1, c["to"] - c["from"]), F.lit(mark)))
         return F.array_join(pieces, "")
 
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("__cuts") - 1) / _TOGETHER).cast("int")), part)
-    clean = F.concat(F.array_join(F.transform(parts, cut), ""), F.substr(text, F.col("__tail") + 1))
-    done = joined.withColumn("text", F.when(F.col("__cuts").isNull(), text).otherwise(clean))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(cuts_in) - 1) / _TOGETHER).cast("int")), part)
+    clean = F.concat(F.array_join(F.transform(parts, cut), ""), F.substr(text, F.col(tail) + 1))
+    done = joined.withColumn("text", F.when(F.col(cuts_in).isNull(), text).otherwise(clean))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.storage import discard, materialise
+from millrace.llm.storage import discard, free, materialise
 
 SEED = 42
 _PART = 1 << 16
@@ -329,34 +329,44 @@ def described(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, __text long, set long, fp long, n int, bits array<long>, prefix array<long>")
 
 
-def _meeting(of: dict[str, np.ndarray], every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of one posting that can reach 4/5: after their first common shingle no more can follow than either
-    has left. Of a long posting, unless ``every`` is set, only those with the members that have least before it."""
+#: Pairs that a task holds before it hands them on.
+MOST_PAIRS = 1 << 20
+
+
+def _meeting(of: dict[str, np.ndarray], every: bool) -> Iterator[np.ndarray]:
+    """The pairs of one posting that can reach 4/5, a member at a time: after their first common shingle no more can
+    follow than either has left. Of a long posting, unless ``every`` is set, only those with the members that have least
+    before it."""
     n, left, group = of["n"], of["n"] - of["pos"], of["group"]
     order = np.argsort(of["pos"], kind="stable")
-    found = []
     for k, i in enumerate(order if every or len(order) <= SHORT else order[:REPRESENTATIVES]):
         j = order[k + 1 :]
         j = j[(9 * np.minimum(left[i], left[j]) >= 4 * (n[i] + n[j])) & (group[i] != group[j])]
-        found.append(np.stack([np.full(len(j), i), j]))
-    i, j = np.concatenate(found, axis=1)
-    return i, j
+        yield np.stack([np.full(len(j), i), j])
 
 
 def _candidates(postings: DataFrame, every: bool, chunk: int) -> DataFrame:
     """Distinct pairs ``(a, b)`` of ``postings(key, set, n, pos, count, group)`` whose groups differ, by ``_meeting``."""
     names = ["key", "block", "set", "n", "pos", "group"]
+    most = MOST_PAIRS
 
-    def pairs(of: dict[str, np.ndarray]) -> pa.RecordBatch:
+    def told(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.concatenate([np.empty((2, 0), np.int64), *found], axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    def pairs(of: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         moved = (of["key"][1:] != of["key"][:-1]) | (of["block"][1:] != of["block"][:-1])
         edges = [0, *(np.flatnonzero(moved) + 1).tolist(), len(of["key"])]
-        out = [np.empty((2, 0), np.int64)]
+        found, size = [], 0
         for a, b in zip(edges, edges[1:]):
-            i, j = _meeting({k: v[a:b] for k, v in of.items()}, every)
-            x, y = of["set"][a + i], of["set"][a + j]
-            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-        both = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            for met in _meeting({k: v[a:b] for k, v in of.items()}, every):
+                x, y = of["set"][a + met]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+                size += len(x)
+                if size >= most:
+                    yield told(found)
+                    found, size = [], 0
+        yield told(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -370,9 +380,9 @@ def _candidates(postings: DataFrame, every: bool, chunk: int) -> DataFrame:
             cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
             held = {k: v[cut:] for k, v in of.items()}
             if cut:
-                yield pairs({k: v[:cut] for k, v in of.items()})
+                yield from pairs({k: v[:cut] for k, v in of.items()})
         if held is not None:
-            yield pairs(held)
+            yield from pairs(held)
 
     chunks = F.ceil(F.col("count") / chunk).cast("int")
     dealt = postings.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("set"), "chunks"))
@@ -463,9 +473,10 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     Near copies share 0.8 or more of their distinct five-word shingles. Every such pair counts and no other. Texts
     without words, null and empty ones too, are copies of each other; long texts are compared whole. A row without an id
     stays unless a row with an id is its copy. An empty table gives an empty one; further columns pass through, whatever
-    their names but ``__text``.
+    their names.
     """
-    marked = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    name = F.xxhash64(F.col("text").cast("string"))
+    marked = docs.select("doc_id", "text", name.alias("__text"))
     known = materialise(described(marked), "sets")
     first = {c: F.first(c).alias(c) for c in ("fp", "n", "bits", "prefix")}
     classes = known.where("doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "__text")).alias("least"), *first.values())
@@ -477,9 +488,10 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     named = nodes.join(found, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
     # written first: a set that a third of the rows have is then a skewed join that adaptive execution splits
     found = known.join(materialise(named, "named"), "set", "left")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("__text").alias("__of")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__of"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    of, key, own = (free(n, docs.columns) for n in ("__text", "__id", "__of"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key), F.col("__text").alias(own)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(of) == F.col(own))
+    return docs.withColumn(of, name).join(kept, same, "left_semi").dropDuplicates(["doc_id", of]).select(*docs.columns)
 
 
 def fingerprint_hex(fp: str) -> Column:

@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with underscores until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
 
