@@ -1,7 +1,7 @@
 """From raw documents to token ids: quality, near duplicates, benchmark leaks, secrets, encoding.
 
 Every stage reads whole texts of any length, takes a null text as an empty one, passes further columns through whatever
-their names (but names that begin with two underscores), and gives an empty table for an empty one; the last stage
+their names, and gives an empty table for an empty one; the last stage
 returns ``doc_id, n_tokens, ids`` alone.
 """
 
