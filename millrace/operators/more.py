@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions.numbers import half_up, r4, ratio, scaled
-from millrace.functions.rules import pack
 from millrace.operators import activity, forge, scoring
 from millrace.operators.text import DEPS, dependencies
 from millrace.plans.registry import ORACLES, QUERIES, query
-from millrace.sources.fixtures import cte, literal, table
 from millrace.sources.lake import Lake
 from millrace.sources.oracle import COMMIT_NOW, NOW
 
@@ -206,37 +204,37 @@ def format_relative(lake: Lake) -> DataFrame:
     return e.select("id", ago.alias("ago"), size.alias("size"))
 
 
-_TEXTS = [(1, 'answer: {"a": 1, "b": {"c": 2}} done'), (2, "no json"), (3, '{"a": "x"'), (4, "```json\n{\"a\": 7}\n```")]
-_PATCHES = [(1, "--- a/x\n+++ b/x\n@@ -1 +1,2 @@\n-old\n+new\n+more\n ctx"), (2, ""), (3, "+++ b/y\n+only")]
-_VALUES = lambda rows: ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+# an answer with a whole object in prose, one in a fence, one that breaks off, and one without
+_SAID = """CASE event_id % 4 WHEN 0 THEN concat('It is {"k": ', k, ', "note": "a } in \\\\"quotes\\\\"", "in": {"x": 1}} as asked }') WHEN 1 THEN concat('```json\n{"k": ', k, '}\n```')
+WHEN 2 THEN concat('{"k": ', k, ', "in": {') ELSE concat('nothing for ', k) END"""
 
 
-@query("SELECT * FROM (VALUES (1, '1'), (2, NULL), (3, NULL), (4, '7')) t(id, a)")
-def balanced_json(lake: Lake) -> DataFrame:
-    """The first object in a text, read if it is whole."""
-    t = lake.spark.createDataFrame(_TEXTS, "id int, text string")
-    found = F.regexp_extract("text", r"\{[\s\S]*\}", 0)
-    return t.select("id", F.get_json_object(found, "$.a").alias("a"))
-
+def balanced(text: Column) -> Column:
+    """The first object in a text whose brackets close, brackets in strings not counted; null if none does. Only brackets,
+    quotes and backslashes are walked, not every sign."""
+    start = F.locate("{", text)
+    rest = F.substr(text, start)
+    # each step is the text up to and with the next sign that matters
+    steps = F.regexp_extract_all(rest, F.lit(r'(?s)[^{}"\\]*(?:\\.|[{}"])'), F.lit(0))
+    first = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
-@query(f"WITH p(id, patch) AS (VALUES {_VALUES(_PATCHES)}) SELECT id, CAST(len(list_filter(string_split(patch, chr(10)), lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++'))) AS INT) AS added FROM p")
-def added_lines(lake: Lake) -> DataFrame:
-    p = lake.spark.createDataFrame(_PATCHES, "id int, patch string")
-    lines = F.filter(F.split("patch", "\n"), lambda x: F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++")))
-    return p.select("id", F.size(lines).alias("added"))
+    def step(a: Column, x: Column) -> Column:
+        sign, at = F.right(x, F.lit(1)), a["at"] + F.length(x)
+        escaped = F.substr(x, F.length(x) - 1, F.lit(1)) == "\\"
+        quote = (sign == '"') & ~escaped
+        depth = a["depth"] + F.when(a["quoted"] | escaped, 0).when(sign == "{", 1).when(sign == "}", -1).otherwise(0)
+        closed = (a["end"] == 0) & (depth == 0) & (a["depth"] == 1)
+        return F.struct(depth.alias("depth"), (a["quoted"] != quote).alias("quoted"), at.alias("at"), F.when(closed, at).otherwise(a["end"]).alias("end"))
 
+    end = F.aggregate(steps, first, step, lambda a: a["end"])
+    return F.when((start > 0) & (end > 0), F.substr(rest, F.lit(1), end))
 
-_SEC = [(r[1], r[4]) for r in pack() if r[0] == "security"]
 
-
-@query("SELECT * FROM (VALUES ('eval-usage', 1), ('insecure-random', 1)) t(rule, n)")
-def diff_review(lake: Lake) -> DataFrame:
-    """Security rules over the added lines of a patch alone."""
-    patch = lake.spark.createDataFrame([("- Math.random()\n+const x = eval(y)\n+ Math.random()\n context eval(z)",)], "patch string")
-    added = F.array_join(F.filter(F.split("patch", "\n"), lambda x: F.startswith(x, F.lit("+"))), "\n")
-    text = patch.select(added.alias("t"))
-    hits = F.array(*[F.struct(F.lit(rule).alias("rule"), F.regexp_count("t", F.lit(p)).alias("n")) for rule, p in _SEC])
-    return text.select(F.explode(hits).alias("h")).select("h.*").where("n > 0")
+@query("SELECT event_id AS id, CASE WHEN event_id % 4 < 2 THEN k END AS k FROM ev", "ev")
+def balanced_json(lake: Lake) -> DataFrame:
+    """The first whole object in an answer, and what it says of k."""
+    said = lake.events.select("event_id", F.expr(_SAID).alias("text"))
+    return said.select(F.col("event_id").alias("id"), F.get_json_object(balanced(F.col("text")), "$.k").cast("int").alias("k"))
 
 
 @query(f"{DEPS}, v AS (SELECT repo, lib, regexp_replace(version, '^[^0-9A-Za-z]+', '') AS version FROM deps) SELECT * FROM v WHERE regexp_matches(version, '^[0-9]')", "landed")

@@ -422,19 +422,35 @@ def framework_detect(lake: Lake) -> DataFrame:
     return found.groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set("framework")), ",").alias("frameworks"), F.count_distinct("config").alias("configs"))
 
 
-@query(f"""WITH {cte('osv')} SELECT id, CASE WHEN lower(severity) IN ('critical', 'high', 'medium', 'low') THEN lower(severity) WHEN lower(severity) = 'moderate' THEN 'medium' WHEN cvss IS NULL THEN 'medium'
-WHEN try_cast(cvss AS DOUBLE) >= 9 THEN 'critical' WHEN try_cast(cvss AS DOUBLE) >= 7 THEN 'high' WHEN try_cast(cvss AS DOUBLE) >= 4 THEN 'medium' ELSE 'low' END AS level FROM osv""")
+#: Vulnerabilities of parts: a stated level, a score, a vector, or nothing.
+_VULNERABLE = """v AS (SELECT CAST(id AS VARCHAR) AS id, severity, cvss FROM osv_inline UNION ALL
+SELECT 'P' || p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'moderate' WHEN 2 THEN 'Critical' WHEN 3 THEN 'unheard' END,
+  CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'CVSS:3.1/AV:N' ELSE (p_size % 10) || '.' || (p_partkey % 10) END FROM part)"""
+_OSV = f"WITH {cte('osv').replace('osv(', 'osv_inline(', 1)}, {_VULNERABLE}"
+
+
+def vulnerabilities(lake: Lake) -> DataFrame:
+    """``(id, severity, cvss)`` of the inline vulnerabilities and of every part."""
+    key, none = F.col("p_partkey"), F.lit(None).cast("string")
+    level = F.when(key % 6 == 0, "HIGH").when(key % 6 == 1, "moderate").when(key % 6 == 2, "Critical").when(key % 6 == 3, "unheard")
+    score = F.when(key % 5 == 0, none).when(key % 5 == 1, "CVSS:3.1/AV:N").otherwise(F.concat(F.col("p_size") % 10, F.lit("."), key % 10))
+    parts = lake.table("part").select(F.concat(F.lit("P"), key).alias("id"), level.alias("severity"), score.alias("cvss"))
+    return table(lake.spark, "osv").unionByName(parts)
+
+
+@query(f"""{_OSV} SELECT id, CASE WHEN lower(severity) IN ('critical', 'high', 'medium', 'low') THEN lower(severity) WHEN lower(severity) = 'moderate' THEN 'medium' WHEN cvss IS NULL THEN 'medium'
+WHEN try_cast(cvss AS DOUBLE) >= 9 THEN 'critical' WHEN try_cast(cvss AS DOUBLE) >= 7 THEN 'high' WHEN try_cast(cvss AS DOUBLE) >= 4 THEN 'medium' ELSE 'low' END AS level FROM v""")
 def osv_severity(lake: Lake) -> DataFrame:
     """The stated level, else the score's band; a vector string is no number and counts as low."""
     s, x = F.lower("severity"), F.col("cvss").try_cast("double")
     level = F.when(s.isin("critical", "high", "medium", "low"), s).when(s == "moderate", "medium").when(F.col("cvss").isNull(), "medium").when(x >= 9, "critical").when(x >= 7, "high").when(x >= 4, "medium").otherwise("low")
-    return table(lake.spark, "osv").select("id", level.alias("level"))
+    return vulnerabilities(lake).select("id", level.alias("level"))
 
 
-@query(f"WITH {cte('osv')}, x AS (SELECT try_cast(cvss AS DOUBLE) AS x FROM osv) SELECT count(*) FILTER (x >= 9) AS critical, count(*) FILTER (x >= 7 AND x < 9) AS high, count(*) FILTER (x >= 4 AND x < 7) AS medium, count(*) FILTER (x < 4) AS low FROM x")
+@query(f"{_OSV}, x AS (SELECT try_cast(cvss AS DOUBLE) AS x FROM v) SELECT count(*) FILTER (x >= 9) AS critical, count(*) FILTER (x >= 7 AND x < 9) AS high, count(*) FILTER (x >= 4 AND x < 7) AS medium, count(*) FILTER (x < 4) AS low FROM x")
 def dep_risk_counts(lake: Lake) -> DataFrame:
     x = F.col("cvss").try_cast("double")
-    return table(lake.spark, "osv").agg(F.count_if(x >= 9).alias("critical"), F.count_if((x >= 7) & (x < 9)).alias("high"), F.count_if((x >= 4) & (x < 7)).alias("medium"), F.count_if(x < 4).alias("low"))
+    return vulnerabilities(lake).agg(F.count_if(x >= 9).alias("critical"), F.count_if((x >= 7) & (x < 9)).alias("high"), F.count_if((x >= 4) & (x < 7)).alias("medium"), F.count_if(x < 4).alias("low"))
 
 
 # strings and versions
@@ -460,18 +476,33 @@ def fuzzy_match(lake: Lake) -> DataFrame:
     return n.select("q", "t", r4(fuzzy_score(F.lower("q"), F.lower("t"))).alias("score"))
 
 
-@query(f"""WITH {cte('numbers')} SELECT x, CASE WHEN x >= 1000000 THEN printf('%.1fM', floor(x / 100000.0 + .5) / 10) WHEN x >= 1000 THEN printf('%.1fk', floor(x / 100.0 + .5) / 10) ELSE CAST(x AS VARCHAR) END AS text FROM numbers""")
+@query(f"""WITH {cte('numbers').replace('numbers(', 'inline(', 1)}, numbers AS (SELECT CAST(x AS BIGINT) AS x FROM inline UNION ALL SELECT CAST(floor(o_totalprice) AS BIGINT) * (1 + o_orderkey % 9) FROM orders)
+SELECT x, CASE WHEN x >= 1000000 THEN printf('%.1fM', floor(x / 100000.0 + .5) / 10) WHEN x >= 1000 THEN printf('%.1fk', floor(x / 100.0 + .5) / 10) ELSE CAST(x AS VARCHAR) END AS text FROM numbers""")
 def format_number(lake: Lake) -> DataFrame:
+    """Sums of orders, and odd numbers, in short."""
     x = F.col("x")
     short = lambda by, unit: F.format_string("%.1f" + unit, half_up(x / by, 1))
-    return table(lake.spark, "numbers").select("x", F.when(x >= 1_000_000, short(1e6, "M")).when(x >= 1000, short(1e3, "k")).otherwise(x.cast("string")).alias("text"))
+    sums = lake.table("orders").select((F.floor("o_totalprice").cast("long") * (1 + F.col("o_orderkey") % 9)).alias("x"))
+    every = table(lake.spark, "numbers").select(x.cast("long").alias("x")).unionByName(sums)
+    return every.select("x", F.when(x >= 1_000_000, short(1e6, "M")).when(x >= 1000, short(1e3, "k")).otherwise(x.cast("string")).alias("text"))
+
+
+# versions of packages against the first one without a flaw, and odd ones
+_PAIRS = f"""{DEPS}, {cte('advisories')}, {cte('versions').replace('versions(', 'inline_versions(', 1)},
+versions AS (SELECT a, b FROM inline_versions UNION ALL SELECT version, fixed FROM deps JOIN advisories USING (lib, registry) WHERE version IS NOT NULL)"""
+
+
+def version_pairs(lake: Lake) -> DataFrame:
+    """``(a, b)``: the version of each dependency that an advisory names, and the first without the flaw."""
+    met = dependencies(lake).join(F.broadcast(table(lake.spark, "advisories")), ["lib", "registry"]).where("version is not null")
+    return table(lake.spark, "versions").unionByName(met.select(F.col("version").alias("a"), F.col("fixed").alias("b")))
 
 
 _PART = "coalesce(try_cast(list_extract(string_split(regexp_replace({v}, '^[^0-9]*', ''), '.'), {i}) AS INT), 0)"
 _KEY = lambda v: "[" + ", ".join(_PART.format(v=v, i=i) for i in (1, 2, 3)) + "]"
 
 
-@query(f"WITH {cte('versions')} SELECT a, b, CASE WHEN {_KEY('a')} > {_KEY('b')} THEN 1 WHEN {_KEY('a')} < {_KEY('b')} THEN -1 ELSE 0 END AS sign FROM versions")
+@query(f"{_PAIRS} SELECT a, b, CASE WHEN {_KEY('a')} > {_KEY('b')} THEN 1 WHEN {_KEY('a')} < {_KEY('b')} THEN -1 ELSE 0 END AS sign FROM versions", "landed")
 def compare_versions(lake: Lake) -> DataFrame:
     """Dotted versions by number, part by part; missing parts are 0."""
 
@@ -479,7 +510,7 @@ def compare_versions(lake: Lake) -> DataFrame:
         parts = F.split(F.regexp_replace(v, "^[^0-9]*", ""), r"\.")
         return F.array(*[F.coalesce(F.try_element_at(parts, F.lit(i)).try_cast("int"), F.lit(0)) for i in (1, 2, 3)])
 
-    return table(lake.spark, "versions").select("a", "b", F.when(key("a") > key("b"), 1).when(key("a") < key("b"), -1).otherwise(0).alias("sign"))
+    return version_pairs(lake).select("a", "b", F.when(key("a") > key("b"), 1).when(key("a") < key("b"), -1).otherwise(0).alias("sign"))
 
 
 @query("SELECT conv_id, CAST(sum(ceil(length(text) / 4)) AS BIGINT) AS tokens, count(*) AS messages FROM conversations GROUP BY conv_id")
