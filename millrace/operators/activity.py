@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from millrace.functions.ordered import with_before
 from millrace.functions.numbers import half_up, hours, r4, ratio
 from millrace.plans.registry import query
 from millrace.sources.lake import Lake
@@ -180,8 +181,8 @@ def health_trend(lake: Lake) -> DataFrame:
 
 @query("SELECT repo, id, health, critical, health - lag(health) OVER (PARTITION BY repo ORDER BY created_at, id) AS step FROM scans", "scans")
 def health_series(lake: Lake) -> DataFrame:
-    by = Window.partitionBy("repo").orderBy("created_at", "id")
-    return lake.scans.select("repo", "id", "health", "critical", (F.col("health") - F.lag("health").over(by)).alias("step"))
+    scans = with_before(lake.scans, "repo", ["created_at", "id"], ["health"])
+    return scans.select("repo", "id", "health", "critical", (F.col("health") - F.col("before_health")).alias("step"))
 
 
 @query("SELECT id, health, CASE WHEN health >= 80 THEN 'excellent' WHEN health >= 65 THEN 'good' WHEN health >= 50 THEN 'fair' WHEN health >= 35 THEN 'poor' ELSE 'critical' END AS label FROM scans", "scans")
@@ -193,9 +194,8 @@ def score_label(lake: Lake) -> DataFrame:
 @query("""SELECT repo, id, health, before - health AS fall FROM (SELECT *, lag(health) OVER (PARTITION BY repo ORDER BY created_at, id) AS before FROM scans) WHERE before - health >= 10""", "scans")
 def score_drop_alert(lake: Lake, least: int = 10) -> DataFrame:
     """Scans that fell by ``least`` points or more against the one before."""
-    by = Window.partitionBy("repo").orderBy("created_at", "id")
-    fall = F.lag("health").over(by) - F.col("health")
-    return lake.scans.select("repo", "id", "health", fall.alias("fall")).where(F.col("fall") >= least)
+    scans = with_before(lake.scans, "repo", ["created_at", "id"], ["health"])
+    return scans.select("repo", "id", "health", (F.col("before_health") - F.col("health")).alias("fall")).where(F.col("fall") >= least)
 
 
 # A small rule table, as users keep them.
@@ -210,8 +210,7 @@ v AS (SELECT id, repo, rule, op, threshold, before, health, CASE metric WHEN 'he
 SELECT id, repo, rule, x FROM v WHERE CASE op WHEN 'lt' THEN x < threshold WHEN 'gt' THEN x > threshold ELSE before - health >= threshold END""", "scans")
 def webhook_rules_match(lake: Lake) -> DataFrame:
     """Scans against every enabled rule for their repository or for all. The rules are few by the per-user limit."""
-    by = Window.partitionBy("repo").orderBy("created_at", "id")
-    s = lake.scans.withColumn("before", F.lag("health").over(by))
+    s = with_before(lake.scans, "repo", ["created_at", "id"], ["health"]).withColumnRenamed("before_health", "before")
     rules = lake.spark.createDataFrame(RULES, "rule int, metric string, op string, threshold double, only string")
     met = s.join(F.broadcast(rules), F.col("only").isNull() | (F.col("only") == F.col("repo")))
     x = F.when(F.col("metric") == "health", F.col("health")).when(F.col("metric") == "critical", F.col("critical")).when(F.col("metric") == "security", F.col("security")).otherwise(F.col("quality"))
@@ -241,10 +240,9 @@ p AS (SELECT *, lead(conclusion) OVER w AS after, lead(updated_at) OVER w AS hea
 def mttr_pairs(lake: Lake) -> DataFrame:
     """Failures on the default branch that the next run heals, and the mean time it takes."""
     base = lake.runs.where("branch = 'main' and event = 'push' and conclusion is not null")
-    by = Window.partitionBy("repo").orderBy("started_at", "id")
-    pairs = base.withColumn("after", F.lead("conclusion").over(by)).withColumn("healed_at", F.lead("updated_at").over(by))
-    healed = pairs.where("conclusion = 'failure' and after = 'success'")
-    return healed.groupBy("repo").agg(F.count("*").alias("pairs"), r4(F.avg(hours(F.col("updated_at"), F.col("healed_at")))).alias("mttr_h"))
+    after = with_before(base, "repo", ["started_at", "id"], ["conclusion", "updated_at"])
+    healed = after.where("before_conclusion = 'failure' and conclusion = 'success'")
+    return healed.groupBy("repo").agg(F.count("*").alias("pairs"), r4(F.avg(hours(F.col("before_updated_at"), F.col("updated_at")))).alias("mttr_h"))
 
 
 @query("SELECT id, user_id, type, repo FROM user_events WHERE type IN ('Push', 'PullRequest', 'Issues', 'Create', 'Watch')", "user_events")

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from millrace.functions.numbers import half_up, r4
 from millrace.functions.rules import pack
-from millrace.operators.review import _FILES as _PULL_FILES, pr_files, registered, registered_sql
+from millrace.operators.review import _BROKEN, _FILES as _PULL_FILES, breaking_changes, pr_files, registered, registered_sql, seen
 from millrace.operators.text import _FILES, _worth, sources
 from millrace.plans.registry import query
 from millrace.sources.fixtures import cte, literal, table
@@ -42,8 +43,8 @@ def _level(severity: str, confidence: float) -> str:
 _RULES = [(family, rule, _level(severity, confidence), pattern) for family, rule, severity, confidence, pattern in pack()]
 _DIFF = f"""{_PULL_FILES}, rules(family, rule, severity, pattern) AS (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in _RULES)}),
 patch_rows AS (SELECT patch, unnest(string_split(patch, chr(10))) AS said, generate_subscripts(string_split(patch, chr(10)), 1) AS nth FROM (SELECT DISTINCT patch FROM pr_files)),
-told AS (SELECT *, try_cast(nullif(regexp_extract(said, '^@@ -[0-9]+(?:,[0-9]+)? \\+([0-9]+)', 1), '') AS INT) AS start FROM patch_rows),
-hunks AS (SELECT *, count(start) OVER (PARTITION BY patch ORDER BY nth) AS hunk, start IS NULL AND NOT regexp_matches(said, '^(-|\\\\|\\+\\+\\+ )') AS stays FROM told),
+starts AS (SELECT *, try_cast(nullif(regexp_extract(said, '^@@ -[0-9]+(?:,[0-9]+)? \\+([0-9]+)', 1), '') AS INT) AS start FROM patch_rows),
+hunks AS (SELECT *, count(start) OVER (PARTITION BY patch ORDER BY nth) AS hunk, start IS NULL AND NOT regexp_matches(said, '^(-|\\\\|\\+\\+\\+ )') AS stays FROM starts),
 numbered AS (SELECT *, coalesce(first_value(start) OVER w, 1) + sum(CASE WHEN stays THEN 1 ELSE 0 END) OVER w - 1 AS line FROM hunks WINDOW w AS (PARTITION BY patch, hunk ORDER BY nth)),
 added AS (SELECT patch, CAST(line AS INT) AS line, said[2:] AS text FROM numbered WHERE stays AND starts_with(said, '+')),
 hits AS (SELECT patch, line, family, rule, severity FROM added JOIN rules ON regexp_matches(text, pattern)),
@@ -75,6 +76,73 @@ def added_lines(lake: Lake) -> DataFrame:
     return pr_files(lake).select("number", "path", F.size(lines).alias("added"))
 
 
+# reviews from what is found
+
+_LEVELS = ["critical", "high", "medium", "low"]
+_COUNTS = f"""{_BROKEN}{_DIFF.removeprefix(_PULL_FILES)},
+told_of AS (SELECT number, family, rule, severity, path FROM found WHERE family = 'security' GROUP BY ALL UNION ALL SELECT number, family, rule, severity, '' FROM found WHERE family <> 'security' GROUP BY ALL),
+sums AS (SELECT number, {', '.join(f"count(*) FILTER (severity = '{x}') AS n_{x}, count(*) FILTER (family = 'security' AND severity = '{x}') AS s_{x}, count(*) FILTER (family <> 'security' AND severity = '{x}') AS q_{x}" for x in _LEVELS)} FROM told_of GROUP BY number),
+broke AS (SELECT number, least(8, count(*)) AS breaking FROM (SELECT DISTINCT number, unnest(kinds), regexp_extract(path, '[^/]*$') FROM broken) GROUP BY number),
+per_pull AS (SELECT number, count(*) AS n_files, sum(additions) FILTER (checks) AS test_lines, sum(additions) AS all_lines, count(*) FILTER (patch <> '') AS n_patches FROM seen GROUP BY number),
+pull AS (SELECT p.*, coalesce(n_files, 0) AS n_files, coalesce(n_patches, 0) AS n_patches, coalesce(test_lines, 0) / nullif(all_lines, 0) AS share, coalesce(breaking, 0) AS breaking,
+  {', '.join(f'coalesce({k}_{x}, 0) AS {k}_{x}' for k in 'nsq' for x in _LEVELS)} FROM pulls p LEFT JOIN per_pull USING (number) LEFT JOIN sums USING (number) LEFT JOIN broke USING (number))"""
+
+# the same in both dialects
+_SECURITY = "greatest(0, 88 - 30 * s_critical - 20 * s_high - 10 * s_medium - 4 * s_low)"
+_QUALITY = "greatest(0, 75 - 8 * q_medium - 3 * (q_critical + q_high + q_low) + CASE WHEN q_critical + q_high + q_medium + q_low = 0 THEN 5 ELSE 0 END)"
+_VALUE = "least(98, greatest(10, 60 - CASE WHEN additions + deletions > 500 THEN 5 ELSE 0 END + CASE WHEN share > 0 THEN 10 ELSE -10 END + CASE WHEN {title}(title, '^[a-z]+([(]|:|!)') THEN 5 ELSE 0 END - CASE WHEN {title}(title, '^(docs|chore)') THEN 20 ELSE 0 END))"
+_COVERAGE = "CASE WHEN share IS NULL THEN 70 WHEN share = 0 THEN 15 ELSE least(90, floor(130 * share + 0.5)) END"
+_VERDICT = f"CASE WHEN n_critical > 0 OR breaking > 3 OR {_SECURITY} < 40 THEN 'REQUEST_CHANGES' WHEN n_high > 1 OR breaking > 0 OR {_SECURITY} < 65 THEN 'COMMENT' WHEN n_high = 0 AND {_SECURITY} >= 75 THEN 'APPROVE' ELSE 'COMMENT' END"
+_RISK = f"CASE WHEN n_critical > 0 THEN 'critical' WHEN breaking > 3 OR {_SECURITY} < 40 THEN 'high' WHEN n_high = 0 AND breaking = 0 AND {_SECURITY} >= 75 THEN 'low' ELSE 'medium' END"
+_SURE = "least(85, 50 + CASE WHEN n_files > 0 THEN 10 ELSE 0 END + CASE WHEN n_patches > 0 THEN 15 ELSE 0 END + CASE WHEN n_critical + n_high + n_medium + n_low > 0 THEN 5 ELSE 0 END + CASE WHEN breaking > 0 THEN 5 ELSE 0 END)"
+_MINUTES = "greatest(10, least(120, 15 + 3 * n_files + floor((additions + deletions) / 50)))"
+_REVIEWERS = "least(5, 1 + floor(n_files / 5) + CASE WHEN n_critical > 0 THEN 2 WHEN n_high > 0 THEN 1 ELSE 0 END)"
+
+
+def reviewed(lake: Lake) -> DataFrame:
+    """The pulls with their findings by severity (n_ all, s_ security, q_ the rest), breaking changes and test lines."""
+    found = diff_review(lake)
+    security, c = F.col("family") == "security", F.col("severity")
+    sums = [F.count_if(which & (c == x)).alias(f"{k}_{x}") for k, which in (("n", F.lit(True)), ("s", security), ("q", ~security)) for x in _LEVELS]
+    broke = breaking_changes(lake).select("number", F.col("changes").alias("breaking"))
+    lines = seen(lake).groupBy("number").agg(
+        F.count("*").alias("n_files"), F.count_if(F.col("patch") != "").alias("n_patches"), F.coalesce(F.sum(F.when(F.col("checks"), F.col("additions"))), F.lit(0)).alias("test_lines"), F.sum("additions").alias("all_lines")
+    )
+    met = lake.pulls.join(lines, "number", "left").join(found.groupBy("number").agg(*sums), "number", "left").join(broke, "number", "left")
+    zero = [f"{k}_{x}" for k in "nsq" for x in _LEVELS] + ["breaking", "n_files", "n_patches"]
+    return met.fillna(0, zero).withColumn("share", F.col("test_lines") / F.nullif(F.col("all_lines"), F.lit(0)))
+
+
+@query(f"""{_COUNTS}, f AS (SELECT repo, number, CAST({_SECURITY} AS BIGINT) AS security, CAST({_QUALITY} AS BIGINT) AS quality, CAST({_VALUE.format(title='regexp_matches')} AS BIGINT) AS value, CAST({_COVERAGE} AS BIGINT) AS coverage FROM pull)
+SELECT *, CAST(floor((security + quality + value) / 3 + .5) AS BIGINT) AS overall FROM f""", "pulls")
+def review_scores(lake: Lake) -> DataFrame:
+    """Security, quality and value of a change from what its added lines hold, the coverage that its test lines suggest,
+    and the mean of the first three."""
+    of = {"security": _SECURITY, "quality": _QUALITY, "value": _VALUE.format(title="regexp"), "coverage": _COVERAGE}
+    s = reviewed(lake).select("repo", "number", *[F.expr(e).cast("long").alias(n) for n, e in of.items()])
+    return s.withColumn("overall", half_up((F.col("security") + F.col("quality") + F.col("value")) / 3))
+
+
+@query(f"""{_COUNTS}, f AS (SELECT repo, number, {_VERDICT} AS verdict, {_RISK} AS risk, CAST({_SURE} AS BIGINT) AS confidence, CAST({_MINUTES} AS BIGINT) AS minutes, CAST({_REVIEWERS} AS BIGINT) AS reviewers, breaking FROM pull)
+SELECT repo, number, verdict, risk, confidence, minutes, reviewers, CAST(least(95, 18 * breaking + CASE risk WHEN 'critical' THEN 45 WHEN 'high' THEN 28 ELSE 12 END) AS BIGINT) AS breaking_risk FROM f""", "pulls")
+def review_verdict(lake: Lake) -> DataFrame:
+    """What a review of each pull comes to: verdict, risk of merging, how sure that is, minutes and reviewers that it takes,
+    and the risk that it breaks others."""
+    of = {"confidence": _SURE, "minutes": _MINUTES, "reviewers": _REVIEWERS}
+    f = reviewed(lake).select("repo", "number", F.expr(_VERDICT).alias("verdict"), F.expr(_RISK).alias("risk"), *[F.expr(e).cast("long").alias(n) for n, e in of.items()], "breaking")
+    most = F.when(F.col("risk") == "critical", 45).when(F.col("risk") == "high", 28).otherwise(12)
+    return f.select("*", F.least(F.lit(95), 18 * F.col("breaking") + most).cast("long").alias("breaking_risk")).drop("breaking")
+
+
+@query(f"""{_PULL_FILES}, t AS (SELECT number, coalesce(sum(additions) FILTER (checks), 0) / nullif(sum(additions), 0) AS share FROM seen GROUP BY number)
+SELECT repo, number, round(CASE WHEN share > .3 THEN floor(share * 2 * 10 + .5) / 10 WHEN share > 0 THEN 0 ELSE -.5 END, 4) AS delta FROM pulls LEFT JOIN t USING (number)""", "pulls")
+def pr_coverage_delta(lake: Lake) -> DataFrame:
+    """An estimate from the share of test lines among those that a change adds."""
+    lines = seen(lake).groupBy("number").agg((F.coalesce(F.sum(F.when(F.col("checks"), F.col("additions"))), F.lit(0)) / F.nullif(F.sum("additions"), F.lit(0))).alias("share"))
+    x = F.col("share")
+    return lake.pulls.join(lines, "number", "left").select("repo", "number", r4(F.when(x > 0.3, half_up(x * 2, 1)).when(x > 0, 0.0).otherwise(-0.5)).alias("delta"))
+
+
 # users' rules
 
 #: Patterns that are one or more whole words in a row, in either case or as they are.

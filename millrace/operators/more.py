@@ -167,21 +167,6 @@ def normalize_score(lake: Lake) -> DataFrame:
     return r.select("repo", r4(scaled(x, lo, hi)).alias("linear"), r4(scaled(x, lo, hi, log=True)).alias("log"), r4(scaled(x, lo, hi, invert=True)).alias("inverted"))
 
 
-@query("""WITH f AS (SELECT repo, number, CAST(88 - 20 * (CASE WHEN number % 5 = 0 THEN 1 ELSE 0 END) - 10 * (CASE WHEN number % 13 = 0 THEN 1 ELSE 0 END) AS INT) AS security,
-CAST(75 - 8 * (CASE WHEN number % 3 = 0 THEN 0 ELSE 1 END) + (CASE WHEN number % 3 = 0 THEN 5 ELSE 0 END) AS INT) AS quality,
-CAST(least(98, greatest(10, 60 - (CASE WHEN additions + deletions > 500 THEN 5 ELSE 0 END) + (CASE WHEN number % 3 = 0 THEN 10 ELSE -10 END) + (CASE WHEN regexp_matches(title, '^[a-z]+(\\(|:|!)') THEN 5 ELSE 0 END) + (CASE WHEN regexp_matches(title, '^(docs|chore)') THEN -20 ELSE 0 END))) AS INT) AS value FROM pulls)
-SELECT *, CAST(floor((security + quality + value) / 3 + .5) AS BIGINT) AS overall FROM f""", "pulls")
-def review_scores(lake: Lake) -> DataFrame:
-    """Security, quality and value of a change, and their mean."""
-    n, churn, title = F.col("number"), F.col("additions") + F.col("deletions"), F.col("title")
-    pick = lambda cond, a, b=0: F.when(cond, a).otherwise(b)
-    security = 88 - 20 * pick(n % 5 == 0, 1) - 10 * pick(n % 13 == 0, 1)
-    quality = 75 - 8 * pick(n % 3 == 0, 0, 1) + pick(n % 3 == 0, 5)
-    value = 60 - pick(churn > 500, 5) + pick(n % 3 == 0, 10, -10) + pick(title.rlike(r"^[a-z]+(\(|:|!)"), 5) + pick(title.rlike("^(docs|chore)"), -20)
-    value = F.least(F.lit(98), F.greatest(F.lit(10), value))
-    return lake.pulls.select("repo", "number", security.alias("security"), quality.alias("quality"), value.alias("value")).withColumn("overall", half_up((F.col("security") + F.col("quality") + F.col("value")) / 3))
-
-
 @query("SELECT id, CAST(floor((security + quality + health) / 3 + .5) AS BIGINT) AS overall FROM scans", "scans")
 def review_overall(lake: Lake) -> DataFrame:
     return lake.scans.select("id", half_up((F.col("security") + F.col("quality") + F.col("health")) / 3).alias("overall"))
@@ -190,16 +175,16 @@ def review_overall(lake: Lake) -> DataFrame:
 # strings
 
 
-@query("""WITH d AS (SELECT event_id AS id, date_diff('second', ts, (SELECT max(ts) FROM events)) AS s, CAST(floor(value * 1000) AS BIGINT) AS b FROM events)
-SELECT id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS ago,
+@query("""WITH d AS (SELECT event_id AS id, date_diff('second', ts, (SELECT max(ts) FROM events)) AS s, CAST(floor(value * 1000) AS BIGINT) AS b, ts FROM events)
+SELECT id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 2592000 THEN (s // 86400) || 'd ago' ELSE strftime(ts, '%Y-%m-%d') END AS ago,
 CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN (b // 1024) || ' KB' ELSE (b // 1048576) || ' MB' END AS size FROM d""")
 def format_relative(lake: Lake) -> DataFrame:
-    """Ages and sizes in words."""
+    """Ages and sizes in words; from thirty days on the date."""
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     seconds = F.expr("s")
-    e = lake.table("events").select(F.col("event_id").alias("id"), (F.floor(micros(lake.now) / 1_000_000) - F.floor(micros(F.col("ts")) / 1_000_000)).alias("s"), F.floor(F.col("value") * 1000).alias("b"))
+    e = lake.table("events").select(F.col("event_id").alias("id"), (F.floor(micros(lake.now) / 1_000_000) - F.floor(micros(F.col("ts")) / 1_000_000)).alias("s"), F.floor(F.col("value") * 1000).alias("b"), "ts")
     part = lambda c, by, unit: F.concat(F.floor(F.col(c) / by), F.lit(unit))
-    ago = F.when(seconds < 60, "just now").when(seconds < 3600, part("s", 60, "m ago")).when(seconds < 86400, part("s", 3600, "h ago")).otherwise(part("s", 86400, "d ago"))
+    ago = F.when(seconds < 60, "just now").when(seconds < 3600, part("s", 60, "m ago")).when(seconds < 86400, part("s", 3600, "h ago")).when(seconds < 30 * 86400, part("s", 86400, "d ago")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
     size = F.when(F.col("b") < 1024, part("b", 1, " B")).when(F.col("b") < 1048576, part("b", 1024, " KB")).otherwise(part("b", 1048576, " MB"))
     return e.select("id", ago.alias("ago"), size.alias("size"))
 

@@ -75,6 +75,8 @@ ADVICE = [
 RECOMMENDED = {f"{name} ({effort} effort, {gain} gain)": condition for name, effort, gain, condition in ADVICE}
 LANGUAGES = {"ts": r"\.tsx?$", "js": r"\.jsx?$", "py": r"\.py$", "go": r"\.go$", "rust": r"\.rs$"}
 
+#: The name of a file of tests.
+_TEST = r"^test_|[._](test|spec)\."
 _SRC = "src AS (SELECT repo, path FROM code UNION ALL SELECT repo, path FROM files)"
 TREE = f"""{DEPS}, {_SRC}, {cte('markers')}, {cte('advisories')},
 cut AS (SELECT repo, path, string_split(path, '/') AS parts FROM src),
@@ -86,11 +88,11 @@ evidence AS (
   UNION ALL SELECT DISTINCT repo, 'package', lib FROM deps
   UNION ALL SELECT repo, 'key', unnest(json_keys(content)) FROM manifests WHERE file = 'package.json' AND json_valid(content)),
 met AS (SELECT repo, flag FROM evidence JOIN markers USING (kind, name) GROUP BY repo, flag, kind, name, least HAVING count(*) >= least),
-tree AS (SELECT repo, count(*) AS n_files, count(*) FILTER (len(parts) > 7) AS n_deep FROM cut GROUP BY repo),
+tree AS (SELECT repo, count(*) AS n_files, count(*) FILTER (len(parts) > 7) AS n_deep, count(*) FILTER (regexp_matches(parts[-1], '{_TEST}')) AS n_tests FROM cut GROUP BY repo),
 judged AS (SELECT repo, EXISTS (SELECT 1 FROM advisories a WHERE a.lib = d.lib AND a.registry = d.registry AND {above_sql('a.fixed', 'd.version')}) AS flawed FROM deps d),
 lib AS (SELECT repo, count(*) AS n_deps, count(*) FILTER (flawed) AS n_risky FROM judged GROUP BY repo),
 told AS (SELECT repo, list(DISTINCT flag) AS flags FROM met GROUP BY repo),
-det AS (SELECT repo, coalesce(n_files, 0) AS n_files, coalesce(n_deep, 0) AS n_deep, coalesce(n_deps, 0) AS n_deps, coalesce(n_risky, 0) AS n_risky,
+det AS (SELECT repo, coalesce(n_files, 0) AS n_files, coalesce(n_deep, 0) AS n_deep, coalesce(n_tests, 0) AS n_tests, coalesce(n_deps, 0) AS n_deps, coalesce(n_risky, 0) AS n_risky,
   {', '.join(f"coalesce(list_contains(flags, '{f}'), FALSE) AS {f}" for f in FLAGS)} FROM tree FULL JOIN lib USING (repo) LEFT JOIN told USING (repo))"""
 
 
@@ -108,9 +110,9 @@ def detected(lake: Lake) -> DataFrame:
     markers = table(lake.spark, "markers")
     met = evidence.join(F.broadcast(markers), ["kind", "name"]).groupBy("repo", "flag", "kind", "name", "least").agg(F.count("*").alias("n")).where("n >= least")
     told = met.groupBy("repo").agg(F.collect_set("flag").alias("flags"))
-    tree = paths.groupBy("repo").agg(F.count("*").alias("n_files"), F.count_if(F.size("parts") > 7).alias("n_deep"))
+    tree = paths.groupBy("repo").agg(F.count("*").alias("n_files"), F.count_if(F.size("parts") > 7).alias("n_deep"), F.count_if(name.rlike(_TEST)).alias("n_tests"))
     lib = flawed(deps, lake).groupBy("repo").agg(F.count("*").alias("n_deps"), F.count_if("flawed").alias("n_risky"))
-    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_files", "n_deep", "n_deps", "n_risky")]
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_files", "n_deep", "n_tests", "n_deps", "n_risky")]
     flags = [F.coalesce(F.array_contains("flags", f), F.lit(False)).alias(f) for f in FLAGS]
     return tree.join(lib, "repo", "full").join(told, "repo", "left").select("repo", *counts, *flags)
 

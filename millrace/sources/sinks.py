@@ -11,8 +11,8 @@ from millrace.operators.text import dependencies
 from millrace.plans.registry import query
 from millrace.sources.lake import Lake
 from millrace.sources.oracle import NOW
+from millrace.sources.scratch import shared_dir
 from millrace.sources.stored import JobQueue, StoredTable
-from millrace.streaming.runs import shared_dir
 
 
 def stored(lake: Lake, rows: DataFrame, keys: list[str], buckets: int = 16) -> StoredTable:

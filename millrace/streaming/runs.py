@@ -6,32 +6,18 @@ that a stream and its batch form can be held against each other. State lives in
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from millrace.plans.registry import query
 from millrace.sources.lake import Lake
+from millrace.sources.scratch import shared_dir
 from millrace.streaming import folds
 
-_FALLBACK: dict[str, str] = {}
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; one of our own only where none is named, as in local tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return _FALLBACK[app]
-
-
 def events(lake: Lake) -> DataFrame:
     """The events as a stream, with the columns of ``usage`` and a timestamp that a watermark accepts."""
     schema = lake.table("events").schema
