@@ -10,7 +10,8 @@ host, inside articles too.
 
 Markup that states a role (nav, footer, aside, forms, ``role=``, and classes or ids made of nothing but words for
 adverts, comment lists, cookie notices and the like) is the tree's prior: the importance of such a branch is zero however
-varied its text. An article or main element states where the text is, if there is one, and is itself never removed.
+varied its text. An article or main element is never removed itself, and is freed of a form or an overlay that wraps the
+page; text that stands outside of it goes for its role or its importance, not for where it stands.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ NOISE = frozenset(
     "respond reply replies disqus share sharing social related recommended recommendations popup modal overlay "
     "toolbar pagination pager login copyright disclaimer masthead topbar".split()
 )
+#: Those of them that may name what stands around a whole page.
+WRAPPING = frozenset("overlay modal popup".split())
 #: Words that say nothing more beside one of the above.
 GENERIC = frozenset("site page top bottom left right main global primary secondary box bar area block list links link section wrapper wrap container inner item items widget button buttons row panel posts articles js".split())
 HEADERS = frozenset("header header-top page-header site-header top-header".split())
@@ -69,10 +72,11 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 
 
 class _Element:
-    __slots__ = ("tag", "path", "owner", "noise", "main", "gone", "children", "parts")
+    __slots__ = ("tag", "path", "owner", "noise", "wrapped", "main", "gone", "children", "parts")
 
     def __init__(self, tag: str, path: int, noise: bool, main: bool, gone: bool, owner: _Element | None = None):
         self.tag, self.path, self.noise, self.main, self.gone = tag, path, noise, main, gone
+        self.wrapped = False  # noise only because of what may wrap a page
         self.owner = owner or self  # the node of the tree whose text this is
         self.children: list[str] = []
         self.parts: list[bytes] = []
@@ -94,16 +98,23 @@ def _is_noise(tag: str, names: dict[str, str], inside: bool) -> bool:
     return False
 
 
+def _may_wrap(tag: str, names: dict[str, str]) -> bool:
+    """Whether noise is of a kind that can stand around all of a page."""
+    words = set(re.split(r"[-_\s]+", (names.get("class", "") + " " + names.get("id", "")).lower())) - {""}
+    return tag == "form" and not (words & NOISE - WRAPPING) or tag not in DROPPED and bool(words) and not (words & NOISE - WRAPPING) and names.get("role", "") == ""
+
+
 def _digest(parts: list[bytes]) -> bytes:
     return xxhash.xxh64_digest(b"".join(parts))
 
 
 class Page:
     """A parsed page: ``blocks`` of text in page order, each with whether a role or the host's tree (``removed`` paths)
-    takes it away and whether it stands in an article or main element; ``nodes``: what it adds to its host's tree."""
+    takes it away and whether it stands in an element below the body; ``nodes``: what it adds to its host's tree."""
 
     def __init__(self, source: str | None, removed: frozenset[int] | set[int] = frozenset()):
         self.blocks: list[tuple[bool, bool, bool, str]] = []
+        self.stated = False
         #: path -> (noise, contents, child sequences), one of each for every element there
         self.nodes: dict[int, tuple[bool, list[bytes], list[bytes]]] = {}
         self.removed = removed
@@ -135,7 +146,7 @@ class Page:
             self.text.clear()
             if text:
                 top = self.stack[-1]
-                self.blocks.append((top.noise, top.gone, top.main, text))
+                self.blocks.append((top.noise, top.gone, top.owner.tag not in ("", "html", "body"), text))
                 top.owner.parts.append(xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass")))
 
     def _pop(self, size: int) -> None:
@@ -186,18 +197,27 @@ class Page:
             for m in _NAMES.finditer(rest):
                 names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         up = self.stack[-1]
-        noise = up.noise or _is_noise(tag, names, up.main)
+        role = names.get("role", "").lower()
+        stated = tag if tag in ("article", "main") else role if role in ("article", "main") else ""
+        # a form or an overlay may wrap a whole page: what states the text inside it is not part of it
+        freed = stated == "main" or stated == "article" and up.wrapped
+        own = _is_noise(tag, names, up.main)
+        noise = up.noise and not freed or own
+        wrapped = (up.wrapped or not up.noise) and noise and (not own or _may_wrap(tag, names))
         self.open[tag] += 1
         if inline and noise == up.noise:
             self.stack.append(_Element(tag, up.path, noise, up.main, up.gone, up.owner))
+            self.stack[-1].wrapped = up.wrapped
             return
-        main = up.main or tag in ("article", "main") or names.get("role", "").lower() in ("main", "article")
+        main = up.main or bool(stated)
+        self.stated |= bool(stated) and not noise
         self._flush()
         first = (names.get("class", "") + " " + names.get("id", "")).split()
         label = tag + ("." + first[0] if first else "") + "!" * noise
         up.owner.children.append(label)
         path = xxhash.xxh64_intdigest(label.encode("utf-8", "surrogatepass"), up.path) >> 1
         self.stack.append(_Element(tag, path, noise, main, up.gone or path in self.removed and tag not in STATED))
+        self.stack[-1].wrapped = wrapped
 
     def _close(self, tag: str) -> None:
         if tag == "p" and not self._find({"p"}, {"table"}):
@@ -214,10 +234,9 @@ class Page:
             yield path, noise, as_int(contents), as_int(styles)
 
     def extract(self) -> str:
-        """The kept blocks, a line each. A page whose host's tree would leave nothing of it keeps what roles leave."""
-        kept = [b for b in self.blocks if not b[0]]
-        inside = [b for b in kept if b[2]]
-        kept = inside or kept
+        """The kept blocks, a line each. Bare text of the body counts only where no element states the text. A page whose
+        host's tree would leave nothing of it keeps what roles leave."""
+        kept = [b for b in self.blocks if not b[0] and (b[2] or not self.stated)]
         return "\n".join(b[3] for b in [b for b in kept if not b[1]] or kept)
 
 

@@ -153,3 +153,16 @@ def test_small_payloads_are_never_revisits(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
     got = {r["page_id"]: r["refers_to"] for r in all_of(warc.write(docs, folder, least=3), folder).collect()}
     assert got == {1: None, 2: None, 3: 4, 4: None}
+
+
+def test_no_text_is_lost_to_what_wraps_it(spark):
+    bodies = [
+        "<form id='aspnetForm'><div><article><p>Main text here.</p></article></div><input><label>Search</label></form>",
+        "<div class='overlay'><main><p>Main text.</p></main></div>",
+        "<article class='teaser'>Teaser</article><div class='content'><p>The long story.</p></div>",
+        "<article>one</article><p>Second part stands outside</p>",
+        "<section class='comments'><article class='comment'>Reader</article><form><article>Reply</article></form></section><p>Text</p>",
+        "<div class='sidebar'><article>Other story</article></div><article>Own story</article>",
+    ]
+    want = ["Main text here.", "Main text.", "Teaser\nThe long story.", "one\nSecond part stands outside", "Text", "Own story"]
+    assert texts_of(spark, [f"<body>{b}</body>" for b in bodies]) == want
