@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.functions.numbers import half_up
 from millrace.operators.scoring import share_rankings
 from millrace.operators.text import dependencies
 from millrace.plans.registry import query
+from millrace.sources.documents import read_documents, write_documents
 from millrace.sources.lake import Lake
 from millrace.sources.oracle import NOW
 from millrace.sources.scratch import shared_dir
@@ -90,3 +92,25 @@ def comparison_report(lake: Lake) -> DataFrame:
         F.concat_ws(",", F.col("rank").cast("string"), "repo", text).alias("csv"),
         F.to_json(F.struct("rank", "repo", "points")).alias("json"),
     )
+
+
+def reports(lake: Lake) -> DataFrame:
+    """``(name, kind, body)``: each repository's place in four kinds of document."""
+    c = F.col
+    points = F.format_string("%.2f", half_up(c("points"), 2))
+    kinds = {
+        "json": F.to_json(F.struct("rank", "repo", "points")),
+        "markdown": F.concat(F.lit("# "), c("repo"), F.lit("\n\n| place | points |\n|-|-|\n| "), c("rank"), F.lit(" | "), points, F.lit(" |\n")),
+        "csv": F.concat(F.lit("rank,repo,points\n"), c("rank"), F.lit(","), c("repo"), F.lit(","), points, F.lit("\n")),
+        "text": F.concat(c("repo"), F.lit(" is number "), c("rank"), F.lit(" with "), points, F.lit(" points.\n")),
+    }
+    rows = F.array(*[F.struct(F.lit(kind).alias("kind"), body.alias("body")) for kind, body in kinds.items()])
+    return share_rankings(lake).select(c("repo").alias("name"), F.explode(rows).alias("d")).select("name", "d.*")
+
+
+@query(None)
+def report_files(lake: Lake) -> DataFrame:
+    """The reports written as files, and the files read back: ``(file, body)``."""
+    path = f"{shared_dir(lake.spark)}/millrace/reports-{uuid.uuid4().hex}"
+    write_documents(reports(lake), path)
+    return read_documents(lake.spark, path)
