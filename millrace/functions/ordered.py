@@ -40,3 +40,11 @@ def with_before(rows: DataFrame, by: str, order: list[str], take: list[str], uni
     within = Window.partitionBy(by, "__slice").orderBy(F.desc("__head"), *order)
     told = every.select("*", *[F.lag(c).over(within).alias(f"before_{c}") for c in take])
     return told.where(~F.col("__head")).drop("__head", "__slice")
+
+
+def first_of(rows: DataFrame, by: str, order: list[str], most: int, deal: int = 64) -> DataFrame:
+    """The first ``most`` rows of each key with their ``nth``. Keys are dealt to several windows first, of which few rows stay,
+    so no task sorts a key as a whole."""
+    dealt = rows.withColumn("__deal", F.pmod(F.xxhash64(*order), F.lit(deal)))
+    some = dealt.withColumn("nth", F.row_number().over(Window.partitionBy(by, "__deal").orderBy(*order))).where(F.col("nth") <= most)
+    return some.drop("__deal").withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("nth") <= most)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions.numbers import half_up, r4
+from millrace.functions.ordered import first_of
 from millrace.functions.rules import needed, pack
 from millrace.plans.registry import query
 from millrace.sources.advisories import REGISTRIES
@@ -60,8 +61,7 @@ def rules_x_files(lake: Lake) -> DataFrame:
 @query(f"""{_HITS} SELECT family, rule, repo, path FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY repo, path) AS nth FROM hits) WHERE nth <= CASE family WHEN 'performance' THEN 2 ELSE 3 END""", "files")
 def rule_hit_cap(lake: Lake) -> DataFrame:
     """The first files of each rule, as the report shows them."""
-    by = Window.partitionBy("rule").orderBy("repo", "path")
-    h = rules_x_files(lake).withColumn("nth", F.row_number().over(by))
+    h = first_of(rules_x_files(lake), "rule", ["repo", "path"], 3)
     return h.where(F.col("nth") <= F.when(F.col("family") == "performance", 2).otherwise(3)).select("family", "rule", "repo", "path")
 
 
