@@ -476,6 +476,15 @@ def fuzzy_match(lake: Lake) -> DataFrame:
     return n.select("q", "t", r4(fuzzy_score(F.lower("q"), F.lower("t"))).alias("score"))
 
 
+@query(None)
+def fuzzy_sort(lake: Lake, asked: tuple[str, ...] = ("wid", "smlt", "LB"), most: int = 20) -> DataFrame:
+    """``(q, id, name, score, nth)``: for each query the parts whose name holds its signs in order, best first."""
+    names = lake.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    met = names.select("*", F.explode(F.array(*map(F.lit, asked))).alias("q"))
+    found = met.withColumn("score", r4(fuzzy_score(F.lower("q"), F.lower("name")))).where(F.col("score") > 0).withColumn("less", -F.col("score"))
+    return first_of(found, "q", ["less", "name", "id"], most).select("q", "id", "name", "score", "nth")
+
+
 @query(f"""WITH {cte('numbers').replace('numbers(', 'inline(', 1)}, numbers AS (SELECT CAST(x AS BIGINT) AS x FROM inline UNION ALL SELECT CAST(floor(o_totalprice) AS BIGINT) * (1 + o_orderkey % 9) FROM orders)
 SELECT x, CASE WHEN x >= 1000000 THEN printf('%.1fM', floor(x / 100000.0 + .5) / 10) WHEN x >= 1000 THEN printf('%.1fk', floor(x / 100.0 + .5) / 10) ELSE CAST(x AS VARCHAR) END AS text FROM numbers""")
 def format_number(lake: Lake) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries that SQL does not express, against plain Python."""
 
 import json
+import math
 import re
 from collections import defaultdict, deque
 from decimal import ROUND_HALF_UP, Decimal
@@ -34,6 +35,15 @@ def test_fuzzy_match(spark, sf_dir):
     assert got["abc", "aXbXc"] > 0 and got["xyz", "abc"] == 0 and got["", "abc"] == 1
 
 
+def test_fuzzy_sort(spark, sf_dir):
+    parts = [(r["p_partkey"], r["p_name"]) for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()]
+    want = set()
+    for q in ("wid", "smlt", "LB"):
+        scored = [(-math.floor(fuzzy(q, name) * 10_000 + 0.5) / 10_000, name, i) for i, name in parts]
+        want |= {(q, i, nth) for nth, (_, _, i) in enumerate(sorted(x for x in scored if x[0] < 0)[:20], 1)}
+    assert {(r["q"], r["id"], r["nth"]) for r in QUERIES["fuzzy_sort"](spark, sf_dir).collect()} == want and len(want) > 20
+
+
 def test_cognitive_complexity(spark, sf_dir):
     got = {(r["repo"], r["path"]): r["cognitive"] for r in QUERIES["cognitive_complexity"](spark, sf_dir).collect()}
     for repo, path, text in fixtures.CODE:
