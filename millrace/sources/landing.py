@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from millrace.functions.ordered import first_of
 from millrace.plans.registry import query
 from millrace.sources.lake import Lake
 
@@ -28,9 +29,13 @@ def src_commits(lake: Lake) -> DataFrame:
     return _newest(lake.commits, "repo", [F.desc("authored_at"), "sha"], 50).select("repo", "sha", "author", "authored_at")
 
 
-@query("SELECT repo, sha, author, number FROM commits WHERE sha = '1-1' OR sha LIKE '7-%'", "commits")
-def src_commit_detail(lake: Lake) -> DataFrame:
-    return lake.commits.where((F.col("sha") == "1-1") | F.col("sha").like("7-%")).select("repo", "sha", "author", "number")
+@query("""WITH asked AS (SELECT DISTINCT arg_max(sha, (authored_at, sha)) AS sha FROM commits GROUP BY repo)
+SELECT repo, sha, author, number, authored_at FROM commits WHERE sha IN (SELECT sha FROM asked)""", "commits")
+def src_commit_detail(lake: Lake, asked: DataFrame | None = None) -> DataFrame:
+    """The commits of the shas ``asked(sha)``: by default the newest one of each repository."""
+    if asked is None:
+        asked = lake.commits.groupBy("repo").agg(F.max_by("sha", F.struct("authored_at", "sha")).alias("sha")).select("sha").distinct()
+    return lake.commits.join(asked, "sha", "left_semi").select("repo", "sha", "author", "number", "authored_at")
 
 
 @query("SELECT repo, lang, bytes FROM languages", "languages")
@@ -74,12 +79,12 @@ def src_contents(lake: Lake) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT repo, path, size, row_number() OVER (PARTITION BY repo ORDER BY path) AS nth, count(*) OVER (PARTITION BY repo) AS n FROM files WHERE NOT regexp_matches(path, '[.](de|fr)$'))
-SELECT repo, path, size, n > 20 AS truncated FROM t WHERE nth <= 20""", "files")
-def src_tree(lake: Lake, cap: int = 20) -> DataFrame:
-    by = Window.partitionBy("repo")
+SELECT repo, path, size, n > 5000 AS truncated FROM t WHERE nth <= 5000""", "files")
+def src_tree(lake: Lake, cap: int = 5000) -> DataFrame:
+    """The first paths of each repository's tree, and whether there are more."""
     t = lake.files.where(~F.col("path").rlike("[.](de|fr)$")).select("repo", "path", "size")
-    t = t.withColumn("nth", F.row_number().over(by.orderBy("path"))).withColumn("truncated", F.count("*").over(by) > cap)
-    return t.where(F.col("nth") <= cap).select("repo", "path", "size", "truncated")
+    more = t.groupBy("repo").agg((F.count("*") > cap).alias("truncated"))
+    return first_of(t, "repo", ["path"], cap).join(more, "repo").select("repo", "path", "size", "truncated")
 
 
 @query("SELECT repo, week, total, strftime((SELECT max(l_shipdate) FROM lineitem) - to_days(CAST((52 - week) * 7 AS INT)), '%Y-%m-%d') AS week_of FROM weeks", "weeks")
@@ -94,9 +99,22 @@ def src_ci_runs(lake: Lake) -> DataFrame:
     return _newest(lake.runs, "repo", [F.desc("started_at"), "id"], 50).select("repo", "id", "name", "conclusion")
 
 
-@query("SELECT repo, id FROM runs WHERE event = 'push' AND conclusion = 'success' AND branch = 'main'", "runs")
+@query("""WITH p AS (SELECT repo, count(*) AS pulls, count(merged_at) AS merged, count(*) FILTER (label LIKE '2-%') AS bugs FROM pulls GROUP BY repo), c AS (SELECT repo, count(*) AS commits, max(authored_at) AS last_commit FROM commits GROUP BY repo),
+d AS (SELECT 'repo' || (id % 10 + 5) AS target, count(*) AS deployments FROM user_events WHERE type = 'PullRequest' GROUP BY 1), r AS (SELECT repo AS target, count(*) AS runs, count(*) FILTER (event = 'push' AND conclusion = 'success' AND branch = 'main') AS released FROM runs GROUP BY repo)
+SELECT n.repo, coalesce(pulls, 0) AS pulls, coalesce(merged, 0) AS merged, coalesce(bugs, 0) AS bugs, coalesce(commits, 0) AS commits, last_commit, coalesce(deployments, 0) AS deployments, coalesce(runs, 0) AS runs, coalesce(released, 0) AS released, stars
+FROM nations n LEFT JOIN p USING (repo) LEFT JOIN c USING (repo) LEFT JOIN d ON d.target = 'repo' || nation LEFT JOIN r ON r.target = 'repo' || nation LEFT JOIN repos m ON m.repo = n.repo""", "pulls", "commits", "user_events", "runs", "nations", "repos")
 def src_dora_inputs(lake: Lake) -> DataFrame:
-    return lake.runs.where("event = 'push' and conclusion = 'success' and branch = 'main'").select("repo", "id")
+    """What the delivery metrics of a repository are made of: pulls, bugs, commits, deployments, runs and its record."""
+    c, n = F.col, F.count("*")
+    p = lake.pulls.groupBy("repo").agg(n.alias("pulls"), F.count("merged_at").alias("merged"), F.count_if(c("label").like("2-%")).alias("bugs"))
+    k = lake.commits.groupBy("repo").agg(n.alias("commits"), F.max("authored_at").alias("last_commit"))
+    d = lake.user_events.where(c("type") == "PullRequest").groupBy(F.concat(F.lit("repo"), c("id") % 10 + 5).alias("target")).agg(n.alias("deployments"))
+    released = (c("event") == "push") & (c("conclusion") == "success") & (c("branch") == "main")
+    r = lake.runs.groupBy(c("repo").alias("target")).agg(n.alias("runs"), F.count_if(released).alias("released"))
+    x = lake.nations.withColumn("target", F.concat(F.lit("repo"), c("nation"))).join(p, "repo", "left").join(k, "repo", "left")
+    x = x.join(d, "target", "left").join(r, "target", "left").join(lake.repos.select("repo", "stars"), "repo", "left")
+    counts = ["pulls", "merged", "bugs", "commits", "deployments", "runs", "released"]
+    return x.fillna(0, counts).select("repo", *counts, "last_commit", "stars")
 
 
 @query("SELECT repo, owner, stars, pushed_at FROM repos WHERE contains(repo, 'a') OR contains(coalesce(license, ''), 'm') ORDER BY stars DESC, repo LIMIT 100", "repos")
