@@ -4,7 +4,11 @@ Patterns keep to what java.util.regex and RE2 read alike: no look-around, no bac
 """
 
 import re
-from re import _constants, _parser
+
+try:  # Python's own reading of a pattern is no public interface; without it texts are searched for every pattern
+    from re import _constants, _parser
+except ImportError:
+    _constants = _parser = None
 
 # Severities c, h, m, l are critical, high, medium, low.
 SECURITY = r"""
@@ -164,8 +168,10 @@ def pack() -> list[tuple[str, str, str, float, str]]:
 def needed(pattern: str) -> tuple[bool, list[list[str]]]:
     """What every text that matches a pattern contains: (whether lower-cased, all of these lists, of each one word).
 
-    Read off Python's parse of the pattern, so it follows the pattern when that changes.
+    Read off Python's parse of the pattern, so it follows the pattern when that changes; nothing where there is no parse.
     """
+    if _parser is None:
+        return False, []
     tree = _parser.parse(pattern)
     low = bool(tree.state.flags & re.IGNORECASE)
     lists = sorted(_lists(tree), key=lambda words: (-min(map(len, words)), len(words)))
