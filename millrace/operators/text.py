@@ -248,11 +248,24 @@ def strip_non_executable(lake: Lake) -> DataFrame:
     return sources(lake).select("repo", "path", F.aggregate(lines, start, step, lambda a: a["kept"]).alias("lines"))
 
 
-@query(rf"{_FILES} SELECT repo, path, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '(?:async )?function (GET|POST|PUT|PATCH|DELETE)', 1))), ',') AS methods, regexp_matches(content, '(?i)auth|session') AS auth, regexp_matches(content, '(?i)schema|valid') AS validated FROM src WHERE path LIKE '%/api/%'", "files")
+# The methods of a route; a handler's text goes from its head to the next one's.
+_HANDLER = r"(?:async )?function (GET|POST|PUT|PATCH|DELETE)\b"
+#: Words, in calls or names, of who may and of what is let in.
+_ALLOWED, _CHECKED = r"(?i)\b(auth\w*|session\w*|requireUser|currentUser|permission\w*)\b", r"(?i)(\b\w*schema\w*|valid(ate|ator|ated)?|safeParse|\bparse)\b"
+
+
+@query(rf"""{_FILES}, h AS (SELECT repo, path, unnest(regexp_extract_all(content, {literal(_HANDLER)}, 1)) AS method, unnest(string_split_regex(content, {literal(_HANDLER)})[2:]) AS body FROM src WHERE path LIKE '%/api/%' OR path LIKE 'api/%')
+SELECT repo, path, method, regexp_matches(body, {literal(_ALLOWED)}) AS auth, regexp_matches(body, {literal(_CHECKED)}) AS validated,
+  method <> 'GET' AND NOT (regexp_matches(body, {literal(_ALLOWED)}) AND regexp_matches(body, {literal(_CHECKED)})) AS open FROM h""", "files")
 def route_audit(lake: Lake) -> DataFrame:
-    c = F.col("content")
-    found = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit("(?:async )?function (GET|POST|PUT|PATCH|DELETE)"), F.lit(1)))), ",")
-    return sources(lake).where(F.col("path").like("%/api/%")).select("repo", "path", found.alias("methods"), c.rlike("(?i)auth|session").alias("auth"), c.rlike("(?i)schema|valid").alias("validated"))
+    """``(repo, path, method, auth, validated, open)`` of each handler: what its own text asks of a request, and whether one
+    that changes things lacks either."""
+    routes = sources(lake).where(F.col("path").like("%/api/%") | F.col("path").like("api/%"))
+    methods, bodies = F.regexp_extract_all("content", F.lit(_HANDLER), F.lit(1)), F.split("content", _HANDLER)
+    pairs = F.arrays_zip(methods.alias("method"), F.slice(bodies, 2, F.size(bodies)).alias("body"))
+    h = routes.select("repo", "path", F.explode(pairs).alias("h")).select("repo", "path", "h.*")
+    auth, checked = F.col("body").rlike(_ALLOWED), F.col("body").rlike(_CHECKED)
+    return h.select("repo", "path", "method", auth.alias("auth"), checked.alias("validated"), ((F.col("method") != "GET") & ~(auth & checked)).alias("open"))
 
 
 #: Success criteria of the Web Content Accessibility Guidelines that markup alone can miss: (criterion, elements or none for any,
@@ -320,15 +333,16 @@ def env_audit(lake: Lake) -> DataFrame:
 @query(rf"""{_FILES}, x AS (SELECT DISTINCT repo, unnest(regexp_extract_all(content, 'export (?:async )?(?:function|const|let) (\w+)', 1)) AS name FROM src WHERE path NOT LIKE '%.test.%'),
 t AS (SELECT DISTINCT repo, unnest(regexp_extract_all(content, '\w+')) AS name FROM src WHERE path LIKE '%.test.%'),
 n AS (SELECT x.repo, count(*) AS exported, count(t.name) AS tested FROM x LEFT JOIN t ON t.repo = x.repo AND t.name = x.name GROUP BY ALL)
-SELECT *, CASE WHEN tested < .3 * exported THEN 'critical' WHEN tested < .6 * exported THEN 'high' WHEN tested < .8 * exported THEN 'medium' ELSE 'low' END AS risk FROM n""", "files")
+SELECT *, round(tested / exported * 100, 4) AS share, CASE WHEN tested < .3 * exported THEN 'critical' WHEN tested < .6 * exported THEN 'high' WHEN tested < .8 * exported THEN 'medium' ELSE 'low' END AS risk FROM n""", "files")
 def export_test_coverage(lake: Lake) -> DataFrame:
     """Exported names, and those that a test file mentions. Tests are split into words, so the join is on equal names."""
     code, test = sources(lake), F.col("path").like("%.test.%")
     names = code.where(~test).select("repo", F.explode(F.regexp_extract_all("content", F.lit(r"export (?:async )?(?:function|const|let) (\w+)"), F.lit(1))).alias("name")).distinct()
     said = code.where(test).select("repo", F.explode(F.regexp_extract_all("content", F.lit(r"\w+"), F.lit(0))).alias("name")).distinct().withColumn("tested", F.lit(True))
     n = names.join(said, ["repo", "name"], "left").groupBy("repo").agg(F.count("*").alias("exported"), F.count("tested").alias("tested"))
-    share = lambda x: F.col("tested") < x * F.col("exported")
-    return n.withColumn("risk", F.when(share(0.3), "critical").when(share(0.6), "high").when(share(0.8), "medium").otherwise("low"))
+    under = lambda x: F.col("tested") < x * F.col("exported")
+    share = r4(F.col("tested") / F.col("exported") * 100)
+    return n.withColumn("share", share).withColumn("risk", F.when(under(0.3), "critical").when(under(0.6), "high").when(under(0.8), "medium").otherwise("low"))
 
 
 # The test framework that a file at the root, a package or a word of requirements.txt stands for.
