@@ -28,7 +28,7 @@ BUCKETS, CHUNK = 1 << 24, 1 << 14
 #: Bytes of text that are taken apart at once; words and distinct phrases that a task holds before it hands them on.
 STRETCH, MOST_WORDS, MOST_PHRASES = 1 << 22, 1 << 18, 1 << 20
 #: Rows of one window when phrases are ranked.
-RANKED = 1 << 17
+RANKED = 1 << 13
 #: What ends a piece becomes the mark, what parts words a space, and A-Z becomes a-z.
 _MARK = b"."
 _FOLD = bytes(ord(".") if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
