@@ -26,7 +26,7 @@ from millrace.llm.storage import discard, materialise
 #: Buckets of n-grams, and how many share a row when tasks' counts are added up.
 BUCKETS, CHUNK = 1 << 24, 1 << 14
 #: Bytes of text that are taken apart at once; words and distinct phrases that a task holds before it hands them on.
-STRETCH, MOST_WORDS, MOST_PHRASES = 1 << 22, 1 << 18, 1 << 20
+STRETCH, MOST_WORDS, MOST_PHRASES = 1 << 21, 1 << 18, 1 << 19
 #: Rows of one window when phrases are ranked.
 RANKED = 1 << 13
 #: What ends a piece becomes the mark, what parts words a space, and A-Z becomes a-z.
@@ -151,7 +151,8 @@ class _Counter:
                 ok[at] = True
                 longer &= (ok[:-1] & ok[1:])[: len(longer)] if len(ids) > 1 else longer
             ends = np.arange(len(longer)) + n
-            np.add.at(self.buckets, _bucket(hashed[n + 1][longer & (ends >= old)], len(self.buckets)), 1)
+            bucket, more = np.unique(_bucket(hashed[n + 1][longer & (ends >= old)], len(self.buckets)), return_counts=True)
+            self.buckets[bucket] = np.minimum(self.buckets[bucket] + more, 255)
         at = at[at + n - 1 >= old]
         rows = np.stack([ids[at + i] for i in range(n)], axis=1)
         self._add(*self._grouped(rows, np.ones(len(rows), np.int64)))
@@ -209,7 +210,7 @@ def _counted(docs: DataFrame, n: int, bitmaps: list[bytes], last: bool, least: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, *shorter = [np.frombuffer(b, np.uint8) for b in bitmaps] or [None]
-        buckets = None if last else np.zeros(BUCKETS, np.uint32)
+        buckets = None if last else np.zeros(BUCKETS, np.uint8)
         counters: dict[str, _Counter] = {}
 
         def told() -> Iterator[pa.RecordBatch]:
@@ -241,7 +242,7 @@ def _counted(docs: DataFrame, n: int, bitmaps: list[bytes], last: bool, least: i
             for c in range(0, BUCKETS, CHUNK):
                 part = buckets[c : c + CHUNK]
                 if part.any():
-                    row = [None, None, None, c // CHUNK, np.minimum(part, least).astype(np.uint8).tobytes()]
+                    row = [None, None, None, c // CHUNK, np.minimum(part, np.uint8(least)).tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
     return docs.mapInArrow(run, _COUNTED)
