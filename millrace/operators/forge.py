@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.functions.numbers import half_up, hours, r4, ratio
+from millrace.functions.rules import as_re2
 from millrace.plans.registry import query
 from millrace.sources.lake import Lake
 from millrace.sources.oracle import COMMIT_NOW
@@ -390,6 +391,7 @@ def file_truncate(lake: Lake) -> DataFrame:
 SELECT path, CAST(line AS INT) AS line, left(text, 80) AS text FROM l WHERE regexp_matches(text, '\\b(token|password)\\b')""", "files")
 def search_code(lake: Lake, pattern: str = r"\b(token|password)\b") -> DataFrame:
     """Lines that match, numbered from 1. Files without a match leave before they are split."""
+    pattern = as_re2(pattern)
     hit = lake.files.where(F.col("content").rlike(pattern))
     lines = hit.select("path", F.posexplode(F.split("content", "\n")).alias("i", "text"))
     return lines.where(F.col("text").rlike(pattern)).select("path", (F.col("i") + 1).alias("line"), F.left("text", F.lit(80)).alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions.numbers import half_up, r4
 from millrace.functions.ordered import first_of
-from millrace.functions.rules import needed, pack
+from millrace.functions.rules import as_re2, needed, pack
 from millrace.plans.registry import query
 from millrace.sources.advisories import REGISTRIES
 from millrace.sources.fixtures import cte, literal, table
@@ -45,8 +45,8 @@ def rule_scan(files: DataFrame, rules: list[tuple[str, str, str, float, str]]) -
 
     def hit(family: str, rule: str, severity: str, confidence: float, pattern: str) -> Column:
         level = "low" if confidence < 0.55 else "high" if confidence < 0.7 and severity == "critical" else severity
-        row = F.struct(F.lit(family).alias("family"), F.lit(rule).alias("rule"), F.lit(level).alias("severity"), F.regexp_count(text, F.lit(pattern)).alias("n"))
-        return F.when(_worth(pattern) & text.rlike(pattern), row)
+        row = F.struct(F.lit(family).alias("family"), F.lit(rule).alias("rule"), F.lit(level).alias("severity"), F.regexp_count(text, F.lit(as_re2(pattern))).alias("n"))
+        return F.when(_worth(pattern) & text.rlike(as_re2(pattern)), row)
 
     found = F.array_compact(F.array(*[hit(*r) for r in rules]))
     read = files.where(~F.col("path").like("%.test.%")).select("repo", "path", "content", F.lower("content").alias("low"))
@@ -205,7 +205,7 @@ _WORDS = r"\b(if|for|while|case|catch)\b|&&|\|\|"
 
 @query(rf"{_FILES}, c AS (SELECT repo, path, CAST(1 + len(regexp_extract_all(content, '{_WORDS}')) AS INT) AS cyclomatic FROM src) SELECT repo, path, cyclomatic, CASE WHEN cyclomatic > 20 THEN 'critical' WHEN cyclomatic > 10 THEN 'high' WHEN cyclomatic > 5 THEN 'medium' ELSE 'low' END AS risk FROM c", "files")
 def complexity(lake: Lake) -> DataFrame:
-    n = 1 + F.regexp_count("content", F.lit(_WORDS))
+    n = 1 + F.regexp_count("content", F.lit(as_re2(_WORDS)))
     return sources(lake).select("repo", "path", n.alias("cyclomatic"), F.when(n > 20, "critical").when(n > 10, "high").when(n > 5, "medium").otherwise("low").alias("risk"))
 
 
@@ -222,7 +222,7 @@ def cognitive_complexity(lake: Lake) -> DataFrame:
     lines = F.split("content", "\n")
 
     def step(acc: Column, line: Column) -> Column:
-        branches = F.regexp_count(line, F.lit(r"\b(if|for|while|switch|catch)\b"))
+        branches = F.regexp_count(line, F.lit(as_re2(r"\b(if|for|while|switch|catch)\b")))
         depth = acc["depth"] + F.regexp_count(line, F.lit(r"\{")) - F.regexp_count(line, F.lit(r"\}"))
         return F.struct((acc["score"] + branches * (1 + acc["depth"])).alias("score"), F.greatest(F.lit(0), depth).alias("depth"))
 
