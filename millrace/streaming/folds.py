@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from itertools import chain
 from typing import Any
 
 import pandas as pd
@@ -32,9 +33,9 @@ class Fold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("held", self.held)
-        self.waiting = handle.getMapState("waiting", "slice long", "at array<long>, id array<long>, of array<string>")
-        self.timer = handle.getValueState("timer", "ms long")
+        # each call of the state is a round trip, so the timer's time is held beside the state
+        self.state = handle.getValueState("held", f"{self.held}, timer long")
+        self.waiting = handle.getMapState("waiting", "slice long, frame long", "at array<long>, id array<long>, of array<string>")
 
     # what a fold is: its empty state, one row, and until when its state matters
 
@@ -61,18 +62,18 @@ class Fold(StatefulProcessor):
     # how it is run
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state = self.load(self.state.get()) if self.state.exists() else self.empty()
+        held = self.state.get()
+        state, timer = (self.empty(), None) if held is None else (self.load(tuple(held)[:-1]), held[-1])
         first = next(rows, None)
         second = next(rows, None)
         if second is None:
             parts = [] if first is None else iter([self._columns(first)])
         else:
-            slices: set[int] = set()
-            for frame in (first, second):
-                slices |= self._put(frame)
-            for frame in rows:
-                slices |= self._put(frame)
-            parts = (self._take(s) for s in sorted(slices))
+            slices: dict[int, list[int]] = {}
+            for n, frame in enumerate(chain((first, second), rows)):
+                for s in self._put(n, frame):
+                    slices.setdefault(s, []).append(n)
+            parts = (self._take(s, slices[s]) for s in sorted(slices))
         for at, ids, of in parts:
             order = sorted(range(len(at)), key=lambda i: (at[i], ids[i]))  # noqa: B023
             found_ids, found = [], []
@@ -82,42 +83,38 @@ class Fold(StatefulProcessor):
                     found_ids.append(ids[i])
                     found.append(out)
             yield self.table(key, found_ids, found)
-        self._keep(state)
+        if second is not None:
+            self.waiting.clear()
+        self._keep(state, timer)
 
     def _columns(self, frame: pd.DataFrame) -> tuple[list, list, list]:
         at = (frame["at"].astype("datetime64[us]").astype("int64")).tolist()
         return at, frame["id"].tolist(), list(zip(*[frame[c].tolist() for c in self.columns])) if self.columns else [()] * len(at)
 
-    def _put(self, frame: pd.DataFrame) -> set[int]:
+    def _put(self, n: int, frame: pd.DataFrame) -> list[int]:
+        """A frame's part of each slice goes under a key of its own, so none is read to be added to."""
         at, ids, of = self._columns(frame)
         by: dict[int, list[int]] = {}
         for i, t in enumerate(at):
             by.setdefault(t // (self.slice_s * SECOND), []).append(i)
         for s, mine in by.items():
-            before = self.waiting.getValue((s,)) if self.waiting.containsKey((s,)) else ([], [], [])
-            words = ["\t".join(map(str, of[i])) for i in mine]
-            self.waiting.updateValue((s,), ([*before[0], *[at[i] for i in mine]], [*before[1], *[ids[i] for i in mine]], [*before[2], *words]))
-        return set(by)
-
-    def _take(self, s: int) -> tuple[list, list, list]:
-        at, ids, of = self.waiting.getValue((s,))
-        self.waiting.removeKey((s,))
-        return list(at), list(ids), [tuple(x.split("\t")) if self.columns else () for x in of]
-
-    def _keep(self, state: Any) -> None:
-        self.state.update(self.store(state))
+            self.waiting.updateValue((s, n), ([at[i] for i in mine], [ids[i] for i in mine], ["\t".join(map(str, of[i])) for i in mine]))
+        return list(by)
+
+    def _take(self, s: int, frames: list[int]) -> tuple[list, list, list]:
+        at, ids, of = ([x for part in column for x in part] for column in zip(*[self.waiting.getValue((s, n)) for n in frames]))
+        return at, ids, [tuple(x.split("\t")) if self.columns else () for x in of]
+
+    def _keep(self, state: Any, before: int | None) -> None:
         ms = max(1, self.until(state) // 1000 + 1)
-        if self.timer.exists():
-            (before,) = self.timer.get()
-            if before == ms:
-                return
-            self.handle.deleteTimer(before)
-        self.handle.registerTimer(ms)
-        self.timer.update((ms,))
+        self.state.update((*self.store(state), ms))
+        if before != ms:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(ms)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self.state.clear()
-        self.timer.clear()
         return iter([])
 
 
@@ -237,6 +234,7 @@ class Fall(Fold):
     """Rows whose score falls by ``least`` or more against the key's last one."""
 
     held, columns = "health long", ("health",)
+    slice_s = 3600  # a repository has few scores in an hour, and a slice costs two calls of the state a frame
 
     def __init__(self, least: int, forget_s: int):
         self.least, self.forget, self.last = least, forget_s * SECOND, 0

@@ -104,3 +104,71 @@ def test_presets(spark, sf_dir):
     out = runs.finished(folds.folded(rows, ["user_id", "preset"], fold, "id long, user_id long, preset string, allowed boolean, violations long"))
     assert {r["id"]: (r["allowed"], r["violations"]) for r in out.collect()} == want
     assert QUERIES["stream_ip_presets"](spark, sf_dir).count() == len(want)
+
+
+class Calls:
+    """A state that counts its round trips."""
+
+    def __init__(self):
+        self.n, self.of, self.timers = 0, {}, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.n += 1
+            if name in ("getValueState", "getMapState"):
+                return self.of.setdefault(args[0], Cell(self))
+            return getattr(self.timers, {"registerTimer": "add", "deleteTimer": "remove"}[name])(args[0])
+
+        return call
+
+
+class Cell:
+    def __init__(self, calls):
+        self.calls, self.value, self.map = calls, None, {}
+
+    def __getattr__(self, name):
+        acts = {
+            "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "clear": lambda: (setattr(self, "value", None), self.map.clear()),
+            "containsKey": lambda k: k in self.map, "getValue": lambda k: self.map[k], "updateValue": self.map.__setitem__, "removeKey": self.map.pop,
+        }
+
+        def call(*args):
+            self.calls.n += 1
+            return acts[name](*args)
+
+        return call
+
+
+def fold_of(fold, frames):
+    import pandas as pd
+
+    calls = Calls()
+    fold.init(calls)
+    calls.n = 0
+    out = pd.concat(fold.handleInputRows(("a", "f"), iter(frames), None))
+    return out, calls
+
+
+def test_few_calls_for_a_key():
+    import pandas as pd
+
+    rows = pd.DataFrame({"at": [START], "id": [1], "units": [2], "preset": ["view"]})
+    for fold in (folds.Budget(9, 60), folds.Preset({"view": 1}, 60, 3600, 60)):
+        out, calls = fold_of(fold, [rows])
+        assert len(out) == 1 and calls.n <= 3 and len(calls.timers) == 1
+
+
+def test_few_calls_for_sparse_rows_in_many_frames():
+    import pandas as pd
+
+    rng = random.Random(5)
+    rows = [(START + timedelta(seconds=rng.randint(0, 86400)), i, rng.randint(0, 100)) for i in range(3000)]
+    frames = [pd.DataFrame(rows[a : a + 500], columns=["at", "id", "health"]) for a in range(0, 3000, 500)]
+    out, calls = fold_of(folds.Fall(10, 60), frames)
+    want, before = {}, None
+    for _, i, h in sorted(rows):
+        if before is not None and before - h >= 10:
+            want[i] = before - h
+        before = h
+    assert dict(zip(out["id"], out["fall"])) == want
+    assert calls.n < 400 and not calls.of["waiting"].map
