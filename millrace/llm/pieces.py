@@ -4,7 +4,7 @@ Compiled once per executor process from a model file:
 
 * the normaliser rewrites the text by the model's own rules, longest rule first, takes surplus white space away where
   the model says so, maps a space to the meta sign and puts one in front;
-* the lexicon is an automaton over signs whose final states are pieces;
+* the lexicon is an automaton over signs whose final states are pieces; a state is named by the signs that lead to it;
 * the byte fallback maps every sign outside the lexicon to its UTF-8 byte pieces;
 * the bigram acceptor weighs each pair of neighbouring pieces.
 
@@ -15,7 +15,8 @@ the first merge across a boundary of two pieces would also be made between the t
 finite weight. In a unigram model pairs weigh nothing and a piece weighs the negative of its score.
 
 A path may be cut wherever two signs never stand together inside a piece: no arc crosses the cut. The stretches
-between cuts repeat, so their paths are kept in a bounded table.
+between cuts repeat, so each is sought once for many texts, and its path is kept in a bounded table. Cuts, equal
+stretches, ids and decoded texts are columns of a batch; Python sees the distinct stretches alone.
 """
 
 from __future__ import annotations
@@ -25,18 +26,19 @@ import sys
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: The model that the query takes unless told otherwise; it stays where it is installed.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
-#: Entries of the tables of known words, stretches and (four times) pairs; rows of ids held at a time.
+#: Entries of the tables of known stretches and (four times) pairs; signs that are encoded at a time, a longer text alone.
 _KEPT = 100_000
-_ROWS = 500
-#: Signs by which the arcs that start at a place are kept.
-_AHEAD = 8
+_SIGNS = 1 << 20
 
 
 def rules_of(charsmap: bytes) -> dict[str, str]:
@@ -69,6 +71,16 @@ def rules_of(charsmap: bytes) -> dict[str, str]:
     return found
 
 
+class _Known(dict):
+    """The ids of known stretches; those of others are worked out by ``made``."""
+
+    def __init__(self, made):
+        self.made = made
+
+    def __missing__(self, stretch: bytes) -> tuple[int, ...]:
+        return self.made(stretch)
+
+
 class Transducer:
     """The compiled model. ``encode`` composes it with a text, ``decode`` runs it backwards."""
 
@@ -101,28 +113,30 @@ class Transducer:
         self.byte_of = {i: b for b, i in self.byte.items()}
         plain = [i for i in range(count) if not (read.is_byte(i) or read.is_control(i) or read.is_unknown(i) or read.is_unused(i))]
         self.id = {self.text[i]: i for i in plain}
-        #: The lexicon's automaton: (state, sign) to state, and the final states.
-        self.next: dict[tuple[int, str], int] = {}
-        self.final: set[int] = set()
-        for p in self.id:
-            state = 0
-            for sign in p:
-                state = self.next.setdefault((state, sign), len(self.next) + 1)
-            self.final.add(state)
+        #: The lexicon's automaton: each state with the arcs that end on the way to it, shortest first. A sign that is no
+        #: piece is an arc, too.
+        self.states: dict[str, tuple[str, ...]] = {}
+        for p in sorted(self.id):
+            for n in range(1, len(p) + 1):
+                if (state := p[:n]) not in self.states:
+                    self.states[state] = self.states.get(p[: n - 1], ()) + ((state,) if n == 1 or state in self.id else ())
         self.longest = max(map(len, self.id), default=1)
         self.inside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.cost = {p: -self.score[i] for p, i in self.id.items()}
-        #: Whether a path may be cut before every meta sign that follows another sign.
-        self._spaces_cut = not any(pair[1] == META and pair[0] != META for pair in self.inside)
+        #: The number of each sign that has neighbours inside pieces, 0 for all others; whether two numbers are neighbours.
+        signs = sorted({sign for pair in self.inside for sign in pair})
+        self._number = np.zeros(sys.maxunicode + 1, np.int32)
+        self._number[[ord(sign) for sign in signs]] = np.arange(1, len(signs) + 1)
+        self._joined = np.zeros((len(signs) + 1, len(signs) + 1), bool)
+        for left, right in self.inside:
+            self._joined[self._number[ord(left)], self._number[ord(right)]] = True
+        self._bytes = pa.array([bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() for i, t in enumerate(self.text)], pa.large_binary())
         self.forget()
 
     def forget(self) -> None:
         """Empty the tables of what has been worked out; they hold nothing that a later text would not fill again."""
-        self._words: dict[str, tuple[int, ...]] = {}
-        self._older_words: dict[str, tuple[int, ...]] = {}
-        self._cuts: dict[str, tuple[int, ...]] = {}
-        self._older_cuts: dict[str, tuple[int, ...]] = {}
-        self._starts: dict[str, tuple[tuple[str, ...], bool]] = {}
+        self._known = _Known(self._stretch)
+        self._older: dict[bytes, tuple[int, ...]] = {}
         #: Weights of pairs already worked out, by the first piece; the empty one stands for the start.
         self._pairs: dict[str, dict[str, bool]] = {}
         self._known_pairs = 0
@@ -155,28 +169,17 @@ class Transducer:
     # composition and shortest path
 
     def _arcs(self, text: str, i: int) -> tuple[str, ...]:
-        """The pieces that start at a place, shortest first; a sign outside the lexicon is its own arc."""
-        key = text[i : i + _AHEAD]
-        known = self._starts.get(key)
-        if known is None:
-            if len(self._starts) > _KEPT:
-                self._starts.clear()
-            known = self._starts[key] = self._started(key)
-        found, longer = known
-        return self._started(text[i : i + self.longest])[0] if longer else found
-
-    def _started(self, text: str) -> tuple[tuple[str, ...], bool]:
-        """The final states on the automaton's way along a text, and whether the way goes on beyond it."""
-        state, step, found = 0, self.next, []
-        for j, sign in enumerate(text, 1):
-            state = step.get((state, sign))
-            if state is None:
-                break
-            if state in self.final:
-                found.append(text[:j])
-        if not found or len(found[0]) > 1:
-            found.insert(0, text[0])
-        return tuple(found), state is not None and len(text) == _AHEAD
+        """The pieces that start at a place, shortest first; a sign outside the lexicon is its own arc. With a state all those
+        on the way to it are there, so the last state is found by halving the number of signs."""
+        states, least, most = self.states, 1, min(self.longest, len(text) - i)
+        while least < most:
+            n = (least + most + 1) >> 1
+            if text[i : i + n] in states:
+                least = n
+            else:
+                most = n - 1
+        start = text[i : i + least]
+        return states.get(start) or (start,)
 
     def _path(self, text: str) -> list[str]:
         """The shortest path through the lattice. In a merge model, whose paths weigh zero or infinity, that is the
@@ -254,35 +257,26 @@ class Transducer:
                 out.append(self.unknown)
         return tuple(out)
 
-    def _stretch(self, text: str) -> tuple[int, ...]:
-        """Ids of a stretch that holds no cut."""
-        known = self._cuts.get(text)
-        if known is None:
-            known = self._older_cuts.get(text) or self._ids(self._path(text))
-            if len(text) <= 64:
-                if len(self._cuts) > _KEPT:
-                    self._older_cuts, self._cuts = self._cuts, {}
-                self._cuts[text] = known
-        return known
-
-    def _word(self, text: str) -> tuple[int, ...]:
-        """Ids of a word, cut wherever no piece can cross. Of two generations of known words the older one goes."""
-        found = self._older_words.get(text)
+    def _stretch(self, stretch: bytes) -> tuple[int, ...]:
+        """Ids of a stretch that holds no cut. Of two generations of known ones the older goes."""
+        found = self._older.get(stretch)
         if found is None:
-            inside, a, parts = self.inside, 0, []
-            for i in range(1, len(text)):
-                if text[i - 1 : i + 1] not in inside:
-                    parts += self._stretch(text[a:i])
-                    a = i
-            parts += self._stretch(text[a:])
-            found = tuple(parts)
-        if len(text) <= 64:
-            if len(self._words) > _KEPT:
-                self._older_words = dict(self._words)
-                self._words.clear()  # encode() holds on to this one
-            self._words[text] = found
+            found = self._ids(self._path(stretch.decode("utf-8", "surrogatepass")))
+        if len(stretch) <= 64:
+            if len(self._known) > _KEPT:
+                self._older = dict(self._known)
+                self._known.clear()  # encode_all() goes on with this one
+            self._known[stretch] = found
         return found
 
+    def _starts(self, signs: np.ndarray) -> np.ndarray:
+        """The places where a stretch starts, but for the first."""
+        found = []
+        for a in range(0, len(signs), _SIGNS):
+            n = self._number[signs[a : a + _SIGNS + 1]]
+            found.append(np.flatnonzero(~self._joined[n[:-1], n[1:]]) + a + 1)
+        return np.concatenate(found)
+
     def normal(self, text: str) -> str:
         """The normaliser's output but for the meta sign in front; meta signs stand for spaces."""
         if self.rules or self.squeezed:
@@ -309,36 +303,46 @@ class Transducer:
         joined = "".join(out)
         return joined.rstrip(" " + META) if squeezed else joined
 
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each text end, after a zero, and the ids of all; none for a null or empty text."""
+        normal = [self.normal(t) if t else "" for t in texts]
+        whole = [self.prefix + t if t else "" for t in normal]
+        ends = np.cumsum([0, *map(len, whole)])
+        signs = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(signs):
+            return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int32)
+        first = np.zeros(len(signs) + 1, bool)
+        first[self._starts(signs)] = True
+        first[ends] = True
+        starts = np.flatnonzero(first)
+        data = "".join(whole).encode("utf-8", "surrogatepass")
+        places = np.zeros(len(signs) + 1, np.int64)
+        np.cumsum(1 + (signs > 0x7F).astype(np.int8) + (signs > 0x7FF) + (signs > 0xFFFF), out=places[1:])
+        stretches = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(places[starts]), pa.py_buffer(data)]).dictionary_encode()
+        found = list(map(self._known.__getitem__, stretches.dictionary.to_pylist()))
+        lists = pa.ListArray.from_arrays(
+            np.cumsum([0, *map(len, found)], dtype=np.int32), np.fromiter(chain.from_iterable(found), np.int32)
+        ).take(stretches.indices)
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        return lists.offsets.to_numpy()[np.searchsorted(starts, ends)].astype(np.int64), ids
+
+    def decode_all(self, ends: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The texts of ids that ``encode_all`` gave, whose bytes are whole signs."""
+        taken = self._bytes.take(pa.array(ids))
+        places = np.frombuffer(taken.buffers()[1], np.int64)[ends]
+        joined = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(places), taken.buffers()[2]])
+        plain = pc.replace_substring(joined, META, " ")
+        return (pc.if_else(pc.starts_with(plain, " "), pc.utf8_slice_codeunits(plain, 1), plain) if self.prefix else plain).cast(pa.string())
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; none for a null or empty one."""
-        text = self.normal(text or "")
-        if not text:
-            return []
-        known = self._words
-        out: list[int] = []
-        if not self._spaces_cut:
-            return list(self._word(self.prefix + text))
-        run = ""  # meta signs so far that belong to the next word
-        words = text.split(META)
-        if not self.prefix:
-            first = words.pop(0)
-            if first:
-                out += known.get(first) or self._word(first)
-        for w in words:
-            run += META
-            if w:
-                w = run + w
-                run = ""
-                out += known.get(w) or self._word(w)
-        if run:
-            out += known.get(run) or self._word(run)
-        return out
+        return self.encode_all([text])[1].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement sign."""
         text, byte_of = self.text, self.byte_of
         if byte_of.keys().isdisjoint(ids):
-            joined = "".join([text[i] for i in ids])
+            joined = "".join(map(text.__getitem__, ids))
         else:
             parts, held = [], bytearray()
             for i in ids:
@@ -360,6 +364,16 @@ def compiled(model: bytes) -> Transducer:
     return Transducer(model)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that hold some ``_SIGNS`` signs at most, or one row."""
+    upto = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + _SIGNS, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def encode(docs: DataFrame, model_file: str, decoded: bool = True) -> DataFrame:
     """``(doc_id, n_tokens, ids)`` of every whole text and, if asked for, ``decoded``, the text that the ids give.
 
@@ -373,15 +387,14 @@ def encode(docs: DataFrame, model_file: str, decoded: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(shared.value)
-        machine.forget()  # a worker that goes on to other work should not keep the last task's words
+        machine.forget()  # a worker that goes on to other work should not keep the last task's stretches
         for whole in batches:
-            for a in range(0, whole.num_rows, _ROWS):
-                batch = whole.slice(a, _ROWS)
-                ids = [machine.encode(t.as_py()) for t in batch.column(1)]
-                columns = [batch.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
+            for batch in _parts(whole):
+                ends, ids = machine.encode_all(batch.column(1).to_pylist())
+                columns = [batch.column(0), pa.array(np.diff(ends)), pa.ListArray.from_arrays(ends.astype(np.int32), ids)]
                 names = ["doc_id", "n_tokens", "ids"]
                 if decoded:
-                    columns.append(pa.array(list(map(machine.decode, ids)), pa.string()))
+                    columns.append(machine.decode_all(ends, ids))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
         machine.forget()

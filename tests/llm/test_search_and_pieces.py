@@ -92,6 +92,38 @@ def test_ids_equal_the_library(text):
     assert machine.decode(ids) == text.replace("▁", " ")
 
 
+def test_repeated_words_are_not_looked_up_one_by_one(model):
+    import sys
+
+    machine = pieces.Transducer(model)
+    texts, calls = [" ".join(["the quick, brown fox; jumps over 12 lazy dogs."] * 100)] * 100, 0
+
+    def count(frame, event, of):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    run = getattr(machine, "encode_all", lambda of: [machine.encode(t) for t in of])
+    sys.setprofile(count)
+    try:
+        run(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls < 10_000  # of 90,000 words
+
+
+@pytest.mark.parametrize("signs", [1, 7, 1 << 20])
+def test_batches_of_texts(model, library, monkeypatch, signs):
+    monkeypatch.setattr(pieces, "_SIGNS", signs)
+    machine = pieces.Transducer(model)
+    texts = [None, *ODD, "", None, "\U0001f600" * 5 + "\n", *ODD[::-1]]
+    ends, ids = machine.encode_all(texts)
+    want = [library.encode(t or "") for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+    assert machine.decode_all(ends, ids).to_pylist() == [machine.decode(w) for w in want]
+    batch = pieces.pa.record_batch({"i": list(range(len(texts))), "t": pieces.pa.array(texts, pieces.pa.string())})
+    assert [t for part in pieces._parts(batch) for t in part.column(1).to_pylist()] == texts
+
+
 def test_bounded_tables_change_nothing(model, library, monkeypatch):
     monkeypatch.setattr(pieces, "_KEPT", 10)
     machine = pieces.Transducer(model)
